@@ -51,24 +51,44 @@ def score_linear(df: DataFrame, model: LinearModel, out: str = "PREVISAO") -> Da
     return df.withColumn(out, model.predict())
 
 
-def _normal_equations(df: DataFrame, xs: list[Column], y: Column, w: Column):
-    """One job: sums of w*z*z^T and w*z*y with z = [x, 1]."""
-    z = xs + [F.lit(1.0)]
-    p = len(z)
+def _normal_equations(df: DataFrame, xs: list[Column], y: Column, w: Column,
+                      extra: list[Column] | None = None):
+    """One job: sums of w*z*z^T and w*z*y with z = [x, 1] (plus ``extra`` sums).
+
+    The per-row terms (centred features, weight, target) are computed once
+    in a projection; the aggregate then only multiplies plain columns.
+    """
+    extra = extra or []
+    d = len(xs)
+    proj = df.select(*[x.alias(f"_z{i}") for i, x in enumerate(xs)], y.alias("_y"), w.alias("_w"),
+                     *[e.alias(f"_e{i}") for i, e in enumerate(extra)])
+    z = [F.col(f"_z{i}") for i in range(d)] + [None]
+    wc, yc = F.col("_w"), F.col("_y")
+
+    def term(*cs):
+        out = wc
+        for c in cs:
+            if c is not None:
+                out = out * c
+        return out
+
+    p = d + 1
     aggs = []
     for i in range(p):
         for j in range(i, p):
-            aggs.append(F.sum(w * z[i] * z[j]))
+            aggs.append(F.sum(term(z[i], z[j])))
     for i in range(p):
-        aggs.append(F.sum(w * z[i] * y))
-    vals = [0.0 if v is None else float(v) for v in df.agg(*aggs).first()]
+        aggs.append(F.sum(term(z[i], yc)))
+    aggs += [F.sum(F.col(f"_e{i}")) for i in range(len(extra))]
+    vals = [0.0 if v is None else float(v) for v in proj.agg(*aggs).first()]
     a = np.zeros((p, p))
     k = 0
     for i in range(p):
         for j in range(i, p):
             a[i, j] = a[j, i] = vals[k]
             k += 1
-    return a, np.array(vals[k:])
+    rhs = np.array(vals[k:k + p])
+    return (a, rhs, vals[k + p:]) if extra else (a, rhs)
 
 
 def _centred(df: DataFrame, features: list[str], label: str):
@@ -101,7 +121,8 @@ def fit_ols(df: DataFrame, features: list[str], label: str) -> LinearModel:
 
 
 def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: float = 0.0,
-                   C: float = 1.0, max_iter: int = 100, tol: float = 1e-4) -> LinearModel:
+                   C: float = 1.0, max_iter: int = 100, tol: float = 1e-4,
+                   obj_tol: float = 1e-6) -> LinearModel:
     """Linear support-vector regression, distributed (M2).
 
     Minimises  1/2 |w|^2 + C * sum max(0, |y - w.x - b| - epsilon)  (the
@@ -110,8 +131,10 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
     a row by 1 / max(|r| - epsilon, delta), shifts its target by
     epsilon*sign(r), and solves (C * X'WX + diag(1,..,1,0)) beta = C * X'Wy.
     Rows inside the epsilon tube get weight 0.  One aggregation job per
-    round over a persisted, pruned, centred frame; stops when the relative
-    change of beta is below ``tol`` (1e-4: four significant digits).
+    round over a persisted, pruned, centred frame; the same job also sums
+    the loss of the current beta.  Stops when the relative change of beta
+    is below ``tol`` or the objective's relative decrease is below
+    ``obj_tol``.  ``history`` holds the objective per round.
     """
     data, mu, xs, y = _centred(df, features, label)
     data = data.persist(StorageLevel.MEMORY_AND_DISK)
@@ -124,6 +147,7 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
         delta = 1e-6
         history = []
         it = 0
+        prev_obj = None
         for it in range(1, max_iter + 1):
             fitted = F.lit(float(beta[-1]))
             for i, x in enumerate(xs):
@@ -132,10 +156,15 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
             excess = F.abs(r) - F.lit(epsilon)
             wt = F.when(excess > 0, F.lit(1.0) / F.greatest(excess, F.lit(delta))).otherwise(F.lit(0.0))
             target = y - F.signum(r) * F.lit(epsilon) if epsilon else y
-            a, rhs = _normal_equations(data, xs, target, wt)
+            a, rhs, (loss,) = _normal_equations(data, xs, target, wt,
+                                                extra=[F.greatest(excess, F.lit(0.0))])
+            obj = 0.5 * float(np.dot(beta[:-1], beta[:-1])) + C * loss
+            history.append(obj)
+            if prev_obj is not None and abs(prev_obj - obj) <= obj_tol * max(abs(obj), 1e-12):
+                break
+            prev_obj = obj
             new = np.linalg.lstsq(C * a + reg + 1e-12 * np.eye(p), C * rhs, rcond=None)[0]
             change = float(np.linalg.norm(new - beta) / max(np.linalg.norm(beta), 1e-12))
-            history.append(change)
             beta = new
             if change < tol:
                 break
