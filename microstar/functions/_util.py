@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import Column, functions as F
 
 
@@ -14,7 +16,14 @@ def as_code(c) -> Column:
 
 
 def map_literal(mapping: dict) -> Column:
-    items = []
-    for k, v in mapping.items():
-        items += [F.lit(k), F.lit(v)]
-    return F.create_map(*items)
+    """A literal map column; built once per distinct mapping (Column
+    expressions are immutable and reusable across DataFrames)."""
+    return _map_literal(tuple(mapping.items()))
+
+
+@lru_cache(maxsize=1024)
+def _map_literal(items: tuple) -> Column:
+    flat = []
+    for k, v in items:
+        flat += [F.lit(k), F.lit(v)]
+    return F.create_map(*flat)

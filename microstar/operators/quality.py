@@ -79,10 +79,14 @@ def surrogate_key(df: DataFrame, order_by: list, name: str = "SK", start: int =
     per partition, a size bounded by the partition count).  The tagged
     rows are checkpointed to the shared checkpoint folder first so that the
     count pass and the numbering pass see the same rows and ids even if a
-    task is re-run.  ``order_by`` should be unique for a deterministic key.
+    task is re-run.  A unique row id breaks ties in the sort, so even a sort
+    key shared by a third of the rows is split across range partitions.
+    ``order_by`` should be unique for a deterministic key.
     """
     checkpoint_root(df.sparkSession)
-    tagged = df.orderBy(*order_by).withColumn("_mid", F.monotonically_increasing_id())
+    tie = df.withColumn("_tie", F.monotonically_increasing_id())
+    tagged = (tie.orderBy(*order_by, "_tie").drop("_tie")
+                 .withColumn("_mid", F.monotonically_increasing_id()))
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftrightunsigned(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))

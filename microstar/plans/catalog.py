@@ -848,3 +848,126 @@ DOW = [1, 2, 3, 4, 5, 6, 7]
 def q_lineage_crosstab(spark, sf):
     ev = T(spark, sf, "events").select("event_type", "user_id", F.dayofweek("ts").alias("dow"))
     return crosstab_distinct(ev, ["event_type"], "dow", DOW, "user_id", names={d: f"dow_{d}" for d in DOW})
+
+
+# --------------------------------------------------------------------------
+# The exam pipeline end to end (S1, X1, P6, P1/P2, F1, P5, X2, X3-X11, F2,
+# P3, K4, N1, F3, K6) on a 2019-layout raw text file staged from orders:
+# one candidate per order.  The stand-in only writes raw cells; reading,
+# cleaning, recoding, labelling, routing, typing and keying are the
+# pipeline's own code.
+# --------------------------------------------------------------------------
+
+_EXAM_STANDIN_SQL = """
+  SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS NUM_INS,
+    CASE WHEN o_orderpriority = '5-LOW' THEN 'SP' ELSE 'RR' END AS UF,
+    CAST(o_custkey % 3 AS VARCHAR) AS P_CN, CAST(o_custkey % 2 AS VARCHAR) AS P_CH,
+    CAST((o_custkey // 2) % 2 AS VARCHAR) AS P_LC, CASE WHEN o_orderstatus = 'P' THEN '0' ELSE '1' END AS P_MT,
+    CAST((o_custkey * 7) % 1000 AS VARCHAR) || '.' || CAST(o_orderkey % 10 AS VARCHAR) AS G_CN,
+    CAST((o_custkey * 11) % 1000 AS VARCHAR) || '.' || CAST(o_orderkey % 7 AS VARCHAR) AS G_CH,
+    CAST((o_orderkey * 13) % 1000 AS VARCHAR) || '.5' AS G_LC,
+    CASE WHEN o_orderstatus = 'P' THEN NULL ELSE CAST((o_orderkey * 17) % 1000 AS VARCHAR) END AS G_MT,
+    CAST(o_orderkey % 2 AS VARCHAR) AS LNG, CAST(o_orderkey % 10 AS VARCHAR) AS RDC_STATUS,
+    CAST(o_orderkey % 201 AS VARCHAR) AS C1, CAST((o_orderkey * 2) % 201 AS VARCHAR) AS C2,
+    CAST((o_orderkey * 3) % 201 AS VARCHAR) AS C3, CAST((o_orderkey * 4) % 201 AS VARCHAR) AS C4,
+    CAST((o_orderkey * 5) % 201 AS VARCHAR) AS C5, CAST(o_custkey % 1001 AS VARCHAR) AS RDC,
+    CAST(500 + o_custkey % 7 AS VARCHAR) AS PRV_CN, CAST(510 + o_custkey % 7 AS VARCHAR) AS PRV_CH,
+    CAST(520 + o_custkey % 7 AS VARCHAR) AS PRV_LC, CAST(530 + o_custkey % 7 AS VARCHAR) AS PRV_MT,
+    o_orderkey
+  FROM orders"""
+
+
+def _exam_raw_standin(spark, sf) -> str:
+    """Write a 2019-layout raw file (';', header, quoted) from orders."""
+    from microstar.spec.layouts import LAYOUT_2019
+    o = T(spark, sf, "orders")
+    s = lambda e: F.expr(e).cast("string")
+    p_cn, p_ch, p_lc = s("o_custkey % 3"), s("o_custkey % 2"), s("(o_custkey div 2) % 2")
+    p_mt = F.when(F.col("o_orderstatus") == "P", "0").otherwise("1")
+
+    def answers(presence, tag):
+        return F.when(presence == "0", F.lit("-")).otherwise(
+            F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(tag))))
+    cells = {
+        "NU_INSCRICAO": F.lpad(F.col("o_orderkey").cast("string"), 12, "0"),
+        "NU_ANO": F.lit("2019"),
+        "SG_UF_PROVA": F.when(F.col("o_orderpriority") == "5-LOW", "SP").otherwise("RR"),
+        "TP_PRESENCA_CN": p_cn, "TP_PRESENCA_CH": p_ch, "TP_PRESENCA_LC": p_lc, "TP_PRESENCA_MT": p_mt,
+        "NU_NOTA_CN": F.concat(s("(o_custkey * 7) % 1000"), F.lit("."), s("o_orderkey % 10")),
+        "NU_NOTA_CH": F.concat(s("(o_custkey * 11) % 1000"), F.lit("."), s("o_orderkey % 7")),
+        "NU_NOTA_LC": F.concat(s("(o_orderkey * 13) % 1000"), F.lit(".5")),
+        "NU_NOTA_MT": F.when(F.col("o_orderstatus") == "P", F.lit("-")).otherwise(s("(o_orderkey * 17) % 1000")),
+        "TP_LINGUA": s("o_orderkey % 2"), "TP_STATUS_REDACAO": s("o_orderkey % 10"),
+        "NU_NOTA_COMP1": s("o_orderkey % 201"), "NU_NOTA_COMP2": s("(o_orderkey * 2) % 201"),
+        "NU_NOTA_COMP3": s("(o_orderkey * 3) % 201"), "NU_NOTA_COMP4": s("(o_orderkey * 4) % 201"),
+        "NU_NOTA_COMP5": s("(o_orderkey * 5) % 201"), "NU_NOTA_REDACAO": s("o_custkey % 1001"),
+        "CO_PROVA_CN": s("500 + o_custkey % 7"), "CO_PROVA_CH": s("510 + o_custkey % 7"),
+        "CO_PROVA_LC": s("520 + o_custkey % 7"), "CO_PROVA_MT": s("530 + o_custkey % 7"),
+        "TX_RESPOSTAS_CN": answers(p_cn, "CN"), "TX_RESPOSTAS_CH": answers(p_ch, "CH"),
+        "TX_RESPOSTAS_LC": answers(p_lc, "LC"), "TX_RESPOSTAS_MT": answers(p_mt, "MT"),
+    }
+    raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUT_2019])
+    path = scratch_path(spark, "exam_raw_2019")
+    write_delimited(raw, path, sep=";")
+    return path
+
+
+def _exam_star(spark, sf, table: str):
+    from microstar.plans import exam
+    path = _exam_raw_standin(spark, sf)
+    cleaned = exam.clean(exam.read_raw(spark, path, 2019), 2019)
+    return exam.build_star(exam.curate({2019: cleaned}, state="RR"), tables=[table])[table]
+
+
+_EXAM_ROUTED = """
+  FROM s WHERE UF = 'RR' AND (P_CN <> '0' OR P_CH <> '0' OR P_LC <> '0' OR P_MT <> '0')"""
+
+
+@register("exam_fact_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL}),
+g AS (SELECT NUM_INS, CAST(G_CN AS DOUBLE) AS CN, CAST(G_CH AS DOUBLE) AS CH, CAST(G_LC AS DOUBLE) AS LC,
+        CAST(coalesce(G_MT, '0') AS DOUBLE) AS MT, CAST(RDC AS DOUBLE) AS RD,
+        CASE LNG WHEN '1' THEN '0' WHEN '0' THEN '1' ELSE LNG END AS LNG_R,
+        CASE RDC_STATUS WHEN '2' THEN '0' WHEN '4' THEN '1' WHEN '1' THEN '3' WHEN '3' THEN '4'
+             WHEN '7' THEN '5' WHEN '8' THEN '6' WHEN '6' THEN '7' WHEN '9' THEN '8' ELSE RDC_STATUS END AS ST_R,
+        C1, C2, C3, C4, C5
+      {_EXAM_ROUTED})
+SELECT NUM_INS, '2019' AS ANO_ENEM, CH AS NOT_CIE_HUM, CN AS NOT_CIE_NAT, MT AS NOT_MAT,
+  CAST(LNG_R AS INTEGER) AS TPO_LNG_ESTG,
+  CASE LNG_R WHEN '0' THEN 'Espanhol' WHEN '1' THEN 'Inglês' ELSE '' END AS DSC_TPO_LNG_ESTG,
+  LC AS NOT_LNG_COD, CAST(ST_R AS INTEGER) AS COD_SIT_RDC,
+  CASE ST_R WHEN '0' THEN 'Anulada' WHEN '1' THEN 'Em branco' WHEN '3' THEN 'Presente'
+    WHEN '4' THEN 'Cópia de texto motivador' WHEN '5' THEN 'Não atendimento ao tipo textual'
+    WHEN '6' THEN 'Texto insuficiente' WHEN '7' THEN 'Fuga ao tema'
+    WHEN '8' THEN 'Parte do texto desconectada com o tema proposto' ELSE '' END AS DSC_SIT_RDC,
+  CAST(C1 AS DOUBLE) AS NOT_RDC_CPT_1, CAST(C2 AS DOUBLE) AS NOT_RDC_CPT_2, CAST(C3 AS DOUBLE) AS NOT_RDC_CPT_3,
+  CAST(C4 AS DOUBLE) AS NOT_RDC_CPT_4, CAST(C5 AS DOUBLE) AS NOT_RDC_CPT_5, RD AS NOT_RDC,
+  (CN + CH + LC + MT + RD) / 5.0 AS NOT_MED
+FROM g
+""")
+def q_exam_fact_pipeline(spark, sf):
+    """Raw text -> cleaned -> curated -> FAT_NOTA (good rows, typed)."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "FAT_NOTA"))
+    return good
+
+
+@register("exam_answers_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL}),
+r AS (SELECT NUM_INS, P_CN, P_CH, P_LC, P_MT, o_orderkey, PRV_CN, PRV_CH, PRV_LC, PRV_MT {_EXAM_ROUTED}),
+u AS (
+  SELECT NUM_INS, 'CH' AS AREA_CCN_ITEM, md5(CAST(o_orderkey AS VARCHAR) || 'CH') AS RSP_INS, PRV_CH AS PRV
+    FROM r WHERE P_CH <> '0'
+  UNION ALL SELECT NUM_INS, 'CN', md5(CAST(o_orderkey AS VARCHAR) || 'CN'), PRV_CN FROM r WHERE P_CN <> '0'
+  UNION ALL SELECT NUM_INS, 'LC', md5(CAST(o_orderkey AS VARCHAR) || 'LC'), PRV_LC FROM r WHERE P_LC <> '0'
+  UNION ALL SELECT NUM_INS, 'MT', md5(CAST(o_orderkey AS VARCHAR) || 'MT'), PRV_MT FROM r WHERE P_MT <> '0')
+SELECT row_number() OVER (ORDER BY NUM_INS, AREA_CCN_ITEM) AS DIM_RSP_PRV_PK, NUM_INS,
+  CAST(PRV AS INTEGER) AS COD_PRV, AREA_CCN_ITEM, RSP_INS, '2019' AS ANO_ENEM
+FROM u
+""")
+def q_exam_answers_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_RSP_PRV: unpivot of four (answers, exam code)
+    pairs, null answers dropped, dense identity key."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_RSP_PRV"))
+    return good

@@ -151,13 +151,18 @@ def typed(df: DataFrame) -> DataFrame:
     return enforce_schema(df, _spec_for(df.columns))
 
 
-def build_star(base: DataFrame, answers_key: bool = True) -> dict[str, DataFrame]:
+def build_star(base: DataFrame, answers_key: bool = True,
+               tables: list[str] | None = None) -> dict[str, DataFrame]:
     """Route the derived base into the star.
 
     Returns typed tables (``_reject_reason`` column included; use
-    ``split_rejects``).  Each table is its own lazy plan over ``base``.
+    ``split_rejects``).  Each table is its own lazy plan over ``base``;
+    ``tables`` restricts the output to the named ones.
     """
-    star = route(base, star_targets())
+    wanted = set(tables) if tables else set(S.STAR_COLUMNS) | {"DIM_RSP_PRV"}
+    star = route(base, {k: v for k, v in star_targets().items() if k in wanted})
+    if "DIM_RSP_PRV" not in wanted:
+        return {name: typed(df) for name, df in star.items()}
     answers = unpivot_groups(base.where(_predicate(S.ROUTES["DIM_RSP_PRV"])), ["NUM_INS", "ANO_ENEM"],
                              S.ANSWER_GROUPS, "AREA_CCN_ITEM", ["RSP_INS", "COD_PRV"], not_null="RSP_INS")
     if answers_key:
