@@ -39,3 +39,36 @@ def lineage_crosstab(mapping: DataFrame, rows: list[str], year_col: str, years:
                      distinct_col: str) -> DataFrame:
     """Raw <-> cleaned names x year: COUNT(DISTINCT year) per cell."""
     return crosstab_distinct(mapping, rows, year_col, years, distinct_col)
+
+
+# ---- the exam data dictionary, derived from the pipeline's own specs ----
+
+def lineage_frame(spark) -> DataFrame:
+    """DICIONARIO_RAW_CLEANED: (ANO, SEQUENCIA, NOME_CAMPO_RAW, NOME_CAMPO_CLEANED)
+    for every edition, in output order (a few hundred rows per edition)."""
+    from microstar.plans.exam import YEARS
+    from microstar.spec.renames import rename_list
+    rows = []
+    for year in YEARS:
+        for seq, (raw, clean) in enumerate(rename_list(year), start=1):
+            rows.append((str(year), seq, raw.removesuffix("_ORG"), clean))
+    return spark.createDataFrame(rows, "ANO string, SEQUENCIA int, NOME_CAMPO_RAW string, "
+                                       "NOME_CAMPO_CLEANED string")
+
+
+def domain_frame(spark) -> DataFrame:
+    """DOMINIOS_RAW_CLEANED: (ANO, NOME_CAMPO_CLEANED, CODIGO_DOMINIO_RAW,
+    CODIGO_DOMINIO_CURATED, DESCRICAO_CURATED) from the edition recodes and
+    the curated labels."""
+    from microstar.plans.exam import YEARS
+    from microstar.spec.labels import CODE_LABELS, LABELS
+    from microstar.spec.recodes import recodes_for
+    label_of = {src: LABELS[name] for _, src, name in CODE_LABELS}
+    rows = []
+    for year in YEARS:
+        for col, mapping in recodes_for(year).items():
+            labels = label_of.get(col, {})
+            for raw, cur in mapping.items():
+                rows.append((str(year), col, raw, int(cur), labels.get(cur, "")))
+    return spark.createDataFrame(rows, "ANO string, NOME_CAMPO_CLEANED string, CODIGO_DOMINIO_RAW string, "
+                                       "CODIGO_DOMINIO_CURATED int, DESCRICAO_CURATED string")
