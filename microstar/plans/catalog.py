@@ -803,9 +803,10 @@ def q_dictionary_fields(spark, sf):
 
 
 @register("dictionary_domains", """
-WITH d AS (SELECT year(o_orderdate) AS ANO, o_orderstatus AS NOME_CAMPO_RAW, count(*) AS N_REGISTROS
+WITH d AS (SELECT CAST(year(o_orderdate) AS INTEGER) AS ANO, o_orderstatus AS NOME_CAMPO_RAW,
+                  count(*) AS N_REGISTROS
            FROM orders GROUP BY 1, 2),
-v AS (SELECT DISTINCT year(l_shipdate) AS ANO, l_linestatus AS NOME_CAMPO_RAW, l_returnflag AS CODIGO_DOMINIO_RAW
+v AS (SELECT DISTINCT CAST(year(l_shipdate) AS INTEGER) AS ANO, l_linestatus AS NOME_CAMPO_RAW, l_returnflag AS CODIGO_DOMINIO_RAW
       FROM lineitem)
 SELECT d.ANO, d.NOME_CAMPO_RAW, d.N_REGISTROS, v.CODIGO_DOMINIO_RAW
 FROM d LEFT JOIN v ON d.ANO = v.ANO AND d.NOME_CAMPO_RAW = v.NOME_CAMPO_RAW
@@ -877,8 +878,20 @@ _EXAM_STANDIN_SQL = """
   FROM orders"""
 
 
+_STAGED: dict[tuple, str] = {}
+
+
 def _exam_raw_standin(spark, sf) -> str:
-    """Write a 2019-layout raw file (';', header, quoted) from orders."""
+    """Write a 2019-layout raw file (';', header, quoted) from orders, once
+    per session and table folder (the staged file is an input, like an
+    edition's file already on storage)."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _STAGED:
+        _STAGED[key] = _write_exam_raw_standin(spark, sf)
+    return _STAGED[key]
+
+
+def _write_exam_raw_standin(spark, sf) -> str:
     from microstar.spec.layouts import LAYOUT_2019
     o = T(spark, sf, "orders")
     s = lambda e: F.expr(e).cast("string")
@@ -971,3 +984,32 @@ def q_exam_answers_pipeline(spark, sf):
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_RSP_PRV"))
     return good
+
+
+@register("exam_presence_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL}),
+p AS (SELECT NUM_INS, coalesce(P_CN, '') AS CN, P_CH AS CH, P_LC AS LC, P_MT AS MT FROM s WHERE UF = 'RR')
+SELECT NUM_INS, '2019' AS ANO_ENEM,
+  CASE CH WHEN '0' THEN 'Faltou à prova' WHEN '1' THEN 'Presente na prova' WHEN '2' THEN 'Eliminado na prova'
+       ELSE '' END AS FL_PSC_CIE_HUM,
+  CASE CN WHEN '0' THEN 'Faltou à prova' WHEN '1' THEN 'Presente na prova' WHEN '2' THEN 'Eliminado na prova'
+       ELSE '' END AS FL_PSC_CIE_NAT,
+  CASE LC WHEN '0' THEN 'Faltou à prova' WHEN '1' THEN 'Presente na prova' WHEN '2' THEN 'Eliminado na prova'
+       ELSE '' END AS FL_PSC_LNG_COD,
+  CASE MT WHEN '0' THEN 'Faltou à prova' WHEN '1' THEN 'Presente na prova' WHEN '2' THEN 'Eliminado na prova'
+       ELSE '' END AS FL_PSC_MAT,
+  CASE WHEN LC <> '0' THEN 'Sim' ELSE 'Não' END AS FL_PSC_DIA_1,
+  CASE WHEN CN <> '0' THEN 'Sim' ELSE 'Não' END AS FL_PSC_DIA_2,
+  CASE WHEN CN <> '0' OR CH <> '0' OR LC <> '0' OR MT <> '0' THEN 'Sim' ELSE 'Não' END AS FL_PSC,
+  CASE WHEN CN = '0' AND CH = '0' AND LC = '0' AND MT = '0' THEN 0
+       WHEN CN <> '0' AND CH <> '0' AND LC <> '0' AND MT <> '0' THEN 1 ELSE 2 END AS COD_TPO_PSC,
+  CASE WHEN CN = '0' AND CH = '0' AND LC = '0' AND MT = '0' THEN 'Ausente'
+       WHEN CN <> '0' AND CH <> '0' AND LC <> '0' AND MT <> '0' THEN 'Presente' ELSE 'Parcial' END AS DSC_TPO_PSC
+FROM p
+""")
+def q_exam_presence_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_PRESENCA: presence labels, attendance class,
+    exam-day rule (2019: day 1 = languages), unrouted (every candidate)."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_PRESENCA"))
+    return good
