@@ -30,19 +30,21 @@ def evaluation_columns(real, pred) -> dict[str, Column]:
     The prediction is truncated to int *before* the difference (X20); the
     difference and the percentage are truncated to int (X16, X18); a real
     value of 0 gives a null percentage (``try_divide``) instead of an error.
+    Casts are ``try_cast``: an out-of-range value becomes null rather than
+    failing the whole job under ANSI mode.
     """
     real = col(real)
-    pred_i = col(pred).cast("int")
+    pred_i = col(pred).try_cast("int")
     diff = real - pred_i
     ratio = F.try_divide(pred_i, real) * 100
     pct = (F.when(diff < 0, ratio - 100)
            .when(diff > 0, 100 - ratio)
            .otherwise(F.lit(0.0)))
-    pct_i = pct.cast("int")
+    pct_i = pct.try_cast("int")
     return {
         "Nota_Real": real,
         "Nota_Prevista": pred_i,
-        "Diferenca": F.when(diff < 0, -diff).otherwise(diff).cast("int"),
+        "Diferenca": F.when(diff < 0, -diff).otherwise(diff).try_cast("int"),
         "Tipo_da_Diferenca": (F.when(diff < 0, F.lit(OVER)).when(diff > 0, F.lit(UNDER))
                               .otherwise(F.lit(EXACT))),
         "Percentual_da_Diferenca": pct_i,

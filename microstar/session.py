@@ -40,6 +40,21 @@ def get_spark(master: str | None = None, app: str = "microstar",
     return spark
 
 
+def cluster_conf(total_cores: int, partition_mb: int = 256) -> dict:
+    """Sizing for a large cluster (pass as ``extra`` to ``get_spark``).
+
+    Shuffles start with ~3 partitions per core and AQE coalesces them to
+    ``partition_mb`` each; scans split files into ``partition_mb`` pieces,
+    so a task holds a bounded slice whatever the table size.
+    """
+    return {
+        "spark.sql.shuffle.partitions": str(max(200, 3 * total_cores)),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": f"{partition_mb}m",
+        "spark.sql.files.maxPartitionBytes": f"{partition_mb}m",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": f"{4 * partition_mb}m",
+    }
+
+
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
