@@ -874,6 +874,13 @@ _EXAM_STANDIN_SQL = """
     CAST((o_orderkey * 5) % 201 AS VARCHAR) AS C5, CAST(o_custkey % 1001 AS VARCHAR) AS RDC,
     CAST(500 + o_custkey % 7 AS VARCHAR) AS PRV_CN, CAST(510 + o_custkey % 7 AS VARCHAR) AS PRV_CH,
     CAST(520 + o_custkey % 7 AS VARCHAR) AS PRV_LC, CAST(530 + o_custkey % 7 AS VARCHAR) AS PRV_MT,
+    CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'X' WHEN o_orderstatus = 'F' THEN 'F'
+         WHEN o_orderstatus = 'O' THEN 'M' ELSE 'm' END AS SEXO,
+    CAST(o_custkey % 5 AS VARCHAR) AS EST_CVL, CAST(o_custkey % 8 AS VARCHAR) AS COR,
+    CAST(o_orderkey % 6 AS VARCHAR) AS NAC,
+    CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(15 + o_custkey % 60 AS VARCHAR) END AS IDADE,
+    CAST(o_orderkey % 3 AS VARCHAR) AS TREINEIRO, CASE WHEN o_custkey % 60 >= 45 THEN '1' ELSE '0' END AS IDOSO,
+    CAST(1400000 + o_custkey % 500 AS VARCHAR) AS MUN_NSC, CAST(1400000 + o_orderkey % 500 AS VARCHAR) AS MUN_RSD,
     o_orderkey
   FROM orders"""
 
@@ -918,6 +925,17 @@ def _write_exam_raw_standin(spark, sf) -> str:
         "CO_PROVA_LC": s("520 + o_custkey % 7"), "CO_PROVA_MT": s("530 + o_custkey % 7"),
         "TX_RESPOSTAS_CN": answers(p_cn, "CN"), "TX_RESPOSTAS_CH": answers(p_ch, "CH"),
         "TX_RESPOSTAS_LC": answers(p_lc, "LC"), "TX_RESPOSTAS_MT": answers(p_mt, "MT"),
+        "TP_SEXO": (F.when(F.col("o_orderpriority") == "4-NOT SPECIFIED", "X")
+                    .when(F.col("o_orderstatus") == "F", "F").when(F.col("o_orderstatus") == "O", "M")
+                    .otherwise("m")),
+        "TP_ESTADO_CIVIL": s("o_custkey % 5"), "TP_COR_RACA": s("o_custkey % 8"),
+        "TP_NACIONALIDADE": s("o_orderkey % 6"),
+        "NU_IDADE": F.when(F.expr("o_orderkey % 13 = 0"), F.lit("-")).otherwise(s("15 + o_custkey % 60")),
+        "IN_TREINEIRO": s("o_orderkey % 3"),
+        "IN_IDOSO": F.when(F.expr("o_custkey % 60 >= 45"), "1").otherwise("0"),
+        "IN_NOME_SOCIAL": F.lit("0"),
+        "CO_MUNICIPIO_NASCIMENTO": s("1400000 + o_custkey % 500"),
+        "CO_MUNICIPIO_RESIDENCIA": s("1400000 + o_orderkey % 500"),
     }
     raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUT_2019])
     path = scratch_path(spark, "exam_raw_2019")
@@ -1013,3 +1031,35 @@ def q_exam_presence_pipeline(spark, sf):
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_PRESENCA"))
     return good
+
+
+@register("exam_cadastral_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL}),
+c AS (SELECT NUM_INS, CASE upper(SEXO) WHEN 'F' THEN '0' WHEN 'M' THEN '1' ELSE SEXO END AS SEX,
+        EST_CVL, COR, NAC, IDADE, TREINEIRO, IDOSO, MUN_NSC, MUN_RSD
+      FROM s WHERE UF = 'RR')
+SELECT NUM_INS, '2019' AS ANO_ENEM, CAST(IDADE AS INTEGER) AS IDD_INS, CAST(SEX AS INTEGER) AS COD_SEX,
+  CASE SEX WHEN '0' THEN 'Feminino' WHEN '1' THEN 'Masculino' ELSE '' END AS DSC_SEX,
+  CAST(COR AS INTEGER) AS COR_RCA,
+  CASE COR WHEN '0' THEN 'Não declarado' WHEN '1' THEN 'Branca' WHEN '2' THEN 'Preta' WHEN '3' THEN 'Parda'
+    WHEN '4' THEN 'Amarela' WHEN '5' THEN 'Indígena ' WHEN '6' THEN 'Não dispõe da informação' ELSE '' END AS DSC_RCA,
+  CAST(EST_CVL AS INTEGER) AS COD_EST_CVL,
+  CASE EST_CVL WHEN '0' THEN 'Não informado' WHEN '1' THEN 'Solteiro(a)'
+    WHEN '2' THEN 'Casado(a)/Mora com um(a) companheiro(a)' WHEN '3' THEN 'Divorciado(a)/Desquitado(a)/Separado(a)'
+    WHEN '4' THEN 'Viúvo(a)' ELSE '' END AS DSC_EST_CVL,
+  CAST(NAC AS INTEGER) AS COD_NAC,
+  CASE NAC WHEN '0' THEN 'Não informado' WHEN '1' THEN 'Brasileiro(a)' WHEN '2' THEN 'Brasileiro(a) Naturalizado(a)'
+    WHEN '3' THEN 'Estrangeiro(a)' WHEN '4' THEN 'Brasileiro(a) Nato(a), nascido(a) no exterior' ELSE '' END AS DSC_NAC,
+  MUN_NSC AS COD_MUN_NSC, MUN_RSD AS COD_MUN_RSD,
+  CASE IDOSO WHEN '0' THEN 'Não' WHEN '1' THEN 'Sim' ELSE '' END AS FL_IDS,
+  'Não' AS FL_NOM_SCL,
+  CASE TREINEIRO WHEN '0' THEN 'Não' WHEN '1' THEN 'Sim' ELSE '' END AS FL_INS_TRE
+FROM c WHERE SEX IN ('0', '1')
+""")
+def q_exam_cadastral_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_CADASTRAL good rows: case-insensitive sex
+    recode, code and yes/no labels; rows with an invalid sex code are
+    rejected by the typed load (K4) and not in the good table."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_CADASTRAL"))
+    return good
