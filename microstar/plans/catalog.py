@@ -1063,3 +1063,12 @@ def q_exam_cadastral_pipeline(spark, sf):
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_CADASTRAL"))
     return good
+
+
+@register("hit_rate", _EVAL_SQL + """
+SELECT avg(CASE WHEN Percentual_da_Diferenca <= 30 THEN 1.0 ELSE 0.0 END) * 100 AS percentual_acerto FROM e
+""")
+def q_hit_rate(spark, sf):
+    """The same hit rate in one pass: a conditional average (A1)."""
+    from microstar.functions.evaluation import hit_rate
+    return _evaluation(spark, sf).agg(hit_rate("Percentual_da_Diferenca").alias("percentual_acerto"))
