@@ -1,5 +1,8 @@
 """Physical-plan checks: pushdown, pruning, broadcast, no Python in hot paths."""
 
+import contextlib
+import io
+
 import __spark_entry__ as E
 
 SF = "/root/testdata/sf0.01"
@@ -38,3 +41,22 @@ def test_unpivot_and_routing_do_not_shuffle(spark):
 def test_crosstab_dedups_before_counting(spark):
     p = plan(E.queries()["lineage_crosstab"](spark, SF))
     assert "Expand" not in p     # no multi-distinct expansion
+
+
+def test_state_filter_and_pruning_reach_the_cleaned_scan(spark, tmp_path):
+    from microstar.plans import exam
+    from tests import exam_fixtures as X
+    raw = X.write_raw(str(tmp_path), 2019, X.rows_2019())
+    path = str(tmp_path / "cleaned")
+    exam.clean(exam.read_raw(spark, raw, 2019), 2019).write.parquet(path)
+    base = exam.curate({2019: spark.read.parquet(path)}, state="RR")
+    fact = exam.build_star(base, tables=["FAT_NOTA"])["FAT_NOTA"]
+    p = plan(fact)
+    assert "EqualTo(UF_PRV,RR)" in p
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        fact.explain(mode="formatted")
+    read_schema = [ln for ln in buf.getvalue().splitlines() if ln.startswith("ReadSchema")][0]
+    assert "NOT_RDC" in read_schema and "Q001" not in read_schema and "RSP_INS_MAT" not in read_schema
+    assert "Exchange" not in p
+    assert fact.count() == 3
