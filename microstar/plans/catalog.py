@@ -898,9 +898,10 @@ def _exam_raw_standin(spark, sf) -> str:
     return _STAGED[key]
 
 
-def _write_exam_raw_standin(spark, sf) -> str:
-    from microstar.spec.layouts import LAYOUT_2019
-    o = T(spark, sf, "orders")
+def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | None = None) -> str:
+    """Stage one edition's raw file (its layout and separator) from orders."""
+    from microstar.spec.layouts import LAYOUTS, SEPARATOR
+    o = T(spark, sf, "orders") if orders is None else orders
     s = lambda e: F.expr(e).cast("string")
     p_cn, p_ch, p_lc = s("o_custkey % 3"), s("o_custkey % 2"), s("(o_custkey div 2) % 2")
     p_mt = F.when(F.col("o_orderstatus") == "P", "0").otherwise("1")
@@ -910,7 +911,7 @@ def _write_exam_raw_standin(spark, sf) -> str:
             F.md5(F.concat(F.col("o_orderkey").cast("string"), F.lit(tag))))
     cells = {
         "NU_INSCRICAO": F.lpad(F.col("o_orderkey").cast("string"), 12, "0"),
-        "NU_ANO": F.lit("2019"),
+        "NU_ANO": F.lit(str(year)),
         "SG_UF_PROVA": F.when(F.col("o_orderpriority") == "5-LOW", "SP").otherwise("RR"),
         "TP_PRESENCA_CN": p_cn, "TP_PRESENCA_CH": p_ch, "TP_PRESENCA_LC": p_lc, "TP_PRESENCA_MT": p_mt,
         "NU_NOTA_CN": F.concat(s("(o_custkey * 7) % 1000"), F.lit("."), s("o_orderkey % 10")),
@@ -937,9 +938,11 @@ def _write_exam_raw_standin(spark, sf) -> str:
         "CO_MUNICIPIO_NASCIMENTO": s("1400000 + o_custkey % 500"),
         "CO_MUNICIPIO_RESIDENCIA": s("1400000 + o_orderkey % 500"),
     }
-    raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUT_2019])
-    path = scratch_path(spark, "exam_raw_2019")
-    write_delimited(raw, path, sep=";")
+    raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUTS[year]])
+    # an edition arrives as large splittable text: stage it as several files
+    raw = raw.repartition(spark.sparkContext.defaultParallelism)
+    path = scratch_path(spark, f"exam_raw_{year}")
+    write_delimited(raw, path, sep=SEPARATOR[year])
     return path
 
 

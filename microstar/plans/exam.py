@@ -16,7 +16,7 @@ standardised code.
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -58,7 +58,8 @@ def clean(raw: DataFrame, year: int, fixes: bool = False) -> DataFrame:
 
 # ------------------------------------------------------------ CURATED ----
 
-def curated_input_columns() -> list[str]:
+@lru_cache(maxsize=1)
+def curated_input_columns() -> tuple[str, ...]:
     """Union of the cleaned columns of all editions plus the constant-only
     questions and flags: the harmonised width every edition is brought to."""
     cols: dict[str, None] = {}
@@ -70,7 +71,7 @@ def curated_input_columns() -> list[str]:
             src = c if isinstance(c, str) else c[0]
             if src.startswith("Q") or src in S.FLAG_DEFAULTS:
                 cols[src] = None
-    return list(cols)
+    return tuple(cols)
 
 
 def _code(c: str) -> Column:
@@ -114,7 +115,7 @@ def curate_year(cleaned: DataFrame, year: int, state: str | None = DEFAULT_STATE
     is pushed into the scan.
     """
     df = filter_eq(cleaned, "UF_PRV", state) if state else cleaned
-    df = harmonise(df, curated_input_columns(), defaults=S.FLAG_DEFAULTS)
+    df = harmonise(df, list(curated_input_columns()), defaults=S.FLAG_DEFAULTS)
     recodes = {c: recode_map(c, m) for c, m in recodes_for(year).items() if c in df.columns}
     df = df.withColumns(recodes)
     return df.withColumns(derivations(year, fixes))
