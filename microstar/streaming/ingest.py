@@ -13,6 +13,7 @@ the table is consolidated in batch.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -47,12 +48,20 @@ def stream_cleaned(spark: SparkSession, raw_dir: str, year: int, out_path: str,
 
 def write_star_batch(batch: DataFrame, batch_id: int, year: int, out_dir: str,
                      state: str | None = exam.DEFAULT_STATE) -> None:
-    """Curate one micro-batch and write each star table to its batch folder."""
-    star = exam.build_star(exam.curate({year: batch}, state), answers_key=False)
-    for name, checked in star.items():
-        good, bad = split_rejects(checked)
-        good.write.mode("overwrite").parquet(f"{out_dir}/{name}/_batch={batch_id}")
-        bad.write.mode("overwrite").parquet(f"{out_dir}/_rejects/{name}/_batch={batch_id}")
+    """Curate one micro-batch and write each star table to its batch folder.
+
+    The batch feeds twenty writes (good and rejected rows of ten tables), so
+    it is persisted once for the duration of the batch and released after.
+    """
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        star = exam.build_star(exam.curate({year: batch}, state), answers_key=False)
+        for name, checked in star.items():
+            good, bad = split_rejects(checked)
+            good.write.mode("overwrite").parquet(f"{out_dir}/{name}/_batch={batch_id}")
+            bad.write.mode("overwrite").parquet(f"{out_dir}/_rejects/{name}/_batch={batch_id}")
+    finally:
+        batch.unpersist()
 
 
 def stream_curated(spark: SparkSession, cleaned_path: str, year: int, out_dir: str, checkpoint: str,
