@@ -12,7 +12,6 @@ one expression instead of up to 27 chained regex passes.
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, functions as F
@@ -68,11 +67,3 @@ def recode_map(c, rules: list[Rule] | dict[str, str]) -> Column:
     if not mapping:
         return c
     return F.coalesce(F.try_element_at(map_literal(mapping), F.upper(F.trim(c))), c)
-
-
-_TOKEN = re.compile(r"^[A-Za-z0-9]+$")
-
-
-def is_single_token(value: str) -> bool:
-    """Values for which the two recode forms are guaranteed to agree."""
-    return bool(_TOKEN.match(value))
