@@ -878,6 +878,15 @@ _EXAM_STANDIN_SQL = """
     CASE WHEN o_orderkey % 13 = 0 THEN NULL ELSE CAST(15 + o_custkey % 60 AS VARCHAR) END AS IDADE,
     CAST(o_orderkey % 3 AS VARCHAR) AS TREINEIRO, CASE WHEN o_custkey % 60 >= 45 THEN '1' ELSE '0' END AS IDOSO,
     CAST(1400000 + o_custkey % 500 AS VARCHAR) AS MUN_NSC, CAST(1400000 + o_orderkey % 500 AS VARCHAR) AS MUN_RSD,
+    CAST(o_orderkey % 5 AS VARCHAR) AS ST_CONCL, CAST(o_custkey % 15 AS VARCHAR) AS ANO_CONCL,
+    CAST((o_orderkey // 5) % 5 AS VARCHAR) AS ESCOLA,
+    CASE o_custkey % 4 WHEN 0 THEN NULL ELSE CAST(o_custkey % 4 AS VARCHAR) END AS ENSINO,
+    CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE CAST(14000000 + o_custkey AS VARCHAR) END AS COD_ESC,
+    CAST(o_custkey % 5 AS VARCHAR) AS DEP_ADM, CAST(o_orderkey % 3 AS VARCHAR) AS LOCAL_ESC,
+    CASE WHEN o_orderkey % 6 = 0 THEN NULL ELSE CAST(o_orderkey % 6 AS VARCHAR) END AS SIT_FUNC,
+    CAST(1400000 + o_custkey % 300 AS VARCHAR) AS MUN_ESC,
+    CASE WHEN o_orderkey % 11 = 0 THEN '1' ELSE '0' END AS AMP18,
+    CASE WHEN o_custkey % 17 = 0 THEN '1' ELSE '0' END AS LEDOR,
     o_orderkey
   FROM orders"""
 
@@ -934,6 +943,15 @@ def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | Non
         "IN_NOME_SOCIAL": F.lit("0"),
         "CO_MUNICIPIO_NASCIMENTO": s("1400000 + o_custkey % 500"),
         "CO_MUNICIPIO_RESIDENCIA": s("1400000 + o_orderkey % 500"),
+        "TP_ST_CONCLUSAO": s("o_orderkey % 5"), "TP_ANO_CONCLUIU": s("o_custkey % 15"),
+        "TP_ESCOLA": s("(o_orderkey div 5) % 5"),
+        "TP_ENSINO": F.when(F.expr("o_custkey % 4 = 0"), F.lit("-")).otherwise(s("o_custkey % 4")),
+        "CO_ESCOLA": F.when(F.expr("o_orderkey % 3 = 0"), F.lit("-")).otherwise(s("14000000 + o_custkey")),
+        "TP_DEPENDENCIA_ADM_ESC": s("o_custkey % 5"), "TP_LOCALIZACAO_ESC": s("o_orderkey % 3"),
+        "TP_SIT_FUNC_ESC": F.when(F.expr("o_orderkey % 6 = 0"), F.lit("")).otherwise(s("o_orderkey % 6")),
+        "CO_MUNICIPIO_ESC": s("1400000 + o_custkey % 300"),
+        "IN_AMPLIADA_18": F.when(F.expr("o_orderkey % 11 = 0"), "1").otherwise("0"),
+        "IN_LEDOR": F.when(F.expr("o_custkey % 17 = 0"), "1").otherwise("0"),
     }
     raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUTS[year]])
     # an edition arrives as large splittable text: stage it as several files
@@ -1072,3 +1090,88 @@ def q_hit_rate(spark, sf):
     """The same hit rate in one pass: a conditional average (A1)."""
     from microstar.functions.evaluation import hit_rate
     return _evaluation(spark, sf).agg(hit_rate("Percentual_da_Diferenca").alias("percentual_acerto"))
+
+
+def _recode_sql(expr: str, mapping: dict) -> str:
+    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
+    return f"CASE upper(trim({expr})) {whens} ELSE {expr} END"
+
+
+def _exam_2019_recodes():
+    from microstar.spec.recodes import recodes_for
+    return recodes_for(2019)
+
+
+_R19 = _exam_2019_recodes()
+
+
+@register("exam_schooling_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL}),
+c AS (SELECT NUM_INS,
+        {_recode_sql('ANO_CONCL', _R19['ANO_CCL_ENS_MED'])} AS ANO,
+        {_recode_sql('ST_CONCL', _R19['SIT_CCL_ENS_MED'])} AS SIT,
+        {_recode_sql('ESCOLA', _R19['TPO_ESC_ENS_MED'])} AS ESC,
+        {_recode_sql("coalesce(ENSINO, '-1')", _R19['TPO_ENS_ESC_ENS_MED'])} AS ENS
+      FROM s WHERE UF = 'RR')
+SELECT NUM_INS, '2019' AS ANO_ENEM, '' AS TPO_ESC_ENS_FDM_DET, '' AS TPO_ENS_ESC_ENS_FDM_DET, '' AS TRN_ENS_FDM,
+  {_case_sql('ANO', LABELS['ANO_CCL_ENS_MED_TRAT'])} AS ANO_CCL_ENS_MED,
+  {_case_sql('SIT', LABELS['SIT_CCL_ENS_MED_TRAT'])} AS SIT_CCL_ENS_MED,
+  {_case_sql('ESC', LABELS['TPO_ESC_ENS_MED_TRAT'])} AS TPO_ESC_ENS_MED,
+  '' AS TPO_ESC_ENS_MED_DET,
+  {_case_sql('ENS', LABELS['TPO_ENS_ESC_ENS_MED_TRAT'])} AS TPO_ENS_ESC_ENS_MED,
+  '' AS TPO_ENS_ESC_ENS_MED_DET, '' AS TRN_ENS_MED, '' AS FL_SOL_CTF_ENS_MED, CAST(NULL AS VARCHAR) AS NOM_ENT_CTF
+FROM c
+""")
+def q_exam_schooling_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_ENSINO: edition recodes (27-code conclusion
+    year with placeholders, '-1' default kept by token) then labels;
+    questions absent in 2019 label as ''."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_ENSINO"))
+    return good
+
+
+@register("exam_school_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL})
+SELECT NUM_INS, '2019' AS ANO_ENEM, COD_ESC, CAST(LOCAL_ESC AS INTEGER) AS COD_TPO_LCL_ESC,
+  {_case_sql('LOCAL_ESC', LABELS['DSC_TPO_LCL_ESC'])} AS DSC_TPO_LCL_ESC,
+  CAST(coalesce(SIT_FUNC, '-1') AS INTEGER) AS FL_SIT_FUN_ESC,
+  {_case_sql("coalesce(SIT_FUNC, '-1')", LABELS['DSC_SIT_FUN_ESC'])} AS DSC_SIT_FUN_ESC,
+  CAST(DEP_ADM AS INTEGER) AS FL_DPD_ADM_ESC, {_case_sql('DEP_ADM', LABELS['DSC_DPD_ADM_ESC'])} AS DSC_DPD_ADM_ESC,
+  MUN_ESC AS COD_MUN_ESC
+FROM s WHERE UF = 'RR' AND COD_ESC IS NOT NULL
+""")
+def q_exam_school_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_ESCOLA: routed on a non-null school code;
+    school status null -> '-1' (cleaned default) -> int -1, label ''."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_ESCOLA"))
+    return good
+
+
+def _resources_sql() -> str:
+    from microstar.spec.star import STAR_COLUMNS
+    filled = {"FL_AMP": "CASE WHEN AMP18 <> '0' THEN 1 ELSE 0 END", "FL_LDR": "CAST(LEDOR AS INTEGER)",
+              "FL_PRV_DTD": "0", "FL_UND_PRI": "0"}
+    cols = []
+    for c in STAR_COLUMNS["DIM_RECURSO_DIFERENCIADO"]:
+        name = c if isinstance(c, str) else c[1]
+        if name in ("NUM_INS", "ANO_ENEM"):
+            continue
+        cols.append(f"{filled.get(name, 'CAST(NULL AS INTEGER)')} AS {name}")
+    return ",\n  ".join(cols)
+
+
+@register("exam_resources_pipeline", f"""
+WITH s AS ({_EXAM_STANDIN_SQL})
+SELECT NUM_INS, '2019' AS ANO_ENEM,
+  {_resources_sql()}
+FROM s WHERE UF = 'RR' AND (AMP18 <> '0' OR LEDOR <> '0')
+""")
+def q_exam_resources_pipeline(spark, sf):
+    """Raw text -> ... -> DIM_RECURSO_DIFERENCIADO: routed when any of the
+    29 resource flags is set; large print and lying-down any-of flags; the
+    flag absent from the edition is the constant 0."""
+    from microstar.operators.quality import split_rejects
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_RECURSO_DIFERENCIADO"))
+    return good
