@@ -47,7 +47,9 @@ def compose_rules(rules: list[Rule]) -> dict[str, str]:
 
     Every search string (placeholders included) is a possible input token;
     its final value is obtained by running the chain on it with token
-    equality.  Tokens whose chain ends where it started are left out.
+    equality.  Every search token is kept, even when its chain ends on the
+    same letters: the match is case-insensitive but the replacement text is
+    what lands in the value, so 'a' under the rule A -> A becomes 'A'.
     """
     out: dict[str, str] = {}
     for token in dict.fromkeys(r.search.upper() for r in rules):
@@ -55,8 +57,7 @@ def compose_rules(rules: list[Rule]) -> dict[str, str]:
         for r in rules:
             if value.upper() == r.search.upper():
                 value = r.replace
-        if value != token:
-            out[token] = value
+        out[token] = value
     return out
 
 

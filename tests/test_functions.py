@@ -23,6 +23,13 @@ def test_sequential_equals_composed_map_on_single_tokens(spark, rules, values):
     assert all(r["s"] == r["m"] for r in got), (rules, values, got)
 
 
+def test_identity_rule_still_normalises_case(spark):
+    df = spark.createDataFrame([("a",), ("b",)], "v string")
+    rules = [Rule("A", "A")]
+    got = df.select(recode_sequential("v", rules).alias("s"), recode_map("v", rules).alias("m")).collect()
+    assert [(r["s"], r["m"]) for r in got] == [("A", "A"), ("b", "b")]
+
+
 def test_placeholder_swap_and_minus_one_is_token_exact(spark):
     rules = [Rule("1", "0"), Rule("3", "A"), Rule("2", "3"), Rule("A", "2")]
     assert compose_rules(rules) == {"1": "0", "3": "2", "2": "3", "A": "2"}
