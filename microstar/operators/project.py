@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -14,8 +14,14 @@ def select_rename(df: DataFrame, mapping) -> DataFrame:
     happen in one ``select``, so permutations such as Q001<->Q002 are
     simultaneous (P2); chained ``withColumnRenamed`` calls would collide.
     """
-    pairs = list(mapping.items()) if isinstance(mapping, dict) else list(mapping)
-    return df.select([F.col(src).alias(dst) for src, dst in pairs])
+    pairs = tuple(mapping.items()) if isinstance(mapping, dict) else tuple(map(tuple, mapping))
+    return df.select(list(_renamed(pairs)))
+
+
+@lru_cache(maxsize=256)
+def _renamed(pairs: tuple) -> tuple:
+    # Column expressions are immutable: build each projection list once
+    return tuple(F.col(src).alias(dst) for src, dst in pairs)
 
 
 def permute_columns(df: DataFrame, swaps: dict[str, str]) -> DataFrame:
@@ -31,16 +37,23 @@ def harmonise(df: DataFrame, target: list[str], defaults: dict | None = None,
     flags); ``types[col]`` casts it so every yearly frame has one schema.
     """
     defaults, types = defaults or {}, types or {}
-    have = set(df.columns)
+    key = (tuple(target), frozenset(df.columns), tuple(sorted(defaults.items(), key=lambda kv: kv[0])),
+           tuple(sorted(types.items())))
+    return df.select(list(_harmonised(key)))
+
+
+@lru_cache(maxsize=256)
+def _harmonised(key: tuple) -> tuple:
+    target, have, defaults, types = key
+    defaults, types = dict(defaults), dict(types)
     cols = []
     for c in target:
         if c in have:
             e = F.col(c)
         else:
-            e = F.lit(defaults.get(c))
-            e = e.cast(types.get(c, "string"))
+            e = F.lit(defaults.get(c)).cast(types.get(c, "string"))
         cols.append(e.alias(c))
-    return df.select(cols)
+    return tuple(cols)
 
 
 def union_years(frames: list[DataFrame], target: list[str] | None = None,

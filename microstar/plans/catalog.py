@@ -965,7 +965,7 @@ def _exam_star(spark, sf, table: str):
     from microstar.plans import exam
     path = _exam_raw_standin(spark, sf)
     cleaned = exam.clean(exam.read_raw(spark, path, 2019), 2019)
-    return exam.build_star(exam.curate({2019: cleaned}, state="RR"), tables=[table])[table]
+    return exam.build_star(exam.curate({2019: cleaned}, state="RR", tables=[table]), tables=[table])[table]
 
 
 _EXAM_ROUTED = """

@@ -80,7 +80,13 @@ def _code(c: str) -> Column:
 
 def derivations(year: int, fixes: bool = False) -> dict[str, Column]:
     """All derived columns of one edition (X3-X12), as one dict for a single
-    projection."""
+    projection.  Built once per (edition, fixes): Column expressions are
+    immutable and reusable across DataFrames."""
+    return dict(_derivations(year, fixes))
+
+
+@lru_cache(maxsize=16)
+def _derivations(year: int, fixes: bool) -> dict[str, Column]:
     out: dict[str, Column] = {}
     for target, source, map_name in L.CODE_LABELS:
         mapping = L.LABELS[map_name]
@@ -107,24 +113,53 @@ def derivations(year: int, fixes: bool = False) -> dict[str, Column]:
     return out
 
 
+def derived_columns_for(tables) -> set[str]:
+    """Derived columns that the given star tables and their routing use."""
+    every = set(_derivations(2019, False))
+    need: set[str] = set()
+    for name in tables:
+        if name == "DIM_RSP_PRV":
+            need.add(S.ROUTES[name][0])
+            continue
+        for c in S.STAR_COLUMNS[name]:
+            src = c if isinstance(c, str) else c[0]
+            if src in every:
+                need.add(src)
+        if S.ROUTES[name] and S.ROUTES[name][0] in every:
+            need.add(S.ROUTES[name][0])
+    return need
+
+
+@lru_cache(maxsize=16)
+def _recode_columns(year: int) -> dict[str, Column]:
+    return {c: recode_map(c, m) for c, m in recodes_for(year).items()}
+
+
 def curate_year(cleaned: DataFrame, year: int, state: str | None = DEFAULT_STATE,
-                fixes: bool = False) -> DataFrame:
+                fixes: bool = False, outputs: set[str] | None = None) -> DataFrame:
     """CLEANED edition -> derived curated base.
 
     The state filter is the first operator, so on a Parquet CLEANED layer it
-    is pushed into the scan.
+    is pushed into the scan.  ``outputs`` limits the derivations to the
+    named columns (``derived_columns_for(tables)``): the plan then carries
+    only what the target tables need.
     """
     df = filter_eq(cleaned, "UF_PRV", state) if state else cleaned
     df = harmonise(df, list(curated_input_columns()), defaults=S.FLAG_DEFAULTS)
-    recodes = {c: recode_map(c, m) for c, m in recodes_for(year).items() if c in df.columns}
-    df = df.withColumns(recodes)
-    return df.withColumns(derivations(year, fixes))
+    df = df.withColumns({c: e for c, e in _recode_columns(year).items() if c in df.columns})
+    derived = derivations(year, fixes)
+    if outputs is not None:
+        derived = {k: v for k, v in derived.items() if k in outputs}
+    return df.withColumns(derived)
 
 
 def curate(cleaned_by_year: dict[int, DataFrame], state: str | None = DEFAULT_STATE,
-           fixes: bool = False) -> DataFrame:
-    """All editions in one plan: per-year derivation, then UNION ALL."""
-    frames = [curate_year(df, y, state, fixes) for y, df in sorted(cleaned_by_year.items())]
+           fixes: bool = False, tables=None) -> DataFrame:
+    """All editions in one plan: per-year derivation, then UNION ALL.
+
+    With ``tables`` only the derivations those star tables use are built."""
+    outputs = derived_columns_for(tables) if tables else None
+    frames = [curate_year(df, y, state, fixes, outputs) for y, df in sorted(cleaned_by_year.items())]
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 

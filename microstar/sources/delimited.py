@@ -7,6 +7,8 @@ cells and the null token ('-') become null.
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 DEFAULT_ENCODING = "ISO-8859-1"
@@ -37,7 +39,12 @@ def read_delimited(spark: SparkSession, path, columns: list[str], sep: str = ";"
            .option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True)
            .csv(path))
-    return raw.select([clean_cell(F.col(c), null_token).alias(c) for c in columns])
+    return raw.select(list(_cleaned_cells(tuple(columns), null_token)))
+
+
+@lru_cache(maxsize=64)
+def _cleaned_cells(columns: tuple, null_token) -> tuple:
+    return tuple(clean_cell(F.col(c), null_token).alias(c) for c in columns)
 
 
 def clean_cell(c, null_token: str | None = NULL_TOKEN):
