@@ -59,8 +59,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
     On a cluster this setting names a shared (distributed) folder and is
-    used as is.  Only when it is unset -- local runs and tests -- a private
-    folder is created and registered as the checkpoint directory.
+    used as is; if it is unset there, this raises instead of falling back to
+    a machine-local folder.  Only for local masters (tests, local runs) an
+    unset setting gets a private temporary folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
@@ -69,6 +70,8 @@ def checkpoint_root(spark: SparkSession) -> str:
         except Exception:  # pragma: no cover - older API
             root = None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a shared folder")
         root = tempfile.mkdtemp(prefix="microstar-ckpt-")
     spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
