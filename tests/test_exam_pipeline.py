@@ -142,3 +142,20 @@ def test_load_star_partitioned_and_idempotent(spark, star, tmp_path):
     cad = spark.read.parquet(f"{out}/DIM_CADASTRAL")
     assert cad.count() == len(star["good"]["DIM_CADASTRAL"])
     assert cad.where(F.col("ANO_ENEM") == 2016).count() == 1
+
+
+def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
+    d = tmp_path / "in"
+    d.mkdir()
+    paths = {2019: X.write_raw(str(d), 2019, X.rows_2019()), 2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
+    out = str(tmp_path / "layers")
+    exam.run_pipeline(spark, paths, out)
+    exam.run_pipeline(spark, paths, out)                                # rerun: same result
+    assert spark.read.parquet(f"{out}/raw/2019").count() == 5
+    assert len(spark.read.parquet(f"{out}/cleaned/2015").columns) == 166
+    cad = spark.read.parquet(f"{out}/curated/DIM_CADASTRAL")
+    assert sorted(r["NUM_INS"] for r in cad.collect()) == ["150000000001", "190000000001", "190000000002",
+                                                             "190000000003"]
+    assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
+    ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
+    assert ans.count() == 4 + 3 + 4 + 4                                   # 001, 003, 004, 2015 row
