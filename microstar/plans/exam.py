@@ -46,6 +46,21 @@ def read_raw(spark: SparkSession, path, year: int, encoding: str = DEFAULT_ENCOD
     return read_delimited(spark, path, LAYOUTS[year], sep=SEPARATOR[year], encoding=encoding)
 
 
+def check_raw(raw: DataFrame, year: int) -> DataFrame:
+    """RAW layer typing (K4): every column a string within its VARCHAR width;
+    ``_reject_reason`` names the first column that is too long."""
+    from microstar.spec.widths import raw_width
+    return enforce_schema(raw, [FieldSpec(c, "string", raw_width(year, c)) for c in raw.columns])
+
+
+def check_cleaned(cleaned: DataFrame, year: int) -> DataFrame:
+    """CLEANED layer typing (K4): renamed columns keep their raw width; the
+    two '-1' defaults are two characters wide."""
+    from microstar.spec.widths import cleaned_widths
+    w = cleaned_widths(year)
+    return enforce_schema(cleaned, [FieldSpec(c, "string", w[c]) for c in cleaned.columns])
+
+
 # ------------------------------------------------------------ CLEANED ----
 
 def clean(raw: DataFrame, year: int, fixes: bool = False) -> DataFrame:
@@ -225,12 +240,25 @@ def load_star(star: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
     return paths
 
 
+def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
+    good, bad = split_rejects(checked)
+    overwrite_load(good, path)
+    overwrite_load(bad, rejects_path)
+
+
 def run_pipeline(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
                  state: str | None = DEFAULT_STATE, fixes: bool = False) -> dict[str, str]:
-    """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star."""
+    """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star.
+
+    Each layer load is typed against its table definition: rows with a
+    value wider than the column go to ``<layer>_rejects/<year>`` with the
+    reason (the reference's database would have failed the whole insert).
+    """
     raw_dir, clean_dir = f"{out_dir}/raw", f"{out_dir}/cleaned"
     for year, path in sorted(raw_paths.items()):
-        overwrite_load(read_raw(spark, path, year), f"{raw_dir}/{year}")
-        overwrite_load(clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes), f"{clean_dir}/{year}")
+        _load_checked(check_raw(read_raw(spark, path, year), year), f"{raw_dir}/{year}",
+                      f"{out_dir}/raw_rejects/{year}")
+        cleaned = clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes)
+        _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")
     cleaned = {y: spark.read.parquet(f"{clean_dir}/{y}") for y in raw_paths}
     return load_star(build_star(curate(cleaned, state, fixes)), f"{out_dir}/curated")

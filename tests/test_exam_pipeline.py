@@ -147,11 +147,16 @@ def test_load_star_partitioned_and_idempotent(spark, star, tmp_path):
 def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
-    paths = {2019: X.write_raw(str(d), 2019, X.rows_2019()), 2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
+    too_long = X.base_row(2019, "1900000000099")                         # 13 characters: VARCHAR(12)
+    paths = {2019: X.write_raw(str(d), 2019, X.rows_2019() + [too_long]),
+             2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
     out = str(tmp_path / "layers")
     exam.run_pipeline(spark, paths, out)
     exam.run_pipeline(spark, paths, out)                                # rerun: same result
     assert spark.read.parquet(f"{out}/raw/2019").count() == 5
+    rej = spark.read.parquet(f"{out}/raw_rejects/2019").collect()
+    assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in rej] == [("1900000000099", "NU_INSCRICAO: longer than 12")]
+    assert spark.read.parquet(f"{out}/cleaned_rejects/2019").count() == 0
     assert len(spark.read.parquet(f"{out}/cleaned/2015").columns) == 166
     cad = spark.read.parquet(f"{out}/curated/DIM_CADASTRAL")
     assert sorted(r["NUM_INS"] for r in cad.collect()) == ["150000000001", "190000000001", "190000000002",
@@ -159,3 +164,13 @@ def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
     assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
     ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
     assert ans.count() == 4 + 3 + 4 + 4                                   # 001, 003, 004, 2015 row
+
+
+def test_layer_widths():
+    from microstar.spec.widths import cleaned_widths, raw_width
+    assert [raw_width(2019, c) for c in ("NU_INSCRICAO", "TX_RESPOSTAS_LC", "TX_RESPOSTAS_MT", "NU_NOTA_MT",
+                                         "NU_NOTA_COMP3", "IN_SEM_RECURSO", "Q005", "TP_SEXO")] == \
+        [12, 50, 45, 5, 3, 101, 2, 1]
+    assert raw_width(2015, "NU_NOTA_MT") == 6 and raw_width(2015, "TP_STATUS_REDACAO") == 2
+    w = cleaned_widths(2019)
+    assert (w["TPO_ENS_ESC_ENS_MED"], w["FL_SIT_FUN_ESC"], w["NOM_MUN_RSD"], w["NUM_INS"]) == (2, 2, 120, 12)
