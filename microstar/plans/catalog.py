@@ -1175,3 +1175,28 @@ def q_exam_resources_pipeline(spark, sf):
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_RECURSO_DIFERENCIADO"))
     return good
+
+
+@register("municipality_pipeline", """
+WITH m AS (SELECT lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS COD_SIAFI,
+                  lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS CNPJ, strip_accents(c_name) AS NOM_MUN,
+                  CAST(c_nationkey AS VARCHAR) AS UF, reverse(lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS COD_MUN_IBGE
+           FROM customer)
+SELECT COD_MUN_IBGE, substring(COD_MUN_IBGE, 1, 1) AS COD_REG_UF,
+  CASE substring(COD_MUN_IBGE, 1, 1) WHEN '1' THEN 'N' WHEN '2' THEN 'NE' WHEN '3' THEN 'SE'
+       WHEN '4' THEN 'S' WHEN '5' THEN 'CO' ELSE '' END AS REG_UF,
+  substring(COD_MUN_IBGE, 1, 2) AS COD_UF, UF, substring(COD_MUN_IBGE, 3, 5) AS COD_MUN, NOM_MUN
+FROM m WHERE COD_MUN_IBGE <> '0000000'
+""")
+def q_municipality_pipeline(spark, sf):
+    """Municipality list as delimited text (staged from customer) -> raw
+    read by position -> cleaned (accent folding, rename) -> curated."""
+    from microstar.plans.municipality import clean_municipality, curate_municipality, read_municipality_raw
+    c = T(spark, sf, "customer")
+    staged = c.select(F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("CODIGO SIAFI"),
+                      F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ"),
+                      F.col("c_name").alias("DESCRICAO"), F.col("c_nationkey").cast("string").alias("UF"),
+                      F.reverse(F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("CODIGO IBGE"))
+    path = scratch_path(spark, "municipality_raw")
+    write_delimited(staged, path, sep=";")
+    return curate_municipality(clean_municipality(read_municipality_raw(spark, path)))
