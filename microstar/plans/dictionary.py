@@ -72,3 +72,37 @@ def domain_frame(spark) -> DataFrame:
                 rows.append((str(year), col, raw, int(cur), labels.get(cur, "")))
     return spark.createDataFrame(rows, "ANO string, NOME_CAMPO_CLEANED string, CODIGO_DOMINIO_RAW string, "
                                        "CODIGO_DOMINIO_CURATED int, DESCRICAO_CURATED string")
+
+
+def curated_fields_frame(spark) -> DataFrame:
+    """CAMPOS_CURATED: (TABELA, SEQUENCIA, CAMPO) of every curated table."""
+    from microstar.spec.star import ANSWER_COLUMNS, STAR_COLUMNS
+    rows = []
+    tables = dict(STAR_COLUMNS)
+    tables["DIM_RSP_PRV"] = ANSWER_COLUMNS
+    for table, cols in tables.items():
+        for seq, c in enumerate(cols, start=1):
+            rows.append((f"{table}_RR" if table != "DIM_RSP_PRV" else table, seq,
+                         c if isinstance(c, str) else c[1]))
+    return spark.createDataFrame(rows, "TABELA string, SEQUENCIA int, CAMPO string")
+
+
+def curated_types_frame(spark) -> DataFrame:
+    """DESCRICAO_CAMPOS_CURATED without the free-text description:
+    (NOME_CAMPO_CLEANED, TIPO_DADOS, TAMANHO) from the curated types
+    (TAMANHO = declared characters for strings, 4/8 bytes for INT/FLOAT)."""
+    from microstar.spec.star import column_type
+    sizes = {"int": ("INT", 4), "bigint": ("INT", 4), "double": ("FLOAT", 8)}
+    names = {r["CAMPO"] for r in curated_fields_frame(spark).select("CAMPO").distinct().collect()}
+    rows = []
+    for name in sorted(names):
+        t, n = column_type(name)
+        rows.append((name,) + (("VARCHAR", n) if t == "string" else sizes[t]))
+    return spark.createDataFrame(rows, "NOME_CAMPO_CLEANED string, TIPO_DADOS string, TAMANHO int")
+
+
+def table_sizes(fields: DataFrame, types: DataFrame) -> DataFrame:
+    """SUM(TAMANHO) by table, sequence, field and type (A3) over the
+    curated dictionary: fields -> types is a many-to-one broadcast join."""
+    j = fields.join(bounded_broadcast(types), fields.CAMPO == types.NOME_CAMPO_CLEANED, "left")
+    return j.groupBy("TABELA", "SEQUENCIA", "CAMPO", "TIPO_DADOS").agg(F.sum("TAMANHO").alias("TAMANHO"))

@@ -26,3 +26,13 @@ def test_domains_and_field_join(spark):
     assert j.where((F.col("ANO") == "2015") & (F.col("NOME_CAMPO_RAW") == "TP_SEXO")).count() == 2
     listing = D.member_listing(lin.where(F.col("ANO") == "2017"), ["NOME_CAMPO_CLEANED"])
     assert listing.count() == 137
+
+
+def test_curated_dictionary_sizes(spark):
+    fields, types = D.curated_fields_frame(spark), D.curated_types_frame(spark)
+    assert fields.where(F.col("TABELA") == "DIM_CADASTRAL_RR").count() == 16
+    sizes = D.table_sizes(fields, types)
+    per_table = {r["TABELA"]: r["s"] for r in sizes.groupBy("TABELA").agg(F.sum("TAMANHO").alias("s")).collect()}
+    # NUM_INS 12, ANO_ENEM 4, 5 INT (4 bytes), DSC 20+50+50+50, 2 codes 7, 3 flags 3
+    assert per_table["DIM_CADASTRAL_RR"] == 12 + 4 + 5 * 4 + 20 + 50 + 50 + 50 + 7 + 7 + 3 * 3
+    assert sizes.where(F.col("TIPO_DADOS").isNull()).count() == 0
