@@ -70,6 +70,14 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
               .where(F.col("n_rows") > 1))
 
 
+def sort_with_tiebreak(df: DataFrame, order_by: list) -> DataFrame:
+    """Global sort on ``order_by`` plus a unique input row id, so that the
+    range partitioner can cut inside a run of equal keys (a hot key does not
+    land in one task)."""
+    return (df.withColumn("_tie", F.monotonically_increasing_id())
+              .orderBy(*order_by, "_tie").drop("_tie"))
+
+
 def surrogate_key(df: DataFrame, order_by: list, name: str = "SK", start: int = 1) -> DataFrame:
     """Dense 1, 2, 3 ... key following ``order_by`` (K6, an IDENTITY column).
 
@@ -84,9 +92,7 @@ def surrogate_key(df: DataFrame, order_by: list, name: str = "SK", start: int =
     ``order_by`` should be unique for a deterministic key.
     """
     checkpoint_root(df.sparkSession)
-    tie = df.withColumn("_tie", F.monotonically_increasing_id())
-    tagged = (tie.orderBy(*order_by, "_tie").drop("_tie")
-                 .withColumn("_mid", F.monotonically_increasing_id()))
+    tagged = sort_with_tiebreak(df, order_by).withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftrightunsigned(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
