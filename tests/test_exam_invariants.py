@@ -83,3 +83,20 @@ def test_notebook_flow_end_to_end(spark, built, tmp_path):
     rate = ev.holdout_hit_rate.first()["percentual_acerto"]
     assert rate is None or 0.0 <= rate <= 100.0
     assert set(A.profile(joined.select(*A.FEATURES, "ANO_ENEM"))) >= {"summary", "corr", "histogram"}
+
+
+def test_command_line_pipeline_and_analysis(spark, built, tmp_path):
+    from microstar.__main__ import main
+    o = spark.read.parquet(f"{SF}/orders.parquet")
+    p18 = C._write_exam_raw_standin(spark, SF, 2018, o.where(F.year("o_orderdate") < 1998))
+    p19 = C._write_exam_raw_standin(spark, SF, 2019, o.where(F.year("o_orderdate") >= 1998))
+    out = str(tmp_path / "lake")
+    assert main(["pipeline", "--edition", f"2018={p18}", "--edition", f"2019={p19}", "--out", out]) == 0
+    cur = f"{out}/curated"
+    mun = curate_municipality(spark.read.parquet(f"{SF}/customer.parquet").select(
+        F.lpad(F.col("c_custkey").cast("string"), 7, "1").alias("COD_MUN_IBGE"),
+        F.col("c_name").alias("NOM_MUN"), F.col("c_nationkey").cast("string").alias("UF")))
+    tables = {k: (mun if k == "municipio" else spark.read.parquet(f"{cur}/{v}")) for k, v in A.STAR_EXPORTS.items()}
+    A.export_star_csv(tables, str(tmp_path / "export"))
+    assert main(["analyse", "--star", str(tmp_path / "export"), "--report", str(tmp_path / "report")]) == 0
+    assert spark.read.parquet(str(tmp_path / "report" / "model")).count() == len(A.FEATURES) + 1
