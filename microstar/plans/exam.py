@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from microstar.functions import (any_flag, any_flag_int, attendance_code, attendance_label,
@@ -203,12 +204,13 @@ def typed(df: DataFrame) -> DataFrame:
 
 
 def build_star(base: DataFrame, answers_key: bool = True,
-               tables: list[str] | None = None) -> dict[str, DataFrame]:
+               tables: list[str] | None = None, key_start: int = 1) -> dict[str, DataFrame]:
     """Route the derived base into the star.
 
     Returns typed tables (``_reject_reason`` column included; use
     ``split_rejects``).  Each table is its own lazy plan over ``base``;
-    ``tables`` restricts the output to the named ones.
+    ``tables`` restricts the output to the named ones; ``key_start`` is the
+    first answers identity value (1 for a full load).
     """
     wanted = set(tables) if tables else set(S.STAR_COLUMNS) | {"DIM_RSP_PRV"}
     star = route(base, {k: v for k, v in star_targets().items() if k in wanted})
@@ -217,7 +219,8 @@ def build_star(base: DataFrame, answers_key: bool = True,
     answers = unpivot_groups(base.where(_predicate(S.ROUTES["DIM_RSP_PRV"])), ["NUM_INS", "ANO_ENEM"],
                              S.ANSWER_GROUPS, "AREA_CCN_ITEM", ["RSP_INS", "COD_PRV"], not_null="RSP_INS")
     if answers_key:
-        answers = surrogate_key(answers, ["ANO_ENEM", "NUM_INS", "AREA_CCN_ITEM"], name="DIM_RSP_PRV_PK")
+        answers = surrogate_key(answers, ["ANO_ENEM", "NUM_INS", "AREA_CCN_ITEM"], name="DIM_RSP_PRV_PK",
+                                start=key_start)
     else:
         answers = answers.withColumn("DIM_RSP_PRV_PK", F.lit(None).cast("bigint"))
     star["DIM_RSP_PRV"] = answers.select(*S.ANSWER_COLUMNS, "ANO_ENEM")
@@ -240,6 +243,19 @@ def load_star(star: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
     return paths
 
 
+def next_answer_key(spark: SparkSession, answers_path: str, years) -> int:
+    """First identity value for reloading ``years``: one past the largest key
+    kept in the other editions of an existing answers table (1 if none).
+    Like an IDENTITY column, keys stay unique across partial reloads."""
+    try:
+        existing = spark.read.parquet(answers_path)
+    except AnalysisException:
+        return 1
+    kept = existing.where(~F.col("ANO_ENEM").cast("int").isin([int(y) for y in years]))
+    top = kept.agg(F.max("DIM_RSP_PRV_PK")).first()[0]
+    return 1 if top is None else int(top) + 1
+
+
 def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
     good, bad = split_rejects(checked)
     overwrite_load(good, path)
@@ -261,4 +277,5 @@ def run_pipeline(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
         cleaned = clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes)
         _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")
     cleaned = {y: spark.read.parquet(f"{clean_dir}/{y}") for y in raw_paths}
-    return load_star(build_star(curate(cleaned, state, fixes)), f"{out_dir}/curated")
+    start = next_answer_key(spark, f"{out_dir}/curated/DIM_RSP_PRV", raw_paths)
+    return load_star(build_star(curate(cleaned, state, fixes), key_start=start), f"{out_dir}/curated")

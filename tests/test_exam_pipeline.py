@@ -164,6 +164,15 @@ def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
     assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
     ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
     assert ans.count() == 4 + 3 + 4 + 4                                   # 001, 003, 004, 2015 row
+    assert sorted(r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()) == list(range(1, 16))
+    keys_2015 = sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect())
+    # reload 2019 alone: 2015 keeps its keys, 2019 continues after the largest kept key
+    exam.run_pipeline(spark, {2019: paths[2019]}, out)
+    ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
+    keys = [r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()]
+    assert len(keys) == len(set(keys)) == 15
+    assert sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect()) == keys_2015
+    assert min(r[0] for r in ans.where("ANO_ENEM = 2019").select("DIM_RSP_PRV_PK").collect()) == max(keys_2015) + 1
 
 
 def test_layer_widths():
