@@ -33,3 +33,16 @@ def test_stream_cleaned_then_curated(spark, tmp_path):
     cad = spark.read.parquet(f"{cur}/DIM_CADASTRAL")
     assert sorted(r["NUM_INS"] for r in cad.collect()) == ["190000000001", "190000000002", "190000000003"]
     assert spark.read.parquet(f"{cur}/_rejects/DIM_CADASTRAL").count() == 1
+
+
+def test_replayed_batch_does_not_duplicate(spark, tmp_path):
+    from microstar.streaming.ingest import write_star_batch
+    raw = X.write_raw(str(tmp_path), 2019, X.rows_2019())
+    batch = exam.clean(exam.read_raw(spark, raw, 2019), 2019)
+    out = str(tmp_path / "cur")
+    write_star_batch(batch, 7, 2019, out)
+    write_star_batch(batch, 7, 2019, out)                          # the same batch id delivered again
+    assert spark.read.parquet(f"{out}/DIM_PRESENCA").count() == 4
+    write_star_batch(batch.limit(1), 8, 2019, out)                 # a new batch adds rows
+    assert spark.read.parquet(f"{out}/DIM_PRESENCA").count() >= 4
+    assert {r[0] for r in spark.read.parquet(f"{out}/DIM_PRESENCA").select("_batch").distinct().collect()} == {7, 8}
