@@ -1,10 +1,10 @@
 """Command line: load editions into the star, or analyse an exported star.
 
-    python -m microstar pipeline --edition 2019=/data/MICRODADOS_2019.csv \\
+    python -m microstar load --edition 2019=/data/MICRODADOS_2019.csv \\
         --edition 2018=/data/MICRODADOS_2018.csv --out /lake/exam [--state RR] [--fixes]
     python -m microstar analyse --star /lake/export --report /lake/report
 
-``pipeline`` writes raw/, cleaned/ (one folder per edition) and curated/
+``load`` writes raw/, cleaned/ (one folder per edition) and curated/
 (star tables partitioned by ANO_ENEM, plus rejects).  ``analyse`` reads the
 tab-separated star export (cadastral, ensino, presenca, local, socio,
 municipio, nota sub-folders), fits and evaluates the grade model and writes
@@ -29,7 +29,7 @@ def _editions(items: list[str]) -> dict[int, str]:
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="microstar")
     sub = parser.add_subparsers(dest="cmd", required=True)
-    p = sub.add_parser("pipeline", help="raw editions -> RAW, CLEANED, CURATED star")
+    p = sub.add_parser("load", help="raw editions -> RAW, CLEANED, CURATED star")
     p.add_argument("--edition", action="append", required=True, help="YEAR=PATH (file or folder)")
     p.add_argument("--out", required=True)
     p.add_argument("--state", default="RR", help="exam state to keep; empty string keeps all")
@@ -41,9 +41,9 @@ def main(argv: list[str] | None = None) -> int:
 
     from microstar.session import get_spark
     spark = get_spark(app=f"microstar-{args.cmd}")
-    if args.cmd == "pipeline":
+    if args.cmd == "load":
         from microstar.plans import exam
-        paths = exam.run_pipeline(spark, _editions(args.edition), args.out, state=args.state or None,
+        paths = exam.load_editions(spark, _editions(args.edition), args.out, state=args.state or None,
                                   fixes=args.fixes)
         print(json.dumps(paths))
         return 0

@@ -972,7 +972,7 @@ _EXAM_ROUTED = """
   FROM s WHERE UF = 'RR' AND (P_CN <> '0' OR P_CH <> '0' OR P_LC <> '0' OR P_MT <> '0')"""
 
 
-@register("exam_fact_pipeline", f"""
+@register("exam_fact_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 g AS (SELECT NUM_INS, CAST(G_CN AS DOUBLE) AS CN, CAST(G_CH AS DOUBLE) AS CH, CAST(G_LC AS DOUBLE) AS LC,
         CAST(coalesce(G_MT, '0') AS DOUBLE) AS MT, CAST(RDC AS DOUBLE) AS RD,
@@ -994,14 +994,14 @@ SELECT NUM_INS, '2019' AS ANO_ENEM, CH AS NOT_CIE_HUM, CN AS NOT_CIE_NAT, MT AS
   (CN + CH + LC + MT + RD) / 5.0 AS NOT_MED
 FROM g
 """)
-def q_exam_fact_pipeline(spark, sf):
+def q_exam_fact_flow(spark, sf):
     """Raw text -> cleaned -> curated -> FAT_NOTA (good rows, typed)."""
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "FAT_NOTA"))
     return good
 
 
-@register("exam_answers_pipeline", f"""
+@register("exam_answers_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 r AS (SELECT NUM_INS, P_CN, P_CH, P_LC, P_MT, o_orderkey, PRV_CN, PRV_CH, PRV_LC, PRV_MT {_EXAM_ROUTED}),
 u AS (
@@ -1014,7 +1014,7 @@ SELECT row_number() OVER (ORDER BY NUM_INS, AREA_CCN_ITEM) AS DIM_RSP_PRV_PK, NU
   CAST(PRV AS INTEGER) AS COD_PRV, AREA_CCN_ITEM, RSP_INS, '2019' AS ANO_ENEM
 FROM u
 """)
-def q_exam_answers_pipeline(spark, sf):
+def q_exam_answers_flow(spark, sf):
     """Raw text -> ... -> DIM_RSP_PRV: unpivot of four (answers, exam code)
     pairs, null answers dropped, dense identity key."""
     from microstar.operators.quality import split_rejects
@@ -1022,7 +1022,7 @@ def q_exam_answers_pipeline(spark, sf):
     return good
 
 
-@register("exam_presence_pipeline", f"""
+@register("exam_presence_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 p AS (SELECT NUM_INS, coalesce(P_CN, '') AS CN, P_CH AS CH, P_LC AS LC, P_MT AS MT FROM s WHERE UF = 'RR')
 SELECT NUM_INS, '2019' AS ANO_ENEM,
@@ -1043,7 +1043,7 @@ SELECT NUM_INS, '2019' AS ANO_ENEM,
        WHEN CN <> '0' AND CH <> '0' AND LC <> '0' AND MT <> '0' THEN 'Presente' ELSE 'Parcial' END AS DSC_TPO_PSC
 FROM p
 """)
-def q_exam_presence_pipeline(spark, sf):
+def q_exam_presence_flow(spark, sf):
     """Raw text -> ... -> DIM_PRESENCA: presence labels, attendance class,
     exam-day rule (2019: day 1 = languages), unrouted (every candidate)."""
     from microstar.operators.quality import split_rejects
@@ -1051,7 +1051,7 @@ def q_exam_presence_pipeline(spark, sf):
     return good
 
 
-@register("exam_cadastral_pipeline", f"""
+@register("exam_cadastral_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 c AS (SELECT NUM_INS, CASE upper(SEXO) WHEN 'F' THEN '0' WHEN 'M' THEN '1' ELSE SEXO END AS SEX,
         EST_CVL, COR, NAC, IDADE, TREINEIRO, IDOSO, MUN_NSC, MUN_RSD
@@ -1074,7 +1074,7 @@ SELECT NUM_INS, '2019' AS ANO_ENEM, CAST(IDADE AS INTEGER) AS IDD_INS, CAST(SEX
   CASE TREINEIRO WHEN '0' THEN 'Não' WHEN '1' THEN 'Sim' ELSE '' END AS FL_INS_TRE
 FROM c WHERE SEX IN ('0', '1')
 """)
-def q_exam_cadastral_pipeline(spark, sf):
+def q_exam_cadastral_flow(spark, sf):
     """Raw text -> ... -> DIM_CADASTRAL good rows: case-insensitive sex
     recode, code and yes/no labels; rows with an invalid sex code are
     rejected by the typed load (K4) and not in the good table."""
@@ -1105,7 +1105,7 @@ def _exam_2019_recodes():
 _R19 = _exam_2019_recodes()
 
 
-@register("exam_schooling_pipeline", f"""
+@register("exam_schooling_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 c AS (SELECT NUM_INS,
         {_recode_sql('ANO_CONCL', _R19['ANO_CCL_ENS_MED'])} AS ANO,
@@ -1122,7 +1122,7 @@ SELECT NUM_INS, '2019' AS ANO_ENEM, '' AS TPO_ESC_ENS_FDM_DET, '' AS TPO_ENS_ESC
   '' AS TPO_ENS_ESC_ENS_MED_DET, '' AS TRN_ENS_MED, '' AS FL_SOL_CTF_ENS_MED, CAST(NULL AS VARCHAR) AS NOM_ENT_CTF
 FROM c
 """)
-def q_exam_schooling_pipeline(spark, sf):
+def q_exam_schooling_flow(spark, sf):
     """Raw text -> ... -> DIM_ENSINO: edition recodes (27-code conclusion
     year with placeholders, '-1' default kept by token) then labels;
     questions absent in 2019 label as ''."""
@@ -1131,7 +1131,7 @@ def q_exam_schooling_pipeline(spark, sf):
     return good
 
 
-@register("exam_school_pipeline", f"""
+@register("exam_school_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL})
 SELECT NUM_INS, '2019' AS ANO_ENEM, COD_ESC, CAST(LOCAL_ESC AS INTEGER) AS COD_TPO_LCL_ESC,
   {_case_sql('LOCAL_ESC', LABELS['DSC_TPO_LCL_ESC'])} AS DSC_TPO_LCL_ESC,
@@ -1141,7 +1141,7 @@ SELECT NUM_INS, '2019' AS ANO_ENEM, COD_ESC, CAST(LOCAL_ESC AS INTEGER) AS COD_T
   MUN_ESC AS COD_MUN_ESC
 FROM s WHERE UF = 'RR' AND COD_ESC IS NOT NULL
 """)
-def q_exam_school_pipeline(spark, sf):
+def q_exam_school_flow(spark, sf):
     """Raw text -> ... -> DIM_ESCOLA: routed on a non-null school code;
     school status null -> '-1' (cleaned default) -> int -1, label ''."""
     from microstar.operators.quality import split_rejects
@@ -1162,13 +1162,13 @@ def _resources_sql() -> str:
     return ",\n  ".join(cols)
 
 
-@register("exam_resources_pipeline", f"""
+@register("exam_resources_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL})
 SELECT NUM_INS, '2019' AS ANO_ENEM,
   {_resources_sql()}
 FROM s WHERE UF = 'RR' AND (AMP18 <> '0' OR LEDOR <> '0')
 """)
-def q_exam_resources_pipeline(spark, sf):
+def q_exam_resources_flow(spark, sf):
     """Raw text -> ... -> DIM_RECURSO_DIFERENCIADO: routed when any of the
     29 resource flags is set; large print and lying-down any-of flags; the
     flag absent from the edition is the constant 0."""
@@ -1177,7 +1177,7 @@ def q_exam_resources_pipeline(spark, sf):
     return good
 
 
-@register("municipality_pipeline", """
+@register("municipality_flow", """
 WITH m AS (SELECT lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS COD_SIAFI,
                   lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS CNPJ, strip_accents(c_name) AS NOM_MUN,
                   CAST(c_nationkey AS VARCHAR) AS UF, reverse(lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS COD_MUN_IBGE
@@ -1188,7 +1188,7 @@ SELECT COD_MUN_IBGE, substring(COD_MUN_IBGE, 1, 1) AS COD_REG_UF,
   substring(COD_MUN_IBGE, 1, 2) AS COD_UF, UF, substring(COD_MUN_IBGE, 3, 5) AS COD_MUN, NOM_MUN
 FROM m WHERE COD_MUN_IBGE <> '0000000'
 """)
-def q_municipality_pipeline(spark, sf):
+def q_municipality_flow(spark, sf):
     """Municipality list as delimited text (staged from customer) -> raw
     read by position -> cleaned (accent folding, rename) -> curated."""
     from microstar.plans.municipality import clean_municipality, curate_municipality, read_municipality_raw

@@ -262,7 +262,7 @@ def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
     overwrite_load(bad, rejects_path)
 
 
-def run_pipeline(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
+def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
                  state: str | None = DEFAULT_STATE, fixes: bool = False) -> dict[str, str]:
     """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star.
 

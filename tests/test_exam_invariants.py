@@ -85,13 +85,13 @@ def test_notebook_flow_end_to_end(spark, built, tmp_path):
     assert set(A.profile(joined.select(*A.FEATURES, "ANO_ENEM"))) >= {"summary", "corr", "histogram"}
 
 
-def test_command_line_pipeline_and_analysis(spark, built, tmp_path):
+def test_command_line_load_and_analysis(spark, built, tmp_path):
     from microstar.__main__ import main
     o = spark.read.parquet(f"{SF}/orders.parquet")
     p18 = C._write_exam_raw_standin(spark, SF, 2018, o.where(F.year("o_orderdate") < 1998))
     p19 = C._write_exam_raw_standin(spark, SF, 2019, o.where(F.year("o_orderdate") >= 1998))
     out = str(tmp_path / "lake")
-    assert main(["pipeline", "--edition", f"2018={p18}", "--edition", f"2019={p19}", "--out", out]) == 0
+    assert main(["load", "--edition", f"2018={p18}", "--edition", f"2019={p19}", "--out", out]) == 0
     cur = f"{out}/curated"
     mun = curate_municipality(spark.read.parquet(f"{SF}/customer.parquet").select(
         F.lpad(F.col("c_custkey").cast("string"), 7, "1").alias("COD_MUN_IBGE"),

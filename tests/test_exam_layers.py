@@ -144,15 +144,15 @@ def test_load_star_partitioned_and_idempotent(spark, star, tmp_path):
     assert cad.where(F.col("ANO_ENEM") == 2016).count() == 1
 
 
-def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
+def test_load_editions_writes_all_layers_idempotently(spark, tmp_path):
     d = tmp_path / "in"
     d.mkdir()
     too_long = X.base_row(2019, "1900000000099")                         # 13 characters: VARCHAR(12)
     paths = {2019: X.write_raw(str(d), 2019, X.rows_2019() + [too_long]),
              2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
     out = str(tmp_path / "layers")
-    exam.run_pipeline(spark, paths, out)
-    exam.run_pipeline(spark, paths, out)                                # rerun: same result
+    exam.load_editions(spark, paths, out)
+    exam.load_editions(spark, paths, out)                                # rerun: same result
     assert spark.read.parquet(f"{out}/raw/2019").count() == 5
     rej = spark.read.parquet(f"{out}/raw_rejects/2019").collect()
     assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in rej] == [("1900000000099", "NU_INSCRICAO: longer than 12")]
@@ -167,7 +167,7 @@ def test_run_pipeline_writes_all_layers_idempotently(spark, tmp_path):
     assert sorted(r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()) == list(range(1, 16))
     keys_2015 = sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect())
     # reload 2019 alone: 2015 keeps its keys, 2019 continues after the largest kept key
-    exam.run_pipeline(spark, {2019: paths[2019]}, out)
+    exam.load_editions(spark, {2019: paths[2019]}, out)
     ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
     keys = [r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()]
     assert len(keys) == len(set(keys)) == 15
