@@ -91,9 +91,10 @@ def curated_types_frame(spark) -> DataFrame:
     """DESCRICAO_CAMPOS_CURATED without the free-text description:
     (NOME_CAMPO_CLEANED, TIPO_DADOS, TAMANHO) from the curated types
     (TAMANHO = declared characters for strings, 4/8 bytes for INT/FLOAT)."""
-    from microstar.spec.star import column_type
+    from microstar.spec.star import ANSWER_COLUMNS, STAR_COLUMNS, column_type
     sizes = {"int": ("INT", 4), "bigint": ("INT", 4), "double": ("FLOAT", 8)}
-    names = {r["CAMPO"] for r in curated_fields_frame(spark).select("CAMPO").distinct().collect()}
+    names = {c if isinstance(c, str) else c[1] for cols in STAR_COLUMNS.values() for c in cols}
+    names |= set(ANSWER_COLUMNS)
     rows = []
     for name in sorted(names):
         t, n = column_type(name)
