@@ -48,7 +48,7 @@ def main(argv: list[str] | None = None) -> int:
         print(json.dumps(paths))
         return 0
     from microstar.plans import analysis as A
-    tables = A.read_star_exports(spark, {k: f"{args.star}/{k}" for k in A.STAR_EXPORTS})
+    tables = A.read_star(spark, args.star)
     ev = A.fit_and_evaluate(spark, A.join_star(tables))
     ev.holdout.write.mode("overwrite").parquet(f"{args.report}/holdout")
     ev.scored.write.mode("overwrite").parquet(f"{args.report}/scored")

@@ -83,3 +83,20 @@ def drop_columns(df: DataFrame, cols: list[str]) -> DataFrame:
 def with_derived(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add many derived columns in one projection (never a withColumn loop)."""
     return df.withColumns(columns)
+
+
+def recode(df: DataFrame, rules: dict, mode: str = "map") -> DataFrame:
+    """Recode several columns at once (X2), in one projection.
+
+    ``rules`` maps a column to a rule list (``Rule``) or to a composed map;
+    ``mode='map'`` (default) does one lookup per column, ``mode='sequential'``
+    applies the rule chain as whole-word, case-insensitive regex replaces
+    (rule lists only).
+    """
+    from microstar.functions.recode import recode_map, recode_sequential
+    if mode not in ("map", "sequential"):
+        raise ValueError(f"unknown recode mode {mode!r}")
+    if mode == "sequential" and any(isinstance(r, dict) for r in rules.values()):
+        raise ValueError("sequential mode needs rule lists, not composed maps")
+    fn = recode_map if mode == "map" else recode_sequential
+    return df.withColumns({c: fn(c, r) for c, r in rules.items()})

@@ -61,6 +61,11 @@ def read_star_exports(spark: SparkSession, paths: dict[str, str]) -> dict[str, D
     return t
 
 
+def read_star(spark: SparkSession, star_dir: str) -> dict[str, DataFrame]:
+    """The exported star under ``star_dir`` (one sub-folder per table)."""
+    return read_star_exports(spark, {k: f"{star_dir}/{k}" for k in STAR_EXPORTS})
+
+
 def join_star(t: dict[str, DataFrame]) -> DataFrame:
     """Candidates present at every exam with grades, enriched by schooling,
     exam place, municipality and socio-economic answers (J1-J4, F6, P9).

@@ -73,3 +73,13 @@ def test_labels_flags_and_codes(spark):
     assert [r["k"] for r in rows] == [2, 0, 0]
     assert [r["r"] for r in rows] == ["N", "CO", ""]
     assert rows[0]["mun"] == "00100"
+
+
+def test_dataframe_recode_modes(spark):
+    from microstar.operators.project import recode
+    df = spark.createDataFrame([("F", "3"), ("o", "1"), ("P", "x")], "s string, n string")
+    rules = {"s": [Rule("F", "A"), Rule("O", "F"), Rule("A", "O")], "n": [Rule("1", "0"), Rule("3", "1")]}
+    by_map = [tuple(r) for r in recode(df, rules).collect()]
+    by_seq = [tuple(r) for r in recode(df, rules, mode="sequential").collect()]
+    assert by_map == by_seq == [("O", "1"), ("F", "0"), ("P", "x")]
+    assert [tuple(r) for r in recode(df, {"s": {"F": "0"}}).collect()][0] == ("0", "3")
