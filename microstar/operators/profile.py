@@ -73,6 +73,40 @@ def profile_histogram(df: DataFrame, column: str, bins: int = 10, digits: int =
         "n_rows")
 
 
+def profile_histograms(df: DataFrame, columns: list[str], bins: int = 10, digits: int = 6) -> DataFrame:
+    """Equal-width histograms of many numeric columns in two scans.
+
+    One aggregate returns every column's bounds (2 numbers per column reach
+    the driver); one stacked (column, bucket) grouped count with partial
+    aggregation returns every bucket.  Same output as ``profile_histogram``.
+    """
+    row = df.agg(*[F.min(c).alias(f"lo{i}") for i, c in enumerate(columns)],
+                 *[F.max(c).alias(f"hi{i}") for i, c in enumerate(columns)]).first()
+    parts, meta = [], []
+    for i, c in enumerate(columns):
+        lo, hi = row[f"lo{i}"], row[f"hi{i}"]
+        if lo is None:
+            continue
+        lo, hi = float(lo), float(hi)
+        width = (hi - lo) / bins if hi > lo else 1.0
+        v = F.col(c).cast("double")
+        b = F.when(v.isNotNull(), F.least(F.floor((v - F.lit(lo)) / F.lit(width)), F.lit(bins - 1)).cast("int"))
+        parts.append(F.struct(F.lit(c).alias("column_name"), b.alias("bucket")))
+        meta.append((c, lo, width))
+    if not parts:
+        return df.sparkSession.createDataFrame(
+            [], "column_name string, bucket int, lo double, hi double, n_rows bigint")
+    cells = df.select(F.explode(F.array(*parts)).alias("x")).select("x.column_name", "x.bucket")
+    counts = cells.where(F.col("bucket").isNotNull()).groupBy("column_name", "bucket").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    lo_of = F.create_map(*[e for c, lo, _ in meta for e in (F.lit(c), F.lit(lo))])
+    width_of = F.create_map(*[e for c, _, w in meta for e in (F.lit(c), F.lit(w))])
+    lo_c, w_c = lo_of[F.col("column_name")], width_of[F.col("column_name")]
+    return counts.select("column_name", "bucket",
+                         F.round(lo_c + F.col("bucket") * w_c, digits).alias("lo"),
+                         F.round(lo_c + (F.col("bucket") + 1) * w_c, digits).alias("hi"), "n_rows")
+
+
 def profile_corr(df: DataFrame, columns: list[str], digits: int = 6) -> DataFrame:
     """Pearson correlation of every pair (col_a < col_b in list order); one job."""
     pairs = list(combinations(columns, 2))

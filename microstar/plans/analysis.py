@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from microstar.functions import comma_decimal, evaluation_columns
 from microstar.operators.join import bounded_broadcast, star_join
 from microstar.operators.ml import LinearModel, fit_linear_svr, hash_split, score_linear
-from microstar.operators.profile import profile_corr, profile_histogram, profile_summary, profile_topk
+from microstar.operators.profile import profile_corr, profile_histograms, profile_summary, profile_topk
 from microstar.operators.project import drop_columns, null_to_empty
 from microstar.sources.delimited import read_star_csv, write_delimited
 
@@ -102,12 +102,8 @@ def profile(df: DataFrame, numeric: list[str] | None = None, categorical: list[s
            "topk": profile_topk(df, categorical, k=10) if categorical else None}
     if len(numeric) >= 2:
         out["corr"] = profile_corr(df, numeric)
-    hists = [profile_histogram(df, c) for c in numeric]
-    if hists:
-        h = hists[0]
-        for x in hists[1:]:
-            h = h.unionByName(x)
-        out["histogram"] = h
+    if numeric:
+        out["histogram"] = profile_histograms(df, numeric)
     return out
 
 

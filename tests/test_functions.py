@@ -83,3 +83,12 @@ def test_dataframe_recode_modes(spark):
     by_seq = [tuple(r) for r in recode(df, rules, mode="sequential").collect()]
     assert by_map == by_seq == [("O", "1"), ("F", "0"), ("P", "x")]
     assert [tuple(r) for r in recode(df, {"s": {"F": "0"}}).collect()][0] == ("0", "3")
+
+
+def test_multi_column_histograms_equal_single_column(spark):
+    from microstar.operators.profile import profile_histogram, profile_histograms
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    cols = ["l_quantity", "l_extendedprice", "l_discount"]
+    many = sorted(tuple(r) for r in profile_histograms(li, cols).collect())
+    one = sorted(tuple(r) for c in cols for r in profile_histogram(li, c).collect())
+    assert many == one
