@@ -22,13 +22,16 @@ def _stack_one_row(row_df: DataFrame, entries: list[tuple[str, str, str]], names
 
 
 def profile_summary(df: DataFrame, numeric: list[str], other: list[str] | None = None,
-                    exact_distinct: bool = True, digits: int = 6) -> DataFrame:
+                    exact_distinct: bool = True, digits: int = 6,
+                    quantiles: tuple[float, ...] = ()) -> DataFrame:
     """(column_name, metric, value) with count, nulls, distinct for every
     column and min, max, mean, stddev for numeric ones.
 
     One aggregation job.  ``exact_distinct=False`` uses HyperLogLog++
     (``approx_count_distinct``) -- one pass, no per-value shuffle -- which is
-    the setting for very large tables.
+    the setting for very large tables.  ``quantiles`` adds approximate
+    percentiles of the numeric columns (``percentile_approx``: one pass,
+    bounded memory per task), as metrics ``p25``, ``p50``, ...
     """
     other = other or []
     aggs, entries = [], []
@@ -40,6 +43,7 @@ def profile_summary(df: DataFrame, numeric: list[str], other: list[str] | None =
         if c in numeric:
             metrics += [("min", F.min(col)), ("max", F.max(col)), ("mean", F.avg(col)),
                         ("stddev", F.stddev_samp(col))]
+            metrics += [(f"p{round(q * 100)}", F.percentile_approx(col, q)) for q in quantiles]
         for m, e in metrics:
             alias = f"m{i}_{m}"
             aggs.append(e.alias(alias))

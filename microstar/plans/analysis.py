@@ -98,7 +98,8 @@ def profile(df: DataFrame, numeric: list[str] | None = None, categorical: list[s
     """Profile report as DataFrames (A7): summary, histograms, correlations, top values."""
     numeric = numeric or [c for c, t in df.dtypes if t in ("int", "bigint", "double", "float")]
     categorical = categorical or [c for c, t in df.dtypes if t == "string"]
-    out = {"summary": profile_summary(df, numeric, categorical, exact_distinct=exact_distinct),
+    out = {"summary": profile_summary(df, numeric, categorical, exact_distinct=exact_distinct,
+                                      quantiles=(0.25, 0.5, 0.75)),
            "topk": profile_topk(df, categorical, k=10) if categorical else None}
     if len(numeric) >= 2:
         out["corr"] = profile_corr(df, numeric)

@@ -92,3 +92,11 @@ def test_multi_column_histograms_equal_single_column(spark):
     many = sorted(tuple(r) for r in profile_histograms(li, cols).collect())
     one = sorted(tuple(r) for c in cols for r in profile_histogram(li, c).collect())
     assert many == one
+
+
+def test_profile_quantiles(spark):
+    from microstar.operators.profile import profile_summary
+    df = spark.range(1, 1001).select(F.col("id").cast("double").alias("x"))
+    m = {r["metric"]: r["value"] for r in profile_summary(df, ["x"], quantiles=(0.25, 0.5, 0.75)).collect()}
+    assert (m["p25"], m["p50"], m["p75"]) == (250.0, 500.0, 750.0)
+    assert m["count"] == 1000 and m["distinct"] == 1000
