@@ -107,3 +107,18 @@ def table_sizes(fields: DataFrame, types: DataFrame) -> DataFrame:
     curated dictionary: fields -> types is a many-to-one broadcast join."""
     j = fields.join(bounded_broadcast(types), fields.CAMPO == types.NOME_CAMPO_CLEANED, "left")
     return j.groupBy("TABELA", "SEQUENCIA", "CAMPO", "TIPO_DADOS").agg(F.sum("TAMANHO").alias("TAMANHO"))
+
+
+def filter_members(df: DataFrame, tables=None, years: tuple | None = None,
+                   fields: tuple | None = None, table_col: str = "TABELA", year_col: str = "ANO",
+                   field_col: str = "CAMPO") -> DataFrame:
+    """Workbook filters (A6): table membership, an inclusive year range and
+    an inclusive field-name range; each is applied only when given."""
+    out = df
+    if tables:
+        out = out.where(F.col(table_col).isin(list(tables)))
+    if years:
+        out = out.where(F.col(year_col).cast("int").between(int(years[0]), int(years[1])))
+    if fields:
+        out = out.where(F.col(field_col).between(fields[0], fields[1]))
+    return out

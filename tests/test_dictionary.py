@@ -36,3 +36,13 @@ def test_curated_dictionary_sizes(spark):
     # NUM_INS 12, ANO_ENEM 4, 5 INT (4 bytes), DSC 20+50+50+50, 2 codes 7, 3 flags 3
     assert per_table["DIM_CADASTRAL_RR"] == 12 + 4 + 5 * 4 + 20 + 50 + 50 + 50 + 7 + 7 + 3 * 3
     assert sizes.where(F.col("TIPO_DADOS").isNull()).count() == 0
+
+
+def test_member_and_range_filters(spark):
+    lin = D.lineage_frame(spark)
+    f = D.filter_members(lin, years=(2017, 2018), fields=("Q001", "Q009"), field_col="NOME_CAMPO_CLEANED")
+    got = {(r["ANO"], r["NOME_CAMPO_CLEANED"]) for r in f.collect()}
+    assert {a for a, _ in got} == {"2017", "2018"}
+    assert {c for _, c in got} == {"Q001", "Q002", "Q003", "Q004", "Q006"}
+    cad = D.filter_members(D.curated_fields_frame(spark), tables=["DIM_CADASTRAL_RR"])
+    assert cad.count() == 16
