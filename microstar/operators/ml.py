@@ -128,7 +128,8 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
     Minimises  1/2 |w|^2 + C * sum max(0, |y - w.x - b| - epsilon)  (the
     public library defaults are epsilon = 0, C = 1; the intercept is not
     penalised) by iteratively reweighted least squares: each round weights
-    a row by 1 / max(|r| - epsilon, delta), shifts its target by
+    a row by 1 / max(|r| - epsilon, delta) (delta = 1e-6 x the least-squares
+    RMS residual), shifts its target by
     epsilon*sign(r), and solves (C * X'WX + diag(1,..,1,0)) beta = C * X'Wy.
     Rows inside the epsilon tube get weight 0.  One aggregation job per
     round over a persisted, pruned, centred frame; the same job also sums
@@ -142,9 +143,13 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
         p = len(features) + 1
         reg = np.eye(p)
         reg[-1, -1] = 0.0
-        a, rhs = _normal_equations(data, xs, y, F.lit(1.0))
+        a, rhs, (yy,) = _normal_equations(data, xs, y, F.lit(1.0), extra=[y * y])
         beta = np.linalg.lstsq(a, rhs, rcond=None)[0]
-        delta = 1e-6
+        # weight floor relative to the least-squares residual scale (no extra pass:
+        # SSR = y'y - beta'X'y), so the fit behaves the same whatever the units of y
+        n = max(a[-1, -1], 1.0)
+        rms = float(np.sqrt(max(yy - float(np.dot(beta, rhs)), 0.0) / n))
+        delta = 1e-6 * max(rms, 1e-12)
         history = []
         it = 0
         prev_obj = None
