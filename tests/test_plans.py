@@ -60,3 +60,14 @@ def test_state_filter_and_pruning_reach_the_cleaned_scan(spark, tmp_path):
     assert "NOT_RDC" in read_schema and "Q001" not in read_schema and "RSP_INS_MAT" not in read_schema
     assert "Exchange" not in p
     assert fact.count() == 3
+
+
+def test_cluster_sizing_and_checkpoint_root(spark):
+    from microstar.session import checkpoint_root, cluster_conf, scratch_path
+    conf = cluster_conf(8000)
+    assert conf["spark.sql.shuffle.partitions"] == "24000"
+    assert conf["spark.sql.adaptive.advisoryPartitionSizeInBytes"] == "256m"
+    root = checkpoint_root(spark)
+    assert root and root.rstrip("/").split(":")[-1] in spark.sparkContext.getCheckpointDir()
+    a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
+    assert a != b and a.startswith(root)
