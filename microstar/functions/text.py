@@ -17,8 +17,8 @@ from microstar.spec.municipality import REGION_LABELS
 _FOLD_BLOCKS = ((0x00C0, 0x024F), (0x0370, 0x03FF), (0x0400, 0x04FF), (0x1E00, 0x1EFF))
 _COMBINING_MARKS = (0x0300, 0x036F)
 
-# The reference's accent folding (a commons-lang stripAccents
-# call) also maps these two letters, which have no canonical decomposition.
+# The reference's accent folding (a Java library call) also
+# maps these two letters, which have no canonical decomposition.
 EXTRA_FOLDS = {"Ł": "L", "ł": "l"}
 
 
