@@ -103,3 +103,18 @@ def test_linear_svr_objective_matches_brute_force(spark):
     x, y = pdf[feats].to_numpy(float), pdf["l_extendedprice"].to_numpy(float)
     ours = 0.5 * float(np.dot(m.weights, m.weights)) + np.abs(y - x @ np.array(m.weights) - m.intercept).sum()
     assert ours == pytest.approx(_numpy_svr_objective(x, y), rel=1e-5)
+
+
+def test_linear_svr_epsilon_tube_minimises_its_objective(spark):
+    from microstar.operators.ml import fit_ols
+    li = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    feats, eps = ["l_quantity", "l_discount", "l_tax"], 5000.0
+    pdf = li.select(*feats, "l_extendedprice").toPandas()
+    x, y = pdf[feats].to_numpy(float), pdf["l_extendedprice"].to_numpy(float)
+
+    def objective(m):
+        w = np.array(m.weights)
+        return 0.5 * w @ w + np.maximum(np.abs(y - x @ w - m.intercept) - eps, 0).sum()
+    tube = fit_linear_svr(li, feats, "l_extendedprice", epsilon=eps)
+    assert objective(tube) <= objective(fit_ols(li, feats, "l_extendedprice")) * (1 + 1e-6)
+    assert objective(tube) <= objective(fit_linear_svr(li, feats, "l_extendedprice")) * (1 + 1e-6)
