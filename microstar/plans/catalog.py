@@ -19,16 +19,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from microstar.functions import (any_flag, any_flag_int, attendance_code, attendance_label,
-                                 code_parts, comma_decimal, day_attendance, evaluation_columns,
-                                 label, recode_map, recode_sequential, region_label, row_mean,
-                                 strip_accents, yes_no)
+                                 comma_decimal, day_attendance, evaluation_columns, label, recode_map,
+                                 recode_sequential, row_mean, strip_accents, yes_no)
 from microstar.functions.recode import Rule
 from microstar.operators.join import bounded_broadcast, star_join
 from microstar.operators.ml import LinearModel, fit_linear_svr, fit_ols, hash_split, score_linear
 from microstar.operators.profile import (profile_corr, profile_histogram, profile_summary,
                                          profile_topk)
-from microstar.operators.project import (drop_columns, harmonise, null_defaults, null_to_empty,
-                                         permute_columns, select_rename, union_years)
+from microstar.operators.project import (drop_columns, null_defaults, null_to_empty, permute_columns,
+                                         select_rename, union_years)
 from microstar.operators.quality import FieldSpec, check_unique, enforce_schema, surrogate_key
 from microstar.operators.reshape import crosstab_distinct, unpivot_groups
 from microstar.operators.route import Target, filter_eq, filter_ne, route
