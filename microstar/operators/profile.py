@@ -27,19 +27,24 @@ def profile_summary(df: DataFrame, numeric: list[str], other: list[str] | None =
     """(column_name, metric, value) with count, nulls, distinct for every
     column and min, max, mean, stddev for numeric ones.
 
-    One aggregation job.  ``exact_distinct=False`` uses HyperLogLog++
-    (``approx_count_distinct``) -- one pass, no per-value shuffle -- which is
+    Two aggregations: the moments in one plain aggregate, the exact distinct
+    counts in a second one.  Kept apart, the multi-distinct rewrite expands
+    rows that carry only the distinct columns rather than every moment's
+    inputs (about twice as fast here, for one more columnar scan).
+    ``exact_distinct=False`` uses HyperLogLog++ (``approx_count_distinct``)
+    inside the first aggregate instead -- one pass, no per-value shuffle --
     the setting for very large tables.  ``quantiles`` adds approximate
     percentiles of the numeric columns (``percentile_approx``: one pass,
     bounded memory per task), as metrics ``p25``, ``p50``, ...
     """
     other = other or []
+    cols = numeric + other
     aggs, entries = [], []
-    for i, c in enumerate(numeric + other):
+    for i, c in enumerate(cols):
         col = F.col(c)
-        dist = F.countDistinct(col) if exact_distinct else F.approx_count_distinct(col)
-        metrics = [("count", F.count(col)), ("nulls", F.sum(F.when(col.isNull(), 1).otherwise(0))),
-                   ("distinct", dist)]
+        metrics = [("count", F.count(col)), ("nulls", F.sum(F.when(col.isNull(), 1).otherwise(0)))]
+        if not exact_distinct:
+            metrics.append(("distinct", F.approx_count_distinct(col)))
         if c in numeric:
             metrics += [("min", F.min(col)), ("max", F.max(col)), ("mean", F.avg(col)),
                         ("stddev", F.stddev_samp(col))]
@@ -49,6 +54,10 @@ def profile_summary(df: DataFrame, numeric: list[str], other: list[str] | None =
             aggs.append(e.alias(alias))
             entries.append((c, m, alias))
     long = _stack_one_row(df.agg(*aggs), entries, ("column_name", "metric", "value"))
+    if exact_distinct:
+        dist = df.agg(*[F.countDistinct(c).alias(f"d{i}") for i, c in enumerate(cols)])
+        long = long.unionByName(_stack_one_row(dist, [(c, "distinct", f"d{i}") for i, c in enumerate(cols)],
+                                               ("column_name", "metric", "value")))
     # + 0.0 turns a -0.0 extreme into 0.0: engines differ in which zero min/max return
     return long.withColumn("value", F.round("value", digits) + F.lit(0.0))
 
