@@ -91,9 +91,12 @@ def _normal_equations(df: DataFrame, xs: list[Column], y: Column, w: Column,
     return (a, rhs, vals[k + p:]) if extra else (a, rhs)
 
 
-def _centred(df: DataFrame, features: list[str], label: str):
+def _centred(df: DataFrame, features: list[str], label: str, persist: bool = False):
     cols = [F.col(c).cast("double").alias(c) for c in features + [label]]
     data = df.select(*cols).na.drop()
+    if persist:
+        # cached before the means pass, so that pass already fills the cache
+        data = data.persist(StorageLevel.MEMORY_AND_DISK)
     means = data.agg(*[F.avg(c) for c in features + [label]]).first()
     mu = np.array([float(m) if m is not None else 0.0 for m in means])
     xs = [F.col(c) - F.lit(mu[i]) for i, c in enumerate(features)]
@@ -137,8 +140,7 @@ def fit_linear_svr(df: DataFrame, features: list[str], label: str, epsilon: floa
     is below ``tol`` or the objective's relative decrease is below
     ``obj_tol``.  ``history`` holds the objective per round.
     """
-    data, mu, xs, y = _centred(df, features, label)
-    data = data.persist(StorageLevel.MEMORY_AND_DISK)
+    data, mu, xs, y = _centred(df, features, label, persist=True)
     try:
         p = len(features) + 1
         reg = np.eye(p)
