@@ -1044,7 +1044,8 @@ FROM p
 """)
 def q_exam_presence_flow(spark, sf):
     """Raw text -> ... -> DIM_PRESENCA: presence labels, attendance class,
-    exam-day rule (2019: day 1 = languages), unrouted (every candidate)."""
+    exam-day rule (2019: day 1 = languages); not routed: every candidate of the
+    state, present or not."""
     from microstar.operators.quality import split_rejects
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_PRESENCA"))
     return good
