@@ -90,16 +90,19 @@ def q_star_join(spark, sf):
 
 @register("table_scan", "SELECT * FROM supplier")
 def q_table_scan(spark, sf):
+    """Full table scan."""
     return T(spark, sf, "supplier")
 
 
 @register("filter_eq", "SELECT * FROM orders WHERE o_orderstatus = 'F'")
 def q_filter_eq(spark, sf):
+    """Equality filter pushed into the Parquet scan (F1)."""
     return filter_eq(T(spark, sf, "orders"), "o_orderstatus", "F")
 
 
 @register("filter_ne", "SELECT * FROM orders WHERE o_orderstatus <> 'F'")
 def q_filter_ne(spark, sf):
+    """Inequality filter; null keys drop out."""
     return filter_ne(T(spark, sf, "orders"), "o_orderstatus", "F")
 
 
@@ -224,6 +227,7 @@ SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem
 GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1
 """)
 def q_pk_check(spark, sf):
+    """Key values held by more than one row (K5)."""
     return check_unique(T(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
 
 
@@ -231,6 +235,7 @@ def q_pk_check(spark, sf):
 SELECT *, row_number() OVER (ORDER BY s_nationkey, s_suppkey) AS s_sk FROM supplier
 """)
 def q_surrogate_key(spark, sf):
+    """Dense distributed identity key following (nation, supplier) (K6)."""
     return surrogate_key(T(spark, sf, "supplier"), ["s_nationkey", "s_suppkey"], name="s_sk")
 
 
@@ -242,6 +247,7 @@ def q_surrogate_key(spark, sf):
 SELECT c_custkey AS COD_CLI, c_name AS NOM_CLI, c_acctbal AS SALDO FROM customer
 """)
 def q_select_rename(spark, sf):
+    """Keep, rename and reorder three columns in one select."""
     return select_rename(T(spark, sf, "customer"),
                          [("c_custkey", "COD_CLI"), ("c_name", "NOM_CLI"), ("c_acctbal", "SALDO")])
 
@@ -252,6 +258,7 @@ SELECT l_orderkey, l_suppkey AS l_partkey, l_partkey AS l_suppkey, l_linenumber,
 FROM lineitem
 """)
 def q_column_permute(spark, sf):
+    """Swap two pairs of column names in one select."""
     return permute_columns(T(spark, sf, "lineitem"), {
         "l_partkey": "l_suppkey", "l_suppkey": "l_partkey",
         "l_discount": "l_tax", "l_tax": "l_discount"})
@@ -259,6 +266,7 @@ def q_column_permute(spark, sf):
 
 @register("drop_columns", "SELECT c_custkey, c_nationkey, c_acctbal FROM customer")
 def q_drop_columns(spark, sf):
+    """Drop columns."""
     return drop_columns(T(spark, sf, "customer"), ["c_name", "c_mktsegment"])
 
 
@@ -283,6 +291,7 @@ UNION ALL SELECT 'discounted', l_orderkey, l_linenumber FROM lineitem WHERE l_di
 UNION ALL SELECT 'all', l_orderkey, l_linenumber FROM lineitem
 """)
 def q_route_conditional(spark, sf):
+    """Route lineitem to four targets by predicate, copy semantics (F2)."""
     routes = route(T(spark, sf, "lineitem"), lineitem_targets())
     return union_years([df.select(F.lit(n).alias("target"), "*") for n, df in routes.items()])
 
@@ -350,6 +359,7 @@ SELECT c.c_custkey, o.o_orderkey, coalesce(o.o_totalprice, 0.0) AS o_totalprice,
 {_URGENT_JOIN}
 """)
 def q_null_defaults(spark, sf):
+    """Per-column defaults for the nulls of a left join."""
     j = _customer_urgent_orders(spark, sf).select("c_custkey", "o_orderkey", "o_totalprice", "o_orderstatus")
     return null_defaults(j, {"o_totalprice": 0.0, "o_orderstatus": "-1"})
 
@@ -359,6 +369,7 @@ SELECT c.c_custkey, o.o_orderkey, coalesce(o.o_orderpriority, '') AS o_orderprio
 {_URGENT_JOIN}
 """)
 def q_null_to_empty(spark, sf):
+    """Null -> '' on a string column of a left join."""
     j = _customer_urgent_orders(spark, sf).select("c_custkey", "o_orderkey", "o_orderpriority")
     return null_to_empty(j, ["o_orderpriority"])
 
@@ -378,6 +389,7 @@ SELECT o_orderkey, o_orderstatus,
 FROM orders
 """)
 def q_recode_map(spark, sf):
+    """Code swap F <-> O through a placeholder, as one composed map lookup."""
     o = T(spark, sf, "orders")
     return o.select("o_orderkey", "o_orderstatus",
                     recode_map("o_orderstatus", STATUS_RULES).alias("status_recoded"))
@@ -396,6 +408,7 @@ SELECT p_partkey, p_name,
 FROM part
 """)
 def q_recode_sequential(spark, sf):
+    """Whole-word, case-insensitive replace chain on part names."""
     p = T(spark, sf, "part")
     return p.select("p_partkey", "p_name", recode_sequential("p_name", NAME_RULES).alias("name_recoded"))
 
@@ -416,6 +429,7 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem
 """)
 def q_label_codes(spark, sf):
+    """Code -> label maps, '' when unmatched."""
     li = T(spark, sf, "lineitem")
     return li.select("l_orderkey", "l_linenumber",
                      label("l_linenumber", LABELS["DSC_SIT_RDC"]).alias("DSC_SIT_RDC"),
@@ -429,6 +443,7 @@ SELECT doc_id, quality, toxic,
 FROM labels
 """)
 def q_label_yes_no(spark, sf):
+    """0/1 -> Não/Sim, '' otherwise."""
     lab = T(spark, sf, "labels")
     return lab.select("doc_id", "quality", "toxic", yes_no("quality").alias("DSC_QUALITY"),
                       yes_no("toxic").alias("DSC_TOXIC"))
@@ -445,6 +460,7 @@ SELECT doc_id,
 FROM labels
 """)
 def q_flag_any(spark, sf):
+    """Any-of flag as Sim/Não and as 1/0."""
     lab = T(spark, sf, "labels")
     return lab.select("doc_id", any_flag(["quality", "toxic"]).alias("FL_ANY"),
                       any_flag_int(["toxic"]).alias("FL_TOXIC_INT"))
@@ -487,6 +503,7 @@ SELECT l_orderkey, l_linenumber, COD_TPO_PSC,
 FROM c
 """)
 def q_attendance_class(spark, sf):
+    """Three-way attendance class and label, attended-anything flag."""
     s = _attendance_standin(spark, sf)
     s = s.withColumn("COD_TPO_PSC", attendance_code(_AREAS))
     return s.select("l_orderkey", "l_linenumber", "COD_TPO_PSC",
@@ -507,6 +524,7 @@ SELECT l_orderkey, l_linenumber,
 FROM s
 """)
 def q_attendance_day(spark, sf):
+    """Year-dependent exam-day rule."""
     s = _attendance_standin(spark, sf)
     return s.select("l_orderkey", "l_linenumber",
                     day_attendance("ANO", "FL_CN", "FL_LC", ATTENDANCE_CUTOVER).alias("FL_PSC_DIA_1"),
@@ -524,6 +542,7 @@ SELECT l_orderkey, l_linenumber,
 FROM lineitem
 """)
 def q_row_mean(spark, sf):
+    """Row mean of five numbers after null defaults."""
     cols = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linenumber"]
     li = null_defaults(T(spark, sf, "lineitem").select("l_orderkey", *cols),
                        {"l_quantity": 0.0, "l_extendedprice": 0.0, "l_discount": 0.0, "l_tax": 0.0,
@@ -557,6 +576,7 @@ UNION ALL
 SELECT 'conversations', conv_id, turn, strip_accents(text) FROM conversations
 """)
 def q_strip_accents(spark, sf):
+    """Accent folding of whole document and conversation texts."""
     d = T(spark, sf, "documents").select(F.lit("documents").alias("source_table"),
                                          F.col("doc_id").alias("id"), F.lit(0).cast("bigint").alias("turn"),
                                          strip_accents("text").alias("text_folded"))
@@ -571,6 +591,7 @@ SELECT c_custkey, replace(CAST(c_acctbal AS VARCHAR), '.', ',') AS saldo_txt, ro
 FROM customer
 """)
 def q_comma_decimal(spark, sf):
+    """Comma-decimal text parsed to a double rounded to 2."""
     txt = T(spark, sf, "customer").select(
         "c_custkey", F.regexp_replace(F.col("c_acctbal").cast("string"), "\\.", ",").alias("saldo_txt"))
     return txt.withColumn("saldo", comma_decimal("saldo_txt", 2))
@@ -588,6 +609,7 @@ UNION ALL
 SELECT l_orderkey, l_linenumber, 'P', l_extendedprice, l_tax FROM lineitem WHERE l_extendedprice IS NOT NULL
 """)
 def q_unpivot_groups(spark, sf):
+    """Two-measure unpivot with the not-null filter."""
     li = T(spark, sf, "lineitem").withColumn(
         "q", F.when(F.col("l_linestatus") == "F", F.lit(None).cast("double")).otherwise(F.col("l_quantity")))
     return unpivot_groups(li, ["l_orderkey", "l_linenumber"],
@@ -625,6 +647,7 @@ SELECT round(regr_slope(l_extendedprice, l_quantity), 4) AS slope,
 FROM lineitem
 """)
 def q_fit_ols_1d(spark, sf):
+    """Least-squares slope and intercept from one aggregate of cross-products (M2 baseline)."""
     m = fit_ols(T(spark, sf, "lineitem"), ["l_quantity"], "l_extendedprice")
     return spark.range(1).select(F.round(F.lit(m.weights[0]), 4).alias("slope"),
                                  F.round(F.lit(m.intercept), 4).alias("intercept"))
@@ -649,6 +672,7 @@ SELECT l_orderkey, l_linenumber, CAST(50.0 AS DOUBLE) + CAST(10.0 AS DOUBLE) * l
 FROM lineitem
 """)
 def q_score_linear(spark, sf):
+    """A fixed linear model applied as a column expression (M3, M4)."""
     li = T(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
     return score_linear(li, FIXED_MODEL).drop("l_quantity")
 
@@ -684,6 +708,7 @@ e AS (SELECT l_orderkey, l_linenumber, real AS Nota_Real, pred AS Nota_Prevista,
 
 @register("evaluate_predictions", _EVAL_SQL + "\nSELECT * FROM e")
 def q_evaluate_predictions(spark, sf):
+    """Evaluation table: truncated prediction, difference, sign, percentage, band."""
     return _evaluation(spark, sf)
 
 
@@ -724,6 +749,7 @@ def _profile_summary_sql() -> str:
 
 @register("profile_summary", _profile_summary_sql())
 def q_profile_summary(spark, sf):
+    """Counts, nulls, distinct, min/max/mean/stddev per column."""
     return profile_summary(T(spark, sf, "lineitem"), PROFILE_NUMERIC, PROFILE_OTHER,
                            exact_distinct=True, digits=PROFILE_DIGITS)
 
@@ -739,6 +765,7 @@ SELECT 'l_extendedprice' AS column_name, bucket,
 FROM k GROUP BY bucket, lo, width
 """)
 def q_profile_histogram(spark, sf):
+    """Equal-width histogram of one column."""
     return profile_histogram(T(spark, sf, "lineitem"), "l_extendedprice", 10, digits=PROFILE_DIGITS)
 
 
@@ -756,6 +783,7 @@ def _corr_sql() -> str:
 
 @register("profile_corr", _corr_sql())
 def q_profile_corr(spark, sf):
+    """Pearson correlation of every column pair."""
     return profile_corr(T(spark, sf, "lineitem"), CORR_COLUMNS, digits=PROFILE_DIGITS)
 
 
@@ -770,6 +798,7 @@ r AS (SELECT *, row_number() OVER (PARTITION BY column_name ORDER BY n_rows DESC
 SELECT column_name, value, n_rows, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 3
 """)
 def q_profile_topk(spark, sf):
+    """Three most frequent values per column (A7); the limit is the feature."""
     return profile_topk(T(spark, sf, "lineitem"), TOPK_COLUMNS, k=3)
 
 
@@ -826,6 +855,7 @@ FROM supplier s JOIN nation f ON s.s_nationkey = f.n_nationkey
 LEFT JOIN region g ON f.n_regionkey = g.r_regionkey
 """)
 def q_dictionary_tables(spark, sf):
+    """Distinct (table, field) members in listing order (A5)."""
     from microstar.plans.dictionary import member_listing
     s = T(spark, sf, "supplier")
     n = bounded_broadcast(T(spark, sf, "nation"))
@@ -843,6 +873,7 @@ DOW = [1, 2, 3, 4, 5, 6, 7]
     f"count(DISTINCT user_id) FILTER (WHERE dayofweek(ts) + 1 = {d}) AS dow_{d}" for d in DOW)
     + " FROM events GROUP BY event_type")
 def q_lineage_crosstab(spark, sf):
+    """COUNT(DISTINCT user) by event type x weekday, one column per weekday."""
     ev = T(spark, sf, "events").select("event_type", "user_id", F.dayofweek("ts").alias("dow"))
     return crosstab_distinct(ev, ["event_type"], "dow", DOW, "user_id", names={d: f"dow_{d}" for d in DOW})
 
