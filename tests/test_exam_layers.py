@@ -152,7 +152,6 @@ def test_load_editions_writes_all_layers_idempotently(spark, tmp_path):
              2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
     out = str(tmp_path / "layers")
     exam.load_editions(spark, paths, out)
-    exam.load_editions(spark, paths, out)                                # rerun: same result
     assert spark.read.parquet(f"{out}/raw/2019").count() == 5
     rej = spark.read.parquet(f"{out}/raw_rejects/2019").collect()
     assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in rej] == [("1900000000099", "NU_INSCRICAO: longer than 12")]
@@ -166,8 +165,12 @@ def test_load_editions_writes_all_layers_idempotently(spark, tmp_path):
     assert ans.count() == 4 + 3 + 4 + 4                                   # 001, 003, 004, 2015 row
     assert sorted(r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()) == list(range(1, 16))
     keys_2015 = sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect())
-    # reload 2019 alone: 2015 keeps its keys, 2019 continues after the largest kept key
+    cad_before = sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect())
+    # reload 2019 alone (a rerun): nothing is duplicated, 2015 keeps its keys,
+    # 2019 continues after the largest kept key
     exam.load_editions(spark, {2019: paths[2019]}, out)
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect()) == cad_before
+    assert spark.read.parquet(f"{out}/raw/2019").count() == 5
     ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
     keys = [r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()]
     assert len(keys) == len(set(keys)) == 15
