@@ -34,6 +34,7 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--out", required=True)
     p.add_argument("--state", default="RR", help="exam state to keep; empty string keeps all")
     p.add_argument("--fixes", action="store_true", help="correct the reference's known quirks")
+    p.add_argument("--table", action="append", help="load only this star table (repeatable)")
     a = sub.add_parser("analyse", help="star export -> model, evaluation, hit rates")
     a.add_argument("--star", required=True)
     a.add_argument("--report", required=True)
@@ -44,7 +45,7 @@ def main(argv: list[str] | None = None) -> int:
     if args.cmd == "load":
         from microstar.plans import exam
         paths = exam.load_editions(spark, _editions(args.edition), args.out, state=args.state or None,
-                                  fixes=args.fixes)
+                                  fixes=args.fixes, tables=args.table)
         print(json.dumps(paths))
         return 0
     from microstar.plans import analysis as A

@@ -239,7 +239,8 @@ def load_star(star: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
         rejects.append(bad.select(F.lit(name).alias("table_name"), F.col("NUM_INS"),
                                   F.col("ANO_ENEM"), F.col(REJECT_COL)))
     paths["_rejects"] = f"{out_dir}/_rejects"
-    overwrite_load(reduce(lambda a, b: a.unionByName(b), rejects), paths["_rejects"], ["ANO_ENEM"])
+    # partitioned by table and edition: loading some tables leaves the others' rejects alone
+    overwrite_load(reduce(lambda a, b: a.unionByName(b), rejects), paths["_rejects"], ["table_name", "ANO_ENEM"])
     return paths
 
 
@@ -263,12 +264,15 @@ def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
 
 
 def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
-                 state: str | None = DEFAULT_STATE, fixes: bool = False) -> dict[str, str]:
+                  state: str | None = DEFAULT_STATE, fixes: bool = False,
+                  tables: list[str] | None = None) -> dict[str, str]:
     """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star.
 
     Each layer load is typed against its table definition: rows with a
     value wider than the column go to ``<layer>_rejects/<year>`` with the
     reason (the reference's database would have failed the whole insert).
+    ``tables`` loads only the named star tables (deriving only what they
+    need); the others keep their current content.
     """
     raw_dir, clean_dir = f"{out_dir}/raw", f"{out_dir}/cleaned"
     for year, path in sorted(raw_paths.items()):
@@ -278,4 +282,5 @@ def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
         _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")
     cleaned = {y: spark.read.parquet(f"{clean_dir}/{y}") for y in raw_paths}
     start = next_answer_key(spark, f"{out_dir}/curated/DIM_RSP_PRV", raw_paths)
-    return load_star(build_star(curate(cleaned, state, fixes), key_start=start), f"{out_dir}/curated")
+    base = curate(cleaned, state, fixes, tables=tables)
+    return load_star(build_star(base, key_start=start, tables=tables), f"{out_dir}/curated")

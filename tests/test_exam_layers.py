@@ -176,6 +176,10 @@ def test_load_editions_writes_all_layers_idempotently(spark, tmp_path):
     assert len(keys) == len(set(keys)) == 15
     assert sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect()) == keys_2015
     assert min(r[0] for r in ans.where("ANO_ENEM = 2019").select("DIM_RSP_PRV_PK").collect()) == max(keys_2015) + 1
+    # load one table of one edition: the other tables and their rejects are untouched
+    exam.load_editions(spark, {2019: paths[2019]}, out, tables=["FAT_NOTA"])
+    assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
+    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect()) == cad_before
 
 
 def test_layer_widths():
