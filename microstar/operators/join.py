@@ -9,15 +9,31 @@ from pyspark.sql import Column, DataFrame, functions as F
 BROADCAST_MAX_ROWS = 200_000
 
 
-def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS) -> DataFrame:
-    """Broadcast ``df`` only if it has at most ``max_rows`` rows.
+# ... and whose estimated size (rows x schema width) stays under this.
+BROADCAST_MAX_BYTES = 64 * 1024 * 1024
+
+
+def estimated_row_bytes(df: DataFrame) -> int:
+    """Upper-end row width from the schema: 8 bytes per number/date/time,
+    64 per string or binary (names, labels), 1 per boolean."""
+    total = 0
+    for f in df.schema.fields:
+        t = f.dataType.typeName()
+        total += 1 if t == "boolean" else 64 if t in ("string", "binary") else 8
+    return max(total, 1)
+
+
+def bounded_broadcast(df: DataFrame, max_rows: int = BROADCAST_MAX_ROWS,
+                      max_bytes: int = BROADCAST_MAX_BYTES) -> DataFrame:
+    """Broadcast ``df`` only if it has at most ``max_rows`` rows and an
+    estimated size under ``max_bytes``.
 
     The check reads at most ``max_rows + 1`` rows (a LIMIT job), so it is
-    cheap whatever the size.  Above the bound the frame is returned as is
+    cheap whatever the size.  Above the bounds the frame is returned as is
     and the planner (AQE) picks a shuffle join.
     """
     n = df.limit(max_rows + 1).count()
-    return F.broadcast(df) if n <= max_rows else df
+    return F.broadcast(df) if n <= max_rows and n * estimated_row_bytes(df) <= max_bytes else df
 
 
 def star_join(base: DataFrame, steps: list[tuple[DataFrame, Column, str]],

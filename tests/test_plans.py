@@ -71,3 +71,20 @@ def test_cluster_sizing_and_checkpoint_root(spark):
     assert root and root.rstrip("/").split(":")[-1] in spark.sparkContext.getCheckpointDir()
     a, b = scratch_path(spark, "x"), scratch_path(spark, "x")
     assert a != b and a.startswith(root)
+
+
+def test_bounded_broadcast_checks_rows_and_bytes(spark):
+    from microstar.operators.join import bounded_broadcast, estimated_row_bytes
+    dim = spark.range(100).selectExpr("id", "cast(id as string) as name")
+    assert estimated_row_bytes(dim) == 8 + 64
+    fact = spark.range(10_000).selectExpr("id % 100 as id")
+
+    def joined(d):
+        return plan(fact.join(d, "id"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert "BroadcastHashJoin" in joined(bounded_broadcast(dim))
+        assert "BroadcastHashJoin" not in joined(bounded_broadcast(dim, max_rows=50))
+        assert "BroadcastHashJoin" not in joined(bounded_broadcast(dim, max_bytes=1000))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
