@@ -31,16 +31,17 @@ def _checks(src: Column, f: FieldSpec) -> list[tuple[Column, str]]:
     return out
 
 
-def enforce_schema(df: DataFrame, spec: list[FieldSpec]) -> DataFrame:
+def enforce_schema(df: DataFrame, spec: list[FieldSpec], checks: list | None = None) -> DataFrame:
     """Type and check ``df`` against ``spec`` (K4).
 
     Returns the spec's columns cast with ``try_cast`` plus ``_reject_reason``:
     null for a good row, otherwise the first failed check in spec order
     (``name: null`` / ``name: not int`` / ``name: longer than n``).  Casting
     never raises, so one bad row cannot fail a load; rejects are kept, not
-    dropped.
+    dropped.  ``checks`` are extra (condition, reason) pairs tested before the
+    field checks (row-level rules such as a malformed line).
     """
-    conds = []
+    conds = list(checks or [])
     cols = []
     for f in spec:
         src = F.col(f.name)

@@ -42,16 +42,29 @@ DEFAULT_STATE = "RR"
 
 # ---------------------------------------------------------------- RAW ----
 
-def read_raw(spark: SparkSession, path, year: int, encoding: str = DEFAULT_ENCODING) -> DataFrame:
-    """The edition's delimited file(s), bound by position to its layout."""
-    return read_delimited(spark, path, LAYOUTS[year], sep=SEPARATOR[year], encoding=encoding)
+OVERFLOW = "_EXTRA_FIELDS"
+MALFORMED = "malformed line: more fields than the layout"
+
+
+def read_raw(spark: SparkSession, path, year: int, encoding: str = DEFAULT_ENCODING,
+             flag_overflow: bool = False) -> DataFrame:
+    """The edition's delimited file(s), bound by position to its layout.
+
+    ``flag_overflow`` adds the ``_EXTRA_FIELDS`` sentinel column (non-null on
+    lines with more fields than the layout) for ``check_raw``."""
+    return read_delimited(spark, path, LAYOUTS[year], sep=SEPARATOR[year], encoding=encoding,
+                          overflow_column=OVERFLOW if flag_overflow else None)
 
 
 def check_raw(raw: DataFrame, year: int) -> DataFrame:
     """RAW layer typing (K4): every column a string within its VARCHAR width;
-    ``_reject_reason`` names the first column that is too long."""
+    ``_reject_reason`` names the first column that is too long, or the
+    malformed line (more fields than the layout) when read with
+    ``flag_overflow``.  The sentinel column is not kept."""
     from microstar.spec.widths import raw_width
-    return enforce_schema(raw, [FieldSpec(c, "string", raw_width(year, c)) for c in raw.columns])
+    checks = [(F.col(OVERFLOW).isNotNull(), MALFORMED)] if OVERFLOW in raw.columns else []
+    spec = [FieldSpec(c, "string", raw_width(year, c)) for c in raw.columns if c != OVERFLOW]
+    return enforce_schema(raw, spec, checks)
 
 
 def check_cleaned(cleaned: DataFrame, year: int) -> DataFrame:
@@ -276,7 +289,7 @@ def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
     """
     raw_dir, clean_dir = f"{out_dir}/raw", f"{out_dir}/cleaned"
     for year, path in sorted(raw_paths.items()):
-        _load_checked(check_raw(read_raw(spark, path, year), year), f"{raw_dir}/{year}",
+        _load_checked(check_raw(read_raw(spark, path, year, flag_overflow=True), year), f"{raw_dir}/{year}",
                       f"{out_dir}/raw_rejects/{year}")
         cleaned = clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes)
         _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")

@@ -21,14 +21,19 @@ def string_schema(columns: list[str]) -> T.StructType:
 
 def read_delimited(spark: SparkSession, path, columns: list[str], sep: str = ";",
                    encoding: str = DEFAULT_ENCODING, header: bool = True,
-                   null_token: str | None = NULL_TOKEN, quote: str = '"') -> DataFrame:
+                   null_token: str | None = NULL_TOKEN, quote: str = '"',
+                   overflow_column: str | None = None) -> DataFrame:
     """Read delimited text by position into string columns named ``columns``.
 
     ``enforceSchema`` binds the declared names by position whatever the
     header says.  The reader is splittable, so a large file is scanned by
-    many tasks.
+    many tasks.  With ``overflow_column`` one sentinel column is read past
+    the layout: it is non-null exactly when a line has more (non-empty)
+    fields than the layout -- e.g. an unquoted separator inside a value,
+    which shifts every later field -- so such lines can be rejected.
     """
-    raw = (spark.read.schema(string_schema(columns))
+    read_cols = columns + ([overflow_column] if overflow_column else [])
+    raw = (spark.read.schema(string_schema(read_cols))
            .option("header", header)
            .option("enforceSchema", True)
            .option("sep", sep)
@@ -39,7 +44,7 @@ def read_delimited(spark: SparkSession, path, columns: list[str], sep: str = ";"
            .option("ignoreLeadingWhiteSpace", True)
            .option("ignoreTrailingWhiteSpace", True)
            .csv(path))
-    return raw.select(list(_cleaned_cells(tuple(columns), null_token)))
+    return raw.select(list(_cleaned_cells(tuple(read_cols), null_token)))
 
 
 @lru_cache(maxsize=64)

@@ -22,3 +22,20 @@ def test_comma_layout_and_extra_columns_are_positional(spark, tmp_path):
     df = read_delimited(spark, str(path), ["FIRST", "SECOND"], sep=",")
     assert df.columns == ["FIRST", "SECOND"]
     assert sorted(tuple(r) for r in df.collect()) == [("10", "20"), ("11", "21")]
+
+
+def test_overflow_sentinel_flags_shifted_lines(spark, tmp_path):
+    from microstar.plans import exam
+    from microstar.operators.quality import split_rejects
+    from tests import exam_fixtures as X
+    path = X.write_raw(str(tmp_path), 2019, X.rows_2019()[:2])
+    with open(path, "a", encoding="iso-8859-1") as fh:               # an unquoted ';' inside a name
+        row = X.base_row(2019, "190000000077")
+        row["NO_MUNICIPIO_PROVA"] = "Boa Vista;RR"
+        fh.write(";".join(row.get(c, "") or "" for c in X.LAYOUTS[2019]) + "\n")
+    checked = exam.check_raw(exam.read_raw(spark, path, 2019, flag_overflow=True), 2019)
+    good, bad = split_rejects(checked)
+    assert "_EXTRA_FIELDS" not in good.columns
+    assert sorted(r["NU_INSCRICAO"] for r in good.collect()) == ["190000000001", "190000000002"]
+    assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in bad.collect()] == \
+        [("190000000077", exam.MALFORMED)]
