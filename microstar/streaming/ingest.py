@@ -1,8 +1,9 @@
 """Raw files arriving in a folder -> CLEANED and CURATED, incrementally.
 
 ``stream_cleaned``: file source (new files only, tracked in the checkpoint)
--> positional read -> ``clean`` -> Parquet file sink.  The file sink plus
-the checkpoint give exactly-once output across restarts.
+-> positional read -> the batch load's RAW check -> ``clean`` -> CLEANED
+check -> one folder per batch id for good rows and for each layer's
+rejects; a replayed batch overwrites its own folders.
 
 ``stream_curated``: CLEANED Parquet as a stream -> per micro-batch
 ``curate`` + ``build_star`` -> one folder per (table, batch id).  A replayed
@@ -25,7 +26,9 @@ from microstar.spec.layouts import LAYOUTS, SEPARATOR
 
 def read_raw_stream(spark: SparkSession, raw_dir: str, year: int,
                     encoding: str = DEFAULT_ENCODING, max_files: int | None = None) -> DataFrame:
-    cols = LAYOUTS[year]
+    """New raw files as a stream, bound by position, plus the overflow
+    sentinel column that ``exam.check_raw`` turns into a reject."""
+    cols = LAYOUTS[year] + [exam.OVERFLOW]
     reader = (spark.readStream.schema(string_schema(cols))
               .option("header", True).option("enforceSchema", True).option("sep", SEPARATOR[year])
               .option("quote", '"').option("escape", '"').option("encoding", encoding)
@@ -36,14 +39,34 @@ def read_raw_stream(spark: SparkSession, raw_dir: str, year: int,
     return raw.select([clean_cell(F.col(c)).alias(c) for c in cols])
 
 
+def write_cleaned_batch(batch: DataFrame, batch_id: int, year: int, out_path: str, rejects_path: str,
+                        fixes: bool = False) -> None:
+    """One micro-batch of raw lines -> typed RAW check -> clean -> typed
+    CLEANED check; good rows and each layer's rejects go to batch folders."""
+    batch = batch.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        raw_good, raw_bad = split_rejects(exam.check_raw(batch, year))
+        good, bad = split_rejects(exam.check_cleaned(exam.clean(raw_good, year, fixes), year))
+        good.write.mode("overwrite").parquet(f"{out_path}/_batch={batch_id}")
+        raw_bad.write.mode("overwrite").parquet(f"{rejects_path}/raw/_batch={batch_id}")
+        bad.write.mode("overwrite").parquet(f"{rejects_path}/cleaned/_batch={batch_id}")
+    finally:
+        batch.unpersist()
+
+
 def stream_cleaned(spark: SparkSession, raw_dir: str, year: int, out_path: str, checkpoint: str,
-                   available_now: bool = True) -> StreamingQuery:
-    """New raw files of one edition -> CLEANED Parquet (append, exactly once)."""
-    cleaned = exam.clean(read_raw_stream(spark, raw_dir, year), year)
-    w = (cleaned.writeStream.format("parquet").outputMode("append")
-         .option("checkpointLocation", checkpoint))
+                   available_now: bool = True, rejects_path: str | None = None,
+                   fixes: bool = False) -> StreamingQuery:
+    """New raw files of one edition -> CLEANED Parquet, with the batch load's
+    RAW and CLEANED checks; rejects under ``rejects_path`` (default
+    ``<out_path>_rejects``).  One folder per batch id: a replayed batch
+    overwrites its own output, the checkpoint skips files already read."""
+    rejects_path = rejects_path or f"{out_path}_rejects"
+    w = (read_raw_stream(spark, raw_dir, year).writeStream
+         .option("checkpointLocation", checkpoint)
+         .foreachBatch(lambda df, bid: write_cleaned_batch(df, bid, year, out_path, rejects_path, fixes)))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="1 minute")
-    return w.start(out_path)
+    return w.start()
 
 
 def write_star_batch(batch: DataFrame, batch_id: int, year: int, out_dir: str,

@@ -46,3 +46,19 @@ def test_replayed_batch_does_not_duplicate(spark, tmp_path):
     write_star_batch(batch.limit(1), 8, 2019, out)                 # a new batch adds rows
     assert spark.read.parquet(f"{out}/DIM_PRESENCA").count() >= 4
     assert {r[0] for r in spark.read.parquet(f"{out}/DIM_PRESENCA").select("_batch").distinct().collect()} == {7, 8}
+
+
+def test_stream_cleaned_rejects_malformed_lines(spark, tmp_path):
+    raw_dir = tmp_path / "incoming"
+    raw_dir.mkdir()
+    path = X.write_raw(str(tmp_path), 2019, X.rows_2019()[:1])
+    with open(path, "a", encoding="iso-8859-1") as fh:
+        row = X.base_row(2019, "190000000077")
+        row["NO_MUNICIPIO_PROVA"] = "Boa Vista;RR"                 # shifts every later field
+        fh.write(";".join(row.get(c, "") or "" for c in X.LAYOUTS[2019]) + "\n")
+    shutil.move(path, raw_dir / "part.csv")
+    out = str(tmp_path / "cleaned")
+    stream_cleaned(spark, str(raw_dir), 2019, out, str(tmp_path / "ck")).awaitTermination()
+    assert [r["NUM_INS"] for r in spark.read.parquet(out).collect()] == ["190000000001"]
+    rej = spark.read.parquet(out + "_rejects/raw").collect()
+    assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in rej] == [("190000000077", exam.MALFORMED)]
