@@ -4,10 +4,33 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from microstar.llm import mixing, repetition, secrets
+from microstar.llm import mixing, pieces, repetition, secrets, token_files, toxicity
 from microstar.llm.common import table
 
 
+def tokenizer(name: str) -> str:
+    """Path of a public tokenizer file, the same on the driver and the executors."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole text encoded by merges and decoded again, checked against the library."""
+    return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text, learned from the labelled rows that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' token ids written to seekable files in id order, then read back."""
+    return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 1, 2, 3 by systematic sampling."""
     return mixing.copies(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -24,6 +47,9 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_sentencepiece": op1_sentencepiece,
+    "op4_toxicity": op4_toxicity,
+    "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_repetition": op9_repetition,
