@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from microstar.llm import mixing, pieces, repetition, secrets, token_files, toxicity
+from microstar.llm import mixing, pieces, repetition, secrets, token_files, toxicity, warc
 from microstar.llm.common import table
 
 
@@ -26,6 +26,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back from the archives."""
+    return warc.write_and_read(table(spark, sf_dir, "pages"))
+
+
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents' token ids written to seekable files in id order, then read back."""
     return token_files.write_and_read(table(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
@@ -49,6 +54,7 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_toxicity": op4_toxicity,
+    "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
     "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
@@ -56,5 +62,6 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
 }
