@@ -5,18 +5,20 @@ place; the best pair merges, its new neighbours join the agenda, and pairs
 whose symbols have changed are passed over.  What no merge can make becomes
 bytes.  Decoding puts pieces and bytes back together.
 
-A text is cut where no piece of the vocabulary can reach across (before a
-run of space marks, and around line feeds if no longer piece holds one);
-both facts are read from the vocabulary, so the cut never changes a result.
+A text is cut before each run of spaces and around line feeds where no piece
+of the vocabulary holds such a pair of characters inside, as then no merge
+reaches across; the vocabulary decides, so a cut never changes a result.
 Ids of short stretches are kept in a table of bounded size per task.  Every
 Arrow batch is checked against the sentencepiece library.
 """
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import heapq
 import re
+from itertools import chain
 from collections.abc import Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -27,13 +29,14 @@ from microstar.llm import common
 
 SPACE = "▁"
 _BYTE = re.compile(r"<0x([0-9A-F]{2})>")
+_NEVER = float("-inf")
 
 
 class MergeVocabulary:
     """Pieces, scores and byte pieces of a merge-type model, with encode and decode."""
 
     #: Stretches up to this length are remembered, this many at most.
-    REMEMBER_CHARS, REMEMBER = 48, 400_000
+    REMEMBER_CHARS, REMEMBER = 48, 500_000
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -44,67 +47,87 @@ class MergeVocabulary:
         plain = [not (lib.is_control(i) or lib.is_unknown(i) or lib.is_byte(i)) for i in range(size)]
         if any(lib.is_unused(i) for i in range(size)):
             raise ValueError("vocabularies with unused pieces are not supported")
-        self.ids = {p: i for i, p in enumerate(pieces) if plain[i]}
+        # space marks are held as spaces: a text's own marks mean the same
+        self.ids = {p.replace(SPACE, " "): i for i, p in enumerate(pieces) if plain[i]}
         self.scores = {p: lib.get_score(i) for p, i in self.ids.items()}
+        beside = {p[k:k + 2] for p in self.ids for k in range(len(p) - 1)}
         self.bytes = {int(_BYTE.fullmatch(p)[1], 16): i for i, p in enumerate(pieces) if lib.is_byte(i)}
         self.unknown = lib.unk_id()
-        self.surface = dict(enumerate(p if plain[i] else "" for i, p in enumerate(pieces)))
+        self.surface = {i: p.replace(SPACE, " ") if plain[i] else "" for i, p in enumerate(pieces)}
         self.surface[self.unknown] = f" {chr(0x2047)} "  # what the library shows for an unknown piece
+        self.decimal = list(map(str, range(size)))
         self.value = {i: b for b, i in self.bytes.items()}
-        longer = [p for p in self.ids if len(p) > 1]
-        if any(SPACE in p.lstrip(SPACE) for p in longer):
-            self.cut = re.compile(r"[\s\S]+")  # some piece spans a space inside: no cut
-        elif any("\n" in p for p in longer):
-            self.cut = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        if any(pair[1] == " " and pair[0] != " " for pair in beside):
+            self.cut = re.compile(r"[\s\S]+")  # some piece goes on into a space: no cheap cut
+        elif any("\n" in pair for pair in beside):
+            self.cut = re.compile("(?: *[^ ]+| +)")
         else:
-            self.cut = re.compile(f"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+")
+            self.cut = re.compile("\n| *[^ \n]+| +")
         self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
 
     def normalized(self, text: str) -> str:
-        """What is encoded: spaces as marks and one mark in front (nothing for the empty text)."""
-        return SPACE + text.replace(" ", SPACE) if text else ""
+        """What is encoded: one space in front, space marks as spaces (nothing for the empty text)."""
+        return " " + text.replace(SPACE, " ") if text else ""
 
     def merge(self, stretch: str) -> list[int]:
         """Ids of a normalized stretch by the agenda of adjacent pairs."""
+        merged = self._merge_short(stretch) if len(stretch) <= 40 else self._merge_long(stretch)
+        ids, out = self.ids, []
+        for symbol in merged:
+            if symbol in ids:
+                out.append(ids[symbol])
+            elif self.bytes:
+                out.extend([self.bytes[b] for b in symbol.encode("utf-8")])
+            else:
+                out.append(self.unknown)
+        return out
+
+    def _merge_short(self, stretch: str) -> list[str]:
+        """The agenda as a plain list in place order: its best entry is cheap to find while it is short."""
+        get, symbols = self.scores.get, list(stretch)
+        agenda = [get(a + b, _NEVER) for a, b in zip(symbols, symbols[1:])]
+        while agenda:
+            best = max(agenda)
+            if best == _NEVER:
+                break
+            i = agenda.index(best)  # the leftmost of equals
+            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
+            del agenda[i]
+            if i:
+                agenda[i - 1] = get(symbols[i - 1] + symbols[i], _NEVER)
+            if i < len(agenda):
+                agenda[i] = get(symbols[i] + symbols[i + 1], _NEVER)
+        return symbols
+
+    def _merge_long(self, stretch: str) -> list[str]:
+        """The agenda as a heap of (score, place, piece), symbols as a linked list."""
         symbols: list[str | None] = list(stretch)
         n = len(symbols)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         scores, agenda = self.scores, []
         for i in range(n - 1):
-            score = scores.get(symbols[i] + symbols[i + 1])
-            if score is not None:
-                agenda.append((-score, i, i + 1, symbols[i] + symbols[i + 1]))
+            piece = symbols[i] + symbols[i + 1]
+            if piece in scores:
+                agenda.append((-scores[piece], i, i + 1, piece))
         heapq.heapify(agenda)
         while agenda:
             _, left, right, piece = heapq.heappop(agenda)
-            if symbols[left] is None or symbols[right] is None or symbols[left] + symbols[right] != piece \
-                    or after[left] != right:
-                continue
+            if symbols[left] is None or symbols[right] is None or after[left] != right \
+                    or symbols[left] + symbols[right] != piece:
+                continue  # one of the two has merged with another
             symbols[left], symbols[right] = piece, None
             after[left] = after[right]
             if after[left] < n:
                 before[after[left]] = left
             for a, b in ((before[left], left), (left, after[left])):
-                if a >= 0 and b < n:
-                    score = scores.get(symbols[a] + symbols[b])
-                    if score is not None:
-                        heapq.heappush(agenda, (-score, a, b, symbols[a] + symbols[b]))
-        out: list[int] = []
-        for symbol in symbols:
-            if symbol is None:
-                continue
-            found = self.ids.get(symbol)
-            if found is not None:
-                out.append(found)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in symbol.encode("utf-8"))
-            else:
-                out.append(self.unknown)
-        return out
+                if a >= 0 and b < n and (piece := symbols[a] + symbols[b]) in scores:
+                    heapq.heappush(agenda, (-scores[piece], a, b, piece))
+        return [s for s in symbols if s is not None]
 
     def _stretch(self, stretch: str) -> tuple[tuple[int, ...], str, str]:
-        ids = tuple(self.merge(stretch))
-        found = ids, ",".join(map(str, ids)), self.joined(ids)
+        ids = self.merge(stretch)
+        shown = self.joined(ids)
+        found = tuple(ids), ",".join([self.decimal[i] for i in ids]), stretch if shown == stretch else shown
         if len(stretch) <= self.REMEMBER_CHARS:
             if len(self.known) >= self.REMEMBER:
                 self.known.clear()
@@ -112,7 +135,7 @@ class MergeVocabulary:
         return found
 
     def stretches(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """For each stretch of a raw text: its ids, these in decimal joined by commas, and what they decode to.
+        """For each stretch of a raw text: its ids, these in decimal joined by commas, what they decode to.
 
         A stretch holds whole characters, so its bytes decode by themselves.
         """
@@ -129,9 +152,11 @@ class MergeVocabulary:
         Control pieces give nothing; bytes that are no UTF-8 become the
         replacement character, one for each byte.
         """
+        surface, value = self.surface, self.value
+        if value.keys().isdisjoint(ids):
+            return "".join([surface[i] for i in ids])
         out: list[str] = []
         run = bytearray()
-        surface, value = self.surface, self.value
         for i in ids:
             byte = value.get(i)
             if byte is not None:
@@ -140,7 +165,7 @@ class MergeVocabulary:
             if run:
                 out.append(_utf8(bytes(run)))
                 run.clear()
-            out.append(surface[i].replace(SPACE, " "))
+            out.append(surface[i])
         if run:
             out.append(_utf8(bytes(run)))
         return "".join(out)
@@ -151,7 +176,7 @@ class MergeVocabulary:
             if i in self.value:
                 return False
             if self.surface[i]:
-                return self.surface[i][0] == SPACE
+                return self.surface[i][0] == " " and i != self.unknown
         return False
 
     def decode(self, ids: Sequence[int]) -> str:
@@ -209,15 +234,22 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = vocabulary(model_path)
+        gc.disable()  # nothing here makes cycles, and the remembered tuples would be walked again and again
+        try:
+            yield from encoded(own, batches)
+        finally:
+            gc.enable()
+
+    def encoded(own: MergeVocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", 4 << 20):
                 rows = []
                 for text in common.texts(batch.column(1)):
-                    parts = own.stretches(text)
-                    ids = [i for part in parts for i in part[0]]
-                    decoded = "".join([part[2] for part in parts])[1 if own.drops_space(ids) else 0:]
+                    tokens, decimal, shown = zip(*own.stretches(text)) if text else ((), (), ())
+                    ids = list(chain.from_iterable(tokens))
+                    decoded = "".join(shown)[1 if own.drops_space(ids) else 0:]
                     agrees = own.library.encode(text) == ids and own.library.decode(ids) == decoded
-                    row = (len(ids), _digest(",".join([part[1] for part in parts])), _digest(decoded), agrees)
+                    row = (len(ids), _digest(",".join(decimal)), _digest(decoded), agrees)
                     rows.append((*row, ids, decoded) if with_ids else row)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
