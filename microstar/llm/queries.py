@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from microstar.llm import mixing, pieces, repetition, secrets, token_files, toxicity, warc
+from microstar.llm import mixing, near_dup, pieces, repetition, secrets, token_files, toxicity, warc
 from microstar.llm.common import table
 
 
@@ -51,6 +51,11 @@ def op9_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.quality(table(spark, sf_dir, "documents"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near duplicates among all documents: Jaccard 0.85 or more on five-word shingles."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op4_toxicity": op4_toxicity,
@@ -59,6 +64,7 @@ QUERIES = {
     "op7_mixing": op7_mixing,
     "op8_secret_scan": op8_secret_scan,
     "op9_repetition": op9_repetition,
+    "op10_near_dup": op10_near_dup,
 }
 
 ORACLE = {

@@ -30,7 +30,7 @@ class Settings:
     bits: int = 18                    # 2**bits buckets
     smoothing: float = 1.0
     least_chi2: float = 30.0          # of a bucket that enters the regression
-    least_ratio: float = 1.0          # and its log-count ratio, either way
+    least_ratio: float = 2.0          # and its log-count ratio, either way
     sample_rows: int = 10_000         # training rows the regression is fitted on, at most
     penalty: float = 1.0              # of squared weights (on scaled features)
     rounds: int = 300
