@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from microstar.session import scratch_path
+
 #: A word: a longest run of characters other than the six ASCII white-space characters.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
 WORD = re.compile(WORD_PATTERN)
@@ -24,6 +26,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def written(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` as a written table in the shared folder: its lineage ends there.
+
+    The shuffle files of the write are of no use afterwards and are removed.
+    """
+    spark = frame.sparkSession
+    path = scratch_path(spark, name)
+    cleanup = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(cleanup, "false")
+    spark.conf.set(cleanup, "true")
+    try:
+        frame.write.parquet(path)
+    finally:
+        spark.conf.set(cleanup, before)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
 def texts(column: pa.Array) -> list[str]:
     """The texts of an Arrow column, null as the empty text."""
     return ["" if t is None else t for t in column.to_pylist()]

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from microstar.session import scratch_path
+from microstar.llm.common import written
+
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -19,7 +20,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """
     spark = links.sparkSession
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).distinct()
-    edges = _written(edges, "links")
+    edges = written(edges, "links")
     before = None
     for _ in range(most_rounds):
         # larger neighbours of a node go to the smallest of its neighbours and itself
@@ -31,7 +32,7 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         least = large.groupBy("high").agg(F.min("low").alias("least"))
         small = (large.join(least, "high").select(F.col("low").alias("high"), F.col("least").alias("low"))
                  .where("high <> low").union(least.toDF("high", "low")).distinct())
-        edges = _written(small, "links")
+        edges = written(small, "links")
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("high", "low").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -40,9 +41,3 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return (edges.groupBy("high").agg(F.min("low").alias("component")).withColumnRenamed("high", "node")
             .union(edges.select("low", "low").distinct()))
-
-
-def _written(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)

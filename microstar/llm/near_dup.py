@@ -35,8 +35,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from microstar.llm import common, hashing
+from microstar.llm.common import written
 from microstar.llm.components import components
-from microstar.session import scratch_path
 
 _U = np.uint64
 
@@ -135,12 +135,6 @@ def full_sets(docs: DataFrame, like: Likeness) -> DataFrame:
         run, "node long, n long, sketch array<long>, shingles array<long>")
 
 
-def _written(frame: DataFrame, name: str) -> DataFrame:
-    path = scratch_path(frame.sparkSession, name)
-    frame.write.parquet(path)
-    return frame.sparkSession.read.parquet(path)
-
-
 def _sizes_allow(n: Column, m: Column, like: Likeness) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * like.percent
 
@@ -162,7 +156,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
             .where(_sizes_allow(F.col("n_a"), F.col("n_b"), like))
             .where(_estimate_allows(F.col("sketch_a"), F.col("sketch_b"), like.sketch, like))
             .select("a", "b").distinct())
-    near = _written(near, "near-pairs")
+    near = written(near, "near-pairs")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
     return (near.join(side(["n", "shingles"], "a"), "a").join(side(["n", "shingles"], "b"), "b")
             .where(shared * 100 >= (F.col("n_a") + F.col("n_b") - shared) * like.percent).select("a", "b"))
@@ -207,19 +201,19 @@ def links(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     rows = classes.select("node", "n", size.alias("size"), F.explode("sketch").alias("value"))
     need = F.when(F.col("n") > F.col("size"), F.lit(like.shared(like.listed))).otherwise(
         F.ceil(F.col("size") * like.percent / F.lit(100)))
-    listed = _written(_rarest(_counted(rows), F.col("size"), F.col("size") - need + 1), "lists")
+    listed = written(_rarest(_counted(rows), F.col("size"), F.col("size") - need + 1), "lists")
     many = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     nodes = listed.join(many, "value").select("node").distinct()
-    sets = _written(full_sets(docs.join(nodes, docs["doc_id"] == nodes["node"]).select("doc_id", "text"), like), "sets")
+    sets = written(full_sets(docs.join(nodes, docs["doc_id"] == nodes["node"]).select("doc_id", "text"), like), "sets")
 
-    star = _written(confirmed(_star_pairs(listed), sets, like), "star-links")
-    joined = _written(components(star), "star-components")
+    star = written(confirmed(_star_pairs(listed), sets, like), "star-links")
+    joined = written(components(star), "star-components")
     where = lambda frame: (frame.join(joined, "node", "left")
                            .withColumn("component", F.coalesce("component", "node")))
     open_lists = (where(listed).groupBy("value")
                   .agg(F.count(F.lit(1)).alias("members"), F.min("component").alias("low"),
                        F.max("component").alias("high")).where("low <> high").select("value", "members"))
-    rest = _written(where(listed).join(open_lists, "value"), "open-lists")
+    rest = written(where(listed).join(open_lists, "value"), "open-lists")
 
     # short lists: every pair that is still in two components
     short = rest.where(F.col("members") <= like.short_list)
@@ -234,7 +228,7 @@ def links(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
              .select("node", "n", F.col("n").alias("size"), F.explode("shingles").alias("value")))
     full_need = F.ceil(F.col("n") * like.percent / F.lit(100))
     relisted = _rarest(_counted(crowd), F.col("size"), F.col("size") - full_need + 1)
-    relisted = _written(where(relisted), "relisted")
+    relisted = written(where(relisted), "relisted")
     around = sets.select("node", "sketch").join(relisted.select("node").distinct(), "node")
     carried = relisted.join(around, "node")
     one = lambda x: carried.select("value", *[F.col(c).alias(f"{c}_{x}")
@@ -262,9 +256,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     empty result.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = _written(sketched(docs, like), "sketched")
+    rows = written(sketched(docs, like), "sketched")
     filled = rows.where("n_shingles > 0")
-    classes = _written(filled.where("doc_id IS NOT NULL").groupBy("d1", "d2").agg(
+    classes = written(filled.where("doc_id IS NOT NULL").groupBy("d1", "d2").agg(
         F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")), "classes")
     found = components(links(docs, classes.select("node", "n", "sketch"), like))
     named = (classes.select("d1", "d2", "node").join(found, "node", "left")

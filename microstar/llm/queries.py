@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from microstar.llm import mixing, near_dup, pieces, repetition, secrets, token_files, toxicity, warc
+from microstar.llm import mixing, near_dup, pieces, repetition, secrets, substrings, token_files, toxicity, warc
 from microstar.llm.common import table
 
 
@@ -20,6 +20,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents without those under 20-word windows that start earlier elsewhere."""
+    return substrings.dedup(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every whole text, learned from the labelled rows that are not held out."""
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +63,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
     "op6_token_files": op6_token_files,
