@@ -280,7 +280,8 @@ def write_and_read(pages: DataFrame, folder: str | None = None) -> DataFrame:
     sizes = (records.where("record_type = 'response' AND page_id IS NOT NULL")
              .groupBy(F.col("page_id").alias("refers_to"), F.col("running_sha1").alias("header_sha1"))
              .agg(F.max("running_bytes").alias("full")))
-    return (records.join(sizes, ["refers_to", "header_sha1"], "left")
+    # the plan's size estimate comes from the small list of files, so a broadcast must be ruled out
+    return (records.join(sizes.hint("merge"), ["refers_to", "header_sha1"], "left")
             .select("page_id", F.coalesce("full", "running_bytes").alias("payload_bytes"),
                     F.col("header_sha1").alias("payload_digest"), "record_type", "refers_to"))
 
