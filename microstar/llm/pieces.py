@@ -213,21 +213,24 @@ def _digest(text: str) -> str:
 
 
 def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text",
-                  with_ids: bool = False) -> DataFrame:
+                  keep: Sequence[str] = (), with_ids: bool = False) -> DataFrame:
     """Encode every whole text, decode it again, and check both against the library.
 
     Returns one row per input row: ``doc_id, n_tokens, ids_sha256,
     decoded_sha256, library_agrees`` and, on request, ``ids`` and
-    ``decoded``.  ``library_agrees`` is false where the library's ids or
-    decoded text differ.  Null texts count as empty: no ids.  Null ids and
+    ``decoded``; the columns named in ``keep`` come along.
+    ``library_agrees`` is false where the library's ids or decoded text
+    differ.  Null texts count as empty: no ids.  Null ids and
     repeated rows pass through, each on its own; other columns are not read.
     An empty table gives an empty result.  ``model_path`` must exist on every
     executor.
     """
+    kept = [F.col(c) for c in keep]
     id_type = docs.schema[id_col].dataType.simpleString()
-    names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
+    names = ["doc_id", *keep, "n_tokens", "ids_sha256", "decoded_sha256", "library_agrees"]
     types = [pa.int64(), pa.string(), pa.string(), pa.bool_()]
-    schema = f"doc_id {id_type}, n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean"
+    schema = f"doc_id {id_type}, " + "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in keep)
+    schema += "n_tokens long, ids_sha256 string, decoded_sha256 string, library_agrees boolean"
     if with_ids:
         names, types = [*names, "ids", "decoded"], [*types, pa.list_(pa.int32()), pa.string()]
         schema += ", ids array<int>, decoded string"
@@ -253,6 +256,6 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
                     rows.append((*row, ids, decoded) if with_ids else row)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names)
+                    [batch.column(0), *batch.columns[2:], *(pa.array(c, t) for c, t in zip(columns, types))], names)
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *kept).mapInArrow(run, schema)

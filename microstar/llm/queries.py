@@ -3,16 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from microstar.llm import mixing, near_dup, pieces, repetition, secrets, substrings, token_files, toxicity, warc
-from microstar.llm.common import table
-
-
-def tokenizer(name: str) -> str:
-    """Path of a public tokenizer file, the same on the driver and the executors."""
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
+from microstar.llm import mixing, near_dup, neighbours, pieces, repetition, secrets, substrings, token_files, toxicity, warc
+from microstar.llm.common import table, tokenizer
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +14,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.encode_decode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
 
 
+def op2_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest other vectors, by inner product, of every vector whose id 20 divides."""
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of all documents without those under 20-word windows that start earlier elsewhere."""
     return substrings.dedup(table(spark, sf_dir, "documents"))
@@ -63,6 +62,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
+    "op2_neighbours": op2_neighbours,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_toxicity": op4_toxicity,
     "op5_warc": op5_warc,
