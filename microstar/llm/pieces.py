@@ -35,8 +35,8 @@ _NEVER = float("-inf")
 class MergeVocabulary:
     """Pieces, scores and byte pieces of a merge-type model, with encode and decode."""
 
-    #: Stretches up to this length are remembered, this many at most.
-    REMEMBER_CHARS, REMEMBER = 48, 500_000
+    #: Stretches up to this length are remembered, twice this many at most.
+    REMEMBER_CHARS, REMEMBER = 48, 400_000
 
     def __init__(self, model_path: str):
         import sentencepiece
@@ -64,6 +64,7 @@ class MergeVocabulary:
         else:
             self.cut = re.compile("\n| *[^ \n]+| +")
         self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
+        self.before: dict[str, tuple[tuple[int, ...], str, str]] = {}  # what was known when the table was last full
 
     def normalized(self, text: str) -> str:
         """What is encoded: one space in front, space marks as spaces (nothing for the empty text)."""
@@ -125,11 +126,14 @@ class MergeVocabulary:
         return [s for s in symbols if s is not None]
 
     def _stretch(self, stretch: str) -> tuple[tuple[int, ...], str, str]:
-        ids = self.merge(stretch)
-        shown = self.joined(ids)
-        found = tuple(ids), ",".join([self.decimal[i] for i in ids]), stretch if shown == stretch else shown
+        found = self.before.get(stretch)
+        if found is None:
+            ids = self.merge(stretch)
+            shown = self.joined(ids)
+            found = tuple(ids), ",".join([self.decimal[i] for i in ids]), stretch if shown == stretch else shown
         if len(stretch) <= self.REMEMBER_CHARS:
             if len(self.known) >= self.REMEMBER:
+                self.before = dict(self.known)
                 self.known.clear()
             self.known[stretch] = found
         return found
