@@ -85,10 +85,10 @@ def _first_of_equal(*keys: np.ndarray) -> np.ndarray:
     return first
 
 
-def _tag(hashes: np.ndarray) -> int:
-    """A number that tells apart texts that share a document id."""
-    total = hashing.mix((hashes * hashing.mix(np.arange(1, len(hashes) + 1, dtype=np.uint64))).sum(keepdims=True))
-    return int(total[0] >> _U(33))
+def _fingerprints(hashes: np.ndarray, starts: np.ndarray, cover: Cover) -> tuple[np.ndarray, np.ndarray]:
+    """64 and 31 bits of the windows at ``starts``."""
+    return (hashing.windows(hashes, cover.window, starts),
+            hashing.windows(hashes, cover.window, starts, seed=17) >> _U(33))
 
 
 def repeated_anchors(docs: DataFrame, cover: Cover) -> DataFrame:
@@ -119,7 +119,10 @@ def repeated_anchors(docs: DataFrame, cover: Cover) -> DataFrame:
 
 
 def repeated_windows(docs: DataFrame, anchors: DataFrame, cover: Cover) -> DataFrame:
-    """(doc_id, starts): array of (tag, start) of windows that also start earlier."""
+    """(doc_id, starts): windows that also start earlier, as 31 bits of the fingerprint over the start.
+
+    The bits tell apart different texts under one id.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in common.slices(whole, "text", SLICE_BYTES):
@@ -140,24 +143,27 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, cover: Cover) -> DataF
                 np.add.at(wanted, high[some], -1)
                 starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
                 text = np.searchsorted(found.bounds, starts, side="right") - 1
-                h1 = hashing.windows(found.hashes, cover.window, starts)
-                h2 = hashing.windows(found.hashes, cover.window, starts, seed=17) >> _U(33)
+                h1, h2 = _fingerprints(found.hashes, starts, cover)
                 first = _first_of_equal(h1, h2)
-                h1 = np.where(first, h1, _scatter(h1, starts))
-                tags = np.fromiter((_tag(found.hashes[a:b]) for a, b in zip(found.bounds, found.bounds[1:])),
-                                   dtype=np.int32, count=batch.num_rows)
+                # a known repeat meets nothing but others of its document
+                h1 = np.where(first, h1, hashing.mix(ids[text].astype(np.int64).view(np.uint64)))
+                start2 = (starts - found.bounds[:-1][text]) * 2 + ~first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(h2.astype(np.int32)), pa.array(ids[text]),
-                     pa.array(((starts - found.bounds[:-1][text]) * 2 + ~first).astype(np.int32)), pa.array(tags[text])],
-                    ["h1", "h2", "doc_id", "start2", "tag"])
+                    [pa.array(h1.view(np.int64)), pa.array(ids[text]),
+                     pa.array(((h2 << _U(32)) | start2.astype(np.uint64)).view(np.int64))], ["h1", "doc_id", "packed"])
 
     around = docs.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(
-        run, "h1 long, h2 int, doc_id long, start2 int, tag int")
-    start = F.floor(F.col("start2") / 2).cast("int")
-    place = F.struct("doc_id", start.alias("start"))
-    earliest = F.min(place).over(W.partitionBy("h1", "h2"))
-    return (around.withColumn("earliest", earliest).where((F.col("start2") % 2 == 1) | (place > F.col("earliest")))
-            .groupBy("doc_id").agg(F.collect_list(F.struct("tag", start.alias("start"))).alias("starts")))
+        run, "h1 long, doc_id long, packed long").repartition("h1")
+    h2 = F.shiftright("packed", 32)
+    start2 = F.col("packed").bitwiseAND(0xFFFFFFFF)
+    known = start2 % 2 == 1
+    rows = around.select("h1", "doc_id", F.when(known, -1).otherwise(h2).alias("group"), known.alias("known"),
+                         F.shiftright(start2, 1).alias("start"), h2.alias("h2"))
+    place = F.struct("doc_id", "start")
+    earliest = F.min(F.when(~F.col("known"), place)).over(W.partitionBy("h1", "group"))
+    return (rows.withColumn("earliest", earliest).where(F.col("known") | (place > F.col("earliest")))
+            .groupBy("doc_id")
+            .agg(F.collect_list(F.shiftleft("h2", 32).bitwiseOR(F.col("start"))).alias("starts")))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover: Cover = Cover(),
@@ -187,7 +193,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover
                     words = common.WORD.findall(text)
                     n = len(words)
                     if starts.is_valid:
-                        words = _kept(words, text, starts.values, cover.window)
+                        words = _kept(words, text, starts.values, cover)
                     kept = " ".join(words)
                     row = (doc_id, n, n - len(words), hashlib.sha256(kept.encode("utf-8")).hexdigest())
                     rows.append((*row, kept) if with_text else row)
@@ -199,13 +205,15 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cover
                         + (", kept string" if with_text else "")))
 
 
-def _kept(words: list[str], text: str, starts: pa.StructArray, window: int) -> list[str]:
-    """The words outside the windows that begin at this text's ``starts``."""
-    tags, at = (starts.field(i).to_numpy(zero_copy_only=False) for i in range(2))
-    own = _tag(hashing.words(pa.array([text])).hashes)
-    at = at[tags == own]
-    depth = np.zeros(len(words) + window + 1, dtype=np.int64)
+def _kept(words: list[str], text: str, packed: pa.Array, cover: Cover) -> list[str]:
+    """The words outside the windows that begin at this text's own ``starts``."""
+    packed = packed.to_numpy(zero_copy_only=False).astype(np.int64)
+    at, bits = packed & 0xFFFFFFFF, (packed >> 32).astype(np.uint64)
+    inside = at + cover.window <= len(words)
+    at, bits = at[inside], bits[inside]
+    at = at[_fingerprints(hashing.words(pa.array([text])).hashes, at, cover)[1] == bits]
+    depth = np.zeros(len(words) + 1, dtype=np.int64)
     np.add.at(depth, at, 1)
-    np.add.at(depth, at + window, -1)
-    gone = np.cumsum(depth)[:len(words)] > 0
+    np.add.at(depth, at + cover.window, -1)
+    gone = np.cumsum(depth)[:-1] > 0
     return [w for w, g in zip(words, gone.tolist()) if not g]
