@@ -15,8 +15,9 @@
 4. Only lists whose members are still in different components go on.  In
    short ones all remaining pairs are tried.  The classes in long ones (many
    copies with small changes) are listed anew by the rarest shingles of
-   their full sets, which is an exact filter, and pairs are tried unless the
-   shingles that nobody else has, or the estimate, already rule them out.
+   their full sets, which is an exact filter; a pair is met at its first
+   common shingle and tried unless what follows there, or the estimate,
+   already rules it out.
 5. Components of the links are the result.
 
 Lists are joined, never collected; only links between components not yet
@@ -139,14 +140,23 @@ def _sizes_allow(n: Column, m: Column, like: Likeness) -> Column:
     return F.least(n, m) * 100 >= F.greatest(n, m) * like.percent
 
 
-def _estimate_allows(a: Column, b: Column, k: int, like: Likeness) -> Column:
-    """Whether the Jaccard estimate from the union's ``k`` smallest values comes near enough."""
-    union = F.slice(F.array_sort(F.array_union(a, b)), 1, k)
-    shared = F.size(F.array_intersect(F.array_intersect(union, a), b))
-    slack = like.deviations * math.sqrt(like.least * (1 - like.least) / k)
-    exact = F.size(union) < k  # both sets lie whole in their sketches
-    return F.when(exact, shared * 100 >= F.size(union) * like.percent).otherwise(
-        shared >= F.size(union) * F.lit(like.least - slack))
+def _estimate_allows(a: Column, b: Column, n: Column, m: Column, k: int, like: Likeness) -> Column:
+    """Whether the Jaccard estimate from the union's sketch comes near enough.
+
+    Up to the smaller of the two largest retained values both sketches are
+    complete, so their union there is a sketch of the union.  Sets that lie
+    whole in their sketches are compared exactly.
+    """
+    top = F.lit((1 << 63) - 1)
+    last = lambda x, size: F.when(size > k, F.element_at(x, -1)).otherwise(top)
+    bound = F.least(last(a, n), last(b, m))
+    within = lambda x: F.when(F.element_at(x, -1) <= bound, F.size(x)).otherwise(
+        F.size(F.filter(x, lambda v: v <= bound)))
+    shared, both = F.size(F.array_intersect(a, b)), within(a) + within(b)
+    slack = F.when(bound == top, 0.0).otherwise(
+        like.deviations * math.sqrt(like.least * (1 - like.least)) / F.sqrt(F.lit(float(k))))
+    # shared / (both - shared) >= least - slack
+    return shared * (1 + like.least - slack) >= both * (like.least - slack) - 1e-9
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
@@ -154,7 +164,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
     side = lambda cols, x: sets.select(F.col("node").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in cols])
     near = (pairs.join(side(["n", "sketch"], "a"), "a").join(side(["n", "sketch"], "b"), "b")
             .where(_sizes_allow(F.col("n_a"), F.col("n_b"), like))
-            .where(_estimate_allows(F.col("sketch_a"), F.col("sketch_b"), like.sketch, like))
+            .where(_estimate_allows(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), like.sketch, like))
             .select("a", "b").distinct())
     near = written(near, "near-pairs")
     shared = F.size(F.array_intersect("shingles_a", "shingles_b"))
@@ -163,17 +173,21 @@ def confirmed(pairs: DataFrame, sets: DataFrame, like: Likeness) -> DataFrame:
 
 
 def _rarest(found: DataFrame, size: Column, keep: Column) -> DataFrame:
-    """(node, value, own) for the ``keep`` rarest values of each node, those listed once left out.
+    """(node, n, size, own, place, rare, value): the ``keep`` rarest values of each node, one a row.
 
     ``found`` has (node, size, value, seen) for the values seen twice or more;
-    the others of a node's ``size`` values are unique and come first.
-    ``own`` is their number.
+    the others of a node's ``size`` values are unique, come first and are not
+    listed; ``own`` is their number.  ``place`` counts the values before one
+    in the common order (rarest first), ``rare`` holds all listed ones of the
+    node in that order.
     """
     per = found.groupBy("node").agg(F.first("size").alias("size"), F.first("n").alias("n"),
                                     F.sort_array(F.collect_list(F.struct("seen", "value"))).alias("values"))
     per = per.withColumn("own", size - F.size("values")).withColumn("left", (keep - F.col("own")).cast("int"))
-    return (per.where("left > 0").withColumn("v", F.explode(F.slice("values", F.lit(1), F.col("left"))))
-            .select("node", "n", "size", "own", F.col("v.value").alias("value")))
+    rare = F.transform(F.slice("values", F.lit(1), F.greatest(F.col("left"), F.lit(0))), lambda v: v["value"])
+    return (per.where("left > 0").withColumn("rare", rare)
+            .select("node", "n", "size", "own", "rare", F.posexplode("rare").alias("at", "value"))
+            .withColumn("place", F.col("own") + F.col("at")).drop("at"))
 
 
 def _counted(rows: DataFrame) -> DataFrame:
@@ -201,7 +215,7 @@ def links(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     rows = classes.select("node", "n", size.alias("size"), F.explode("sketch").alias("value"))
     need = F.when(F.col("n") > F.col("size"), F.lit(like.shared(like.listed))).otherwise(
         F.ceil(F.col("size") * like.percent / F.lit(100)))
-    listed = written(_rarest(_counted(rows), F.col("size"), F.col("size") - need + 1), "lists")
+    listed = written(_rarest(_counted(rows), F.col("size"), F.col("size") - need + 1).drop("rare"), "lists")
     many = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     nodes = listed.join(many, "value").select("node").distinct()
     sets = written(full_sets(docs.join(nodes, docs["doc_id"] == nodes["node"]).select("doc_id", "text"), like), "sets")
@@ -231,16 +245,19 @@ def links(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     relisted = written(where(relisted), "relisted")
     around = sets.select("node", "sketch").join(relisted.select("node").distinct(), "node")
     carried = relisted.join(around, "node")
-    one = lambda x: carried.select("value", *[F.col(c).alias(f"{c}_{x}")
-                                              for c in ("node", "n", "own", "component", "sketch")])
-    # shingles that nobody else in the crowd has bound what two sets can share
-    most = F.least(F.col("n_a") - F.col("own_a"), F.col("n_b") - F.col("own_b"))
+    # comparing is far more work than the rows are bytes, so the partitions are not to be merged
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = lambda x: carried.select("value", *[F.col(c).alias(f"{c}_{x}") for c in
+                                              ("node", "n", "place", "component", "rare", "sketch")]).repartition(parts, "value")
+    # two sets share at most what follows their first common value in the common order
+    most = F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b"))
     possible = most * (100 + like.percent) >= (F.col("n_a") + F.col("n_b")) * like.percent
+    first_common = F.element_at(F.array_intersect("rare_a", "rare_b"), 1) == F.col("value")
     crowded = (one("a").join(one("b"), "value")
-               .where("node_a < node_b AND component_a <> component_b")
-               .where(possible & _sizes_allow(F.col("n_a"), F.col("n_b"), like)
-                      & _estimate_allows(F.col("sketch_a"), F.col("sketch_b"), like.sketch, like))
-               .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct())
+               .where((F.col("node_a") < F.col("node_b")) & (F.col("component_a") != F.col("component_b"))
+                      & possible & _sizes_allow(F.col("n_a"), F.col("n_b"), like) & first_common
+                      & _estimate_allows(F.col("sketch_a"), F.col("sketch_b"), F.col("n_a"), F.col("n_b"), like.sketch, like))
+               .select(F.col("node_a").alias("a"), F.col("node_b").alias("b")))
     return star.union(confirmed(tries.union(crowded).distinct(), sets, like))
 
 
