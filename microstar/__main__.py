@@ -2,6 +2,7 @@
 
     python -m microstar load --edition 2019=/data/MICRODADOS_2019.csv \\
         --edition 2018=/data/MICRODADOS_2018.csv --out /lake/exam [--state RR] [--fixes]
+    python -m microstar municipality --list /data/municipios.csv --out /lake/municipality
     python -m microstar analyse --star /lake/export --report /lake/report
 
 ``load`` writes raw/, cleaned/ (one folder per edition) and curated/
@@ -35,6 +36,10 @@ def main(argv: list[str] | None = None) -> int:
     p.add_argument("--state", default="RR", help="exam state to keep; empty string keeps all")
     p.add_argument("--fixes", action="store_true", help="correct the reference's known quirks")
     p.add_argument("--table", action="append", help="load only this star table (repeatable)")
+    m = sub.add_parser("municipality", help="municipality list -> RAW, CLEANED, CURATED")
+    m.add_argument("--list", required=True, help="delimited text, file or folder")
+    m.add_argument("--out", required=True)
+    m.add_argument("--sep", default=";")
     a = sub.add_parser("analyse", help="star export -> model, evaluation, hit rates")
     a.add_argument("--star", required=True)
     a.add_argument("--report", required=True)
@@ -48,6 +53,10 @@ def main(argv: list[str] | None = None) -> int:
                                   fixes=args.fixes, tables=args.table)
         print(json.dumps(paths))
         return 0
+    if args.cmd == "municipality":
+        from microstar.plans.municipality import load_municipality
+        print(json.dumps(load_municipality(spark, args.list, args.out, args.sep)))
+        return 0
     from microstar.plans import analysis as A
     tables = A.read_star(spark, args.star)
     ev = A.fit_and_evaluate(spark, A.join_star(tables))

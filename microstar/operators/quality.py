@@ -71,6 +71,27 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
               .where(F.col("n_rows") > 1))
 
 
+def reject_duplicates(checked: DataFrame, keys: list[str]) -> DataFrame:
+    """Enforce a primary key on checked rows (K5).
+
+    Of the good rows that share a key the one with the smallest values,
+    column by column, stays; the others get the reason ``<key>: duplicate
+    key``.  Of fully equal rows one stays.  The smallest row of a key is
+    found by a partial aggregate and only keys that repeat are joined back,
+    so a key that holds a third of the rows is never gathered in one task.
+    """
+    label = f"{', '.join(keys)}: duplicate key"
+    good = F.col(REJECT_COL).isNull()
+    rows = checked.withColumn("_row", F.monotonically_increasing_id())
+    values = [c for c in checked.columns if c != REJECT_COL]
+    first = (rows.where(good).groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*values, "_row")).alias("_first"))
+             .where("_n > 1").select(*keys, F.col("_first._row").alias("_keep")))
+    marked = rows.join(first, keys, "left")
+    late = good & F.col("_keep").isNotNull() & (F.col("_row") != F.col("_keep"))
+    return marked.select(*values, F.when(late, F.lit(label)).otherwise(F.col(REJECT_COL)).alias(REJECT_COL))
+
+
 def sort_with_tiebreak(df: DataFrame, order_by: list) -> DataFrame:
     """Global sort on ``order_by`` plus a unique input row id, so that the
     range partitioner can cut inside a run of equal keys (a hot key does not
@@ -79,9 +100,12 @@ def sort_with_tiebreak(df: DataFrame, order_by: list) -> DataFrame:
               .orderBy(*order_by, "_tie").drop("_tie"))
 
 
-def surrogate_key(df: DataFrame, order_by: list, name: str = "SK", start: int = 1) -> DataFrame:
+def surrogate_key(df: DataFrame, order_by: list | None, name: str = "SK", start: int = 1) -> DataFrame:
     """Dense 1, 2, 3 ... key following ``order_by`` (K6, an IDENTITY column).
 
+    Without ``order_by`` the key follows the order in which rows arrive, as
+    an IDENTITY column does, and nothing is sorted.
+
     Distributed: a global sort (range-partitioned, no single-task window),
     ``monotonically_increasing_id`` inside each sorted partition, one small
     count per partition and a running offset over those counts (one row
@@ -93,7 +117,7 @@ def surrogate_key(df: DataFrame, order_by: list, name: str = "SK", start: int =
     ``order_by`` should be unique for a deterministic key.
     """
     checkpoint_root(df.sparkSession)
-    tagged = sort_with_tiebreak(df, order_by).withColumn("_mid", F.monotonically_increasing_id())
+    tagged = (sort_with_tiebreak(df, order_by) if order_by else df).withColumn("_mid", F.monotonically_increasing_id())
     tagged = tagged.checkpoint(eager=True)
     pid = F.shiftrightunsigned(F.col("_mid"), 33)
     counts = tagged.groupBy(pid.alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))

@@ -653,14 +653,26 @@ def q_fit_ols_1d(spark, sf):
                                  F.round(F.lit(m.intercept), 4).alias("intercept"))
 
 
-@register("fit_linear_svr")
+@register("fit_linear_svr", """
+SELECT * FROM (VALUES ('l_quantity', CAST(3 AS DOUBLE)), ('discount_pct', CAST(-2 AS DOUBLE)), ('tax_pct', CAST(5 AS DOUBLE)),
+  ('intercept', CAST(1000 AS DOUBLE))) t(term, weight)
+WHERE (SELECT count(*) FROM lineitem) > 0
+""")
 def q_fit_linear_svr(spark, sf):
-    """Robust linear fit of price on quantity, discount and tax over the
-    training side of the hash split; output one row per coefficient."""
+    """Robust linear fit over the training side of the hash split of lineitem.
+
+    The target is a planted linear rule of quantity, discount and tax; on the
+    fifth of the rows whose order key ends in 0 or 5 it is replaced by the
+    extended price, a value far off.  Least squares is pulled away by these
+    rows; the absolute-loss fit must give the planted rule back (whole numbers)."""
     li = hash_split(T(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
-    train = li.where(F.col("split") == "train")
-    m = fit_linear_svr(train, ["l_quantity", "l_discount", "l_tax"], "l_extendedprice")
-    return m.to_frame(spark)
+    li = li.select("l_quantity", (F.col("l_discount") * 100).alias("discount_pct"), (F.col("l_tax") * 100).alias("tax_pct"),
+                   "l_extendedprice", "l_orderkey", "split")
+    rule = 3 * F.col("l_quantity") - 2 * F.col("discount_pct") + 5 * F.col("tax_pct") + 1000
+    train = li.where(F.col("split") == "train").withColumn(
+        "y", F.when(F.col("l_orderkey") % 5 == 0, F.col("l_extendedprice")).otherwise(rule))
+    m = fit_linear_svr(train, ["l_quantity", "discount_pct", "tax_pct"], "y")
+    return m.to_frame(spark).select("term", (F.round("weight", 0) + 0.0).alias("weight"))
 
 
 # A fixed model (the result of a fit is not reproducible across engines).
@@ -934,8 +946,9 @@ def _exam_raw_standin(spark, sf) -> str:
     return _STAGED[key]
 
 
-def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | None = None) -> str:
-    """Stage one edition's raw file (its layout and separator) from orders."""
+def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | None = None, **override) -> str:
+    """Stage one edition's raw file (its layout and separator) from orders;
+    ``override`` gives other cells for named raw columns."""
     from microstar.spec.layouts import LAYOUTS, SEPARATOR
     o = T(spark, sf, "orders") if orders is None else orders
     s = lambda e: F.expr(e).cast("string")
@@ -983,9 +996,8 @@ def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | Non
         "IN_AMPLIADA_18": F.when(F.expr("o_orderkey % 11 = 0"), "1").otherwise("0"),
         "IN_LEDOR": F.when(F.expr("o_custkey % 17 = 0"), "1").otherwise("0"),
     }
+    cells.update(override)
     raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUTS[year]])
-    # an edition arrives as large splittable text: stage it as several files
-    raw = raw.repartition(spark.sparkContext.defaultParallelism)
     path = scratch_path(spark, f"exam_raw_{year}")
     write_delimited(raw, path, sep=SEPARATOR[year])
     return path
@@ -1213,16 +1225,16 @@ WITH m AS (SELECT lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS COD_SIAFI,
                   lpad(CAST(c_custkey AS VARCHAR), 14, '0') AS CNPJ, strip_accents(c_name) AS NOM_MUN,
                   CAST(c_nationkey AS VARCHAR) AS UF, reverse(lpad(CAST(c_custkey AS VARCHAR), 7, '0')) AS COD_MUN_IBGE
            FROM customer)
-SELECT COD_MUN_IBGE, substring(COD_MUN_IBGE, 1, 1) AS COD_REG_UF,
+SELECT COD_MUN_IBGE, CAST(substring(COD_MUN_IBGE, 1, 1) AS INTEGER) AS COD_REG_UF,
   CASE substring(COD_MUN_IBGE, 1, 1) WHEN '1' THEN 'N' WHEN '2' THEN 'NE' WHEN '3' THEN 'SE'
        WHEN '4' THEN 'S' WHEN '5' THEN 'CO' ELSE '' END AS REG_UF,
-  substring(COD_MUN_IBGE, 1, 2) AS COD_UF, UF, substring(COD_MUN_IBGE, 3, 5) AS COD_MUN, NOM_MUN
+  CAST(substring(COD_MUN_IBGE, 1, 2) AS INTEGER) AS COD_UF, UF, substring(COD_MUN_IBGE, 3, 5) AS COD_MUN, NOM_MUN
 FROM m WHERE COD_MUN_IBGE <> '0000000'
 """)
 def q_municipality_flow(spark, sf):
-    """Municipality list as delimited text (staged from customer) -> raw
-    read by position -> cleaned (accent folding, rename) -> curated."""
-    from microstar.plans.municipality import clean_municipality, curate_municipality, read_municipality_raw
+    """Municipality list as delimited text (staged from customer) -> RAW ->
+    CLEANED (accent folding, rename) -> CURATED loads, typed; the curated table."""
+    from microstar.plans.municipality import load_municipality
     c = T(spark, sf, "customer")
     staged = c.select(F.lpad((F.col("c_custkey") % 10000).cast("string"), 4, "0").alias("CODIGO SIAFI"),
                       F.lpad(F.col("c_custkey").cast("string"), 14, "0").alias("CNPJ"),
@@ -1230,4 +1242,8 @@ def q_municipality_flow(spark, sf):
                       F.reverse(F.lpad(F.col("c_custkey").cast("string"), 7, "0")).alias("CODIGO IBGE"))
     path = scratch_path(spark, "municipality_raw")
     write_delimited(staged, path, sep=";")
-    return curate_municipality(clean_municipality(read_municipality_raw(spark, path)))
+    paths = load_municipality(spark, path, scratch_path(spark, "municipality"))
+    return read_layer(spark, paths["curated"])
+
+
+from microstar.plans import catalog_loads  # noqa: E402, F401 - registers its queries

@@ -18,18 +18,18 @@ from __future__ import annotations
 
 from functools import lru_cache, reduce
 
-from pyspark.errors import AnalysisException
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from microstar.functions import (any_flag, any_flag_int, attendance_code, attendance_label,
                                  day_attendance, label, recode_map, row_mean, strip_accents, yes_no)
 from microstar.functions.labels import NO, YES
 from microstar.operators.project import harmonise, null_defaults, select_rename
-from microstar.operators.quality import FieldSpec, REJECT_COL, enforce_schema, split_rejects, surrogate_key
+from microstar.operators.quality import FieldSpec, REJECT_COL, enforce_schema, reject_duplicates, split_rejects, surrogate_key
 from microstar.operators.reshape import unpivot_groups
 from microstar.operators.route import Target, filter_eq, route
 from microstar.sources.delimited import DEFAULT_ENCODING, read_delimited
-from microstar.sources.layers import overwrite_load
+from microstar.sources.layers import overwrite_load, replace_partitions
 from microstar.spec import labels as L
 from microstar.spec import star as S
 from microstar.spec.layouts import ACCENT_FOLDED, LAYOUTS, NULL_DEFAULTS, SEPARATOR
@@ -43,26 +43,27 @@ DEFAULT_STATE = "RR"
 # ---------------------------------------------------------------- RAW ----
 
 OVERFLOW = "_EXTRA_FIELDS"
-MALFORMED = "malformed line: more fields than the layout"
+MALFORMED = "malformed line: more or fewer fields than the layout"
 
 
 def read_raw(spark: SparkSession, path, year: int, encoding: str = DEFAULT_ENCODING,
-             flag_overflow: bool = False) -> DataFrame:
+             flag_overflow: bool = True) -> DataFrame:
     """The edition's delimited file(s), bound by position to its layout.
 
-    ``flag_overflow`` adds the ``_EXTRA_FIELDS`` sentinel column (non-null on
-    lines with more fields than the layout) for ``check_raw``."""
+    The ``_EXTRA_FIELDS`` column holds lines with more or fewer fields than
+    the layout, for ``check_raw``; without ``flag_overflow`` they are read as
+    far as they fit."""
     return read_delimited(spark, path, LAYOUTS[year], sep=SEPARATOR[year], encoding=encoding,
-                          overflow_column=OVERFLOW if flag_overflow else None)
+                          malformed_column=OVERFLOW if flag_overflow else None)
 
 
 def check_raw(raw: DataFrame, year: int) -> DataFrame:
     """RAW layer typing (K4): every column a string within its VARCHAR width;
-    ``_reject_reason`` names the first column that is too long, or the
-    malformed line (more fields than the layout) when read with
-    ``flag_overflow``.  The sentinel column is not kept."""
+    ``_reject_reason`` names the malformed line, the row of another edition,
+    or the first column that is too long.  The sentinel column is not kept."""
     from microstar.spec.widths import raw_width
     checks = [(F.col(OVERFLOW).isNotNull(), MALFORMED)] if OVERFLOW in raw.columns else []
+    checks.append((~F.col("NU_ANO").eqNullSafe(str(year)), f"NU_ANO: not {year}"))
     spec = [FieldSpec(c, "string", raw_width(year, c)) for c in raw.columns if c != OVERFLOW]
     return enforce_schema(raw, spec, checks)
 
@@ -79,7 +80,11 @@ def check_cleaned(cleaned: DataFrame, year: int) -> DataFrame:
 
 def clean(raw: DataFrame, year: int, fixes: bool = False) -> DataFrame:
     """RAW -> CLEANED: accent-folded name copies (X1), null defaults (P6),
-    one simultaneous rename/permute/drop select (P1, P2).  All strings."""
+    one simultaneous rename/permute/drop select (P1, P2).  All strings.
+    Lines that were read as malformed are left out; ``check_raw`` keeps them
+    as rejects."""
+    if OVERFLOW in raw.columns:
+        raw = raw.where(F.col(OVERFLOW).isNull())
     folded = raw.withColumns({f"{c}_ORG": strip_accents(c) for c in ACCENT_FOLDED if c in raw.columns})
     defaulted = null_defaults(folded, {c: v for c, v in NULL_DEFAULTS.items() if c in folded.columns})
     return select_rename(defaulted, rename_list(year, fixes))
@@ -240,40 +245,81 @@ def build_star(base: DataFrame, answers_key: bool = True,
     return {name: typed(df) for name, df in star.items()}
 
 
-def load_star(star: dict[str, DataFrame], out_dir: str) -> dict[str, str]:
-    """Write good rows per table, partitioned by ANO_ENEM (dynamic partition
-    overwrite: idempotent per year), and all rejects to ``_rejects``."""
-    paths = {}
-    rejects = []
-    for name, checked in star.items():
-        good, bad = split_rejects(checked)
-        paths[name] = f"{out_dir}/{name}"
-        overwrite_load(good, paths[name], ["ANO_ENEM"])
-        rejects.append(bad.select(F.lit(name).alias("table_name"), F.col("NUM_INS"),
-                                  F.col("ANO_ENEM"), F.col(REJECT_COL)))
-    paths["_rejects"] = f"{out_dir}/_rejects"
-    # partitioned by table and edition: loading some tables leaves the others' rejects alone
-    overwrite_load(reduce(lambda a, b: a.unionByName(b), rejects), paths["_rejects"], ["table_name", "ANO_ENEM"])
+def load_star(star: dict[str, DataFrame], out_dir: str, years=None) -> dict[str, str]:
+    """Write good rows per table, partitioned by ANO_ENEM, and all rejects to
+    ``_rejects`` (by table and edition).
+
+    The primary key NUM_INS of every dimension and of the fact is enforced
+    (``reject_duplicates``).  With ``years`` exactly those editions of the
+    given tables are replaced, also by nothing, and rows of other editions
+    are rejected; without, the editions present in the rows.  Each checked
+    table is kept while its good rows and its rejects are written, so its
+    input is read once.  The list of loaded tables and editions is written
+    to ``_loads`` last: without its entry a load is not complete.
+    """
+    paths: dict[str, str] = {}
+    rejects, kept = [], []
+    try:
+        for name, checked in star.items():
+            if years is not None:
+                stray = F.col(REJECT_COL).isNull() & ~F.col("ANO_ENEM").isin([str(y) for y in years])
+                checked = checked.withColumn(REJECT_COL, F.when(stray, F.lit("ANO_ENEM: not a loaded edition"))
+                                             .otherwise(F.col(REJECT_COL)))
+            if name != "DIM_RSP_PRV":
+                checked = reject_duplicates(checked, ["NUM_INS"])
+            checked = checked.persist(StorageLevel.DISK_ONLY)
+            kept.append(checked)
+            good, bad = split_rejects(checked)
+            paths[name] = f"{out_dir}/{name}"
+            replace_partitions(good, paths[name], ["ANO_ENEM"], [(y,) for y in years or ()])
+            rejects.append(bad.select(F.lit(name).alias("table_name"), F.col("NUM_INS"),
+                                      F.col("ANO_ENEM"), F.col(REJECT_COL)))
+        paths["_rejects"] = f"{out_dir}/_rejects"
+        replace_partitions(reduce(lambda a, b: a.unionByName(b), rejects), paths["_rejects"],
+                           ["table_name", "ANO_ENEM"], [(n, y) for n in star for y in years or ()])
+    finally:
+        for frame in kept:
+            frame.unpersist()
+    if years is not None:
+        spark = next(iter(star.values())).sparkSession
+        loaded = [(name, str(y)) for name in star for y in years]
+        (spark.createDataFrame(loaded, "table_name string, ANO_ENEM string")
+         .withColumn("loaded_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{out_dir}/_loads"))
     return paths
 
 
+def read_star_table(spark: SparkSession, curated_dir: str, name: str) -> DataFrame:
+    """A loaded star table with its declared types (ANO_ENEM a string, not
+    what a folder name looks like); empty if no edition has rows."""
+    columns = S.ANSWER_COLUMNS + ["ANO_ENEM"] if name == "DIM_RSP_PRV" else [
+        c if isinstance(c, str) else c[1] for c in S.STAR_COLUMNS[name]]
+    schema = ", ".join(f"`{f.name}` {f.type}" for f in _spec_for(list(dict.fromkeys(columns))))
+    return spark.read.schema(schema).parquet(f"{curated_dir}/{name}")
+
+
 def next_answer_key(spark: SparkSession, answers_path: str, years) -> int:
     """First identity value for reloading ``years``: one past the largest key
-    kept in the other editions of an existing answers table (1 if none).
-    Like an IDENTITY column, keys stay unique across partial reloads."""
-    try:
-        existing = spark.read.parquet(answers_path)
-    except AnalysisException:
+    kept in the other editions of an existing answers table (1 if there is
+    no table yet).  Like an IDENTITY column, keys stay unique across partial
+    reloads.  Any failure but a missing folder stops the load."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(answers_path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
         return 1
-    kept = existing.where(~F.col("ANO_ENEM").cast("int").isin([int(y) for y in years]))
+    existing = spark.read.schema("DIM_RSP_PRV_PK bigint, ANO_ENEM string").parquet(answers_path)
+    kept = existing.where(~F.col("ANO_ENEM").isin([str(y) for y in years]))
     top = kept.agg(F.max("DIM_RSP_PRV_PK")).first()[0]
     return 1 if top is None else int(top) + 1
 
 
 def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
-    good, bad = split_rejects(checked)
-    overwrite_load(good, path)
-    overwrite_load(bad, rejects_path)
+    """Write good and rejected rows; the input is read and checked once."""
+    checked = checked.persist(StorageLevel.DISK_ONLY)
+    try:
+        good, bad = split_rejects(checked)
+        overwrite_load(good, path)
+        overwrite_load(bad, rejects_path)
+    finally:
+        checked.unpersist()
 
 
 def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
@@ -281,19 +327,21 @@ def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
                   tables: list[str] | None = None) -> dict[str, str]:
     """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star.
 
-    Each layer load is typed against its table definition: rows with a
-    value wider than the column go to ``<layer>_rejects/<year>`` with the
-    reason (the reference's database would have failed the whole insert).
+    Each layer load is typed against its table definition: malformed lines,
+    rows of another edition and rows with a value wider than the column go to
+    ``<layer>_rejects/<year>`` with the reason (the reference's database
+    would have failed the whole insert).  Exactly the named editions are
+    replaced, also when they come out empty.
     ``tables`` loads only the named star tables (deriving only what they
     need); the others keep their current content.
     """
     raw_dir, clean_dir = f"{out_dir}/raw", f"{out_dir}/cleaned"
     for year, path in sorted(raw_paths.items()):
-        _load_checked(check_raw(read_raw(spark, path, year, flag_overflow=True), year), f"{raw_dir}/{year}",
+        _load_checked(check_raw(read_raw(spark, path, year), year), f"{raw_dir}/{year}",
                       f"{out_dir}/raw_rejects/{year}")
         cleaned = clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes)
         _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")
     cleaned = {y: spark.read.parquet(f"{clean_dir}/{y}") for y in raw_paths}
     start = next_answer_key(spark, f"{out_dir}/curated/DIM_RSP_PRV", raw_paths)
     base = curate(cleaned, state, fixes, tables=tables)
-    return load_star(build_star(base, key_start=start, tables=tables), f"{out_dir}/curated")
+    return load_star(build_star(base, key_start=start, tables=tables), f"{out_dir}/curated", years=sorted(raw_paths))

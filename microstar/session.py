@@ -55,26 +55,28 @@ def cluster_conf(total_cores: int, partition_mb: int = 256) -> dict:
     }
 
 
+# application id -> the shared folder, resolved once for a session
+_ROOTS: dict[str, str] = {}
+
+
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
+    """The shared folder named by ``spark.checkpoint.dir``, resolved once per session.
 
     On a cluster this setting names a shared (distributed) folder and is
     used as is; if it is unset there, this raises instead of falling back to
     a machine-local folder.  Only for local masters (tests, local runs) an
     unset setting gets a private temporary folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        try:
-            root = spark.sparkContext.getCheckpointDir()
-        except Exception:  # pragma: no cover - older API
-            root = None
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a shared folder")
-        root = tempfile.mkdtemp(prefix="microstar-ckpt-")
-    spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _ROOTS:
+        root = spark.conf.get("spark.checkpoint.dir", None)
+        if not root:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a shared folder")
+            root = tempfile.mkdtemp(prefix="microstar-ckpt-")
+        spark.sparkContext.setCheckpointDir(root)
+        _ROOTS[app] = root.rstrip("/")
+    return _ROOTS[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -22,29 +22,33 @@ def string_schema(columns: list[str]) -> T.StructType:
 def read_delimited(spark: SparkSession, path, columns: list[str], sep: str = ";",
                    encoding: str = DEFAULT_ENCODING, header: bool = True,
                    null_token: str | None = NULL_TOKEN, quote: str = '"',
-                   overflow_column: str | None = None) -> DataFrame:
+                   malformed_column: str | None = None) -> DataFrame:
     """Read delimited text by position into string columns named ``columns``.
 
     ``enforceSchema`` binds the declared names by position whatever the
     header says.  The reader is splittable, so a large file is scanned by
-    many tasks.  With ``overflow_column`` one sentinel column is read past
-    the layout: it is non-null exactly when a line has more (non-empty)
-    fields than the layout -- e.g. an unquoted separator inside a value,
-    which shifts every later field -- so such lines can be rejected.
+    many tasks.  With ``malformed_column`` that column holds the text of
+    every line with more or fewer fields than the layout -- e.g. an unquoted
+    separator inside a value, which shifts every later field -- so such lines
+    can be rejected; it is null on good lines.  Counting fields needs the
+    whole line, so the reader then parses every column.
     """
-    read_cols = columns + ([overflow_column] if overflow_column else [])
-    raw = (spark.read.schema(string_schema(read_cols))
-           .option("header", header)
-           .option("enforceSchema", True)
-           .option("sep", sep)
-           .option("quote", quote)
-           .option("escape", quote)
-           .option("encoding", encoding)
-           .option("mode", "PERMISSIVE")
-           .option("ignoreLeadingWhiteSpace", True)
-           .option("ignoreTrailingWhiteSpace", True)
-           .csv(path))
-    return raw.select(list(_cleaned_cells(tuple(read_cols), null_token)))
+    read_cols = columns + ([malformed_column] if malformed_column else [])
+    reader = (spark.read.schema(string_schema(read_cols))
+              .option("header", header)
+              .option("enforceSchema", True)
+              .option("sep", sep)
+              .option("quote", quote)
+              .option("escape", quote)
+              .option("encoding", encoding)
+              .option("mode", "PERMISSIVE")
+              .option("ignoreLeadingWhiteSpace", True)
+              .option("ignoreTrailingWhiteSpace", True))
+    if malformed_column:
+        reader = reader.option("columnNameOfCorruptRecord", malformed_column).option("columnPruning", False)
+    raw = reader.csv(path)
+    cells = list(_cleaned_cells(tuple(columns), null_token))
+    return raw.select(cells + ([F.col(malformed_column)] if malformed_column else []))
 
 
 @lru_cache(maxsize=64)
@@ -60,25 +64,46 @@ def clean_cell(c, null_token: str | None = NULL_TOKEN):
     return out
 
 
-def read_star_csv(spark: SparkSession, path, sep: str = "\t",
-                  encoding: str = DEFAULT_ENCODING, infer: bool = True) -> DataFrame:
-    """Header CSV with inferred types (S6): the star tables as the analysis reads them.
+# One set of options for both sides of a star export: what is written reads back.
+_STAR_OPTIONS = {"header": True, "quote": '"', "escape": '"', "ignoreLeadingWhiteSpace": False,
+                 "ignoreTrailingWhiteSpace": False, "nullValue": ""}
+UNENCODABLE = "text outside the file's encoding"
 
-    Inference costs one extra pass over the input; pass ``infer=False`` and
-    an explicit schema at scale.
+
+def read_star_csv(spark: SparkSession, path, sep: str = "\t", encoding: str = DEFAULT_ENCODING,
+                  schema: T.StructType | str | None = None, infer: bool = True,
+                  multiline: bool = False) -> DataFrame:
+    """Header CSV (S6): the star tables as the analysis reads them.
+
+    With ``schema`` the types are given and the text is read once; without
+    it, types are inferred at the cost of one extra pass over the input, so
+    pass one at scale.  ``multiline`` reads values with line breaks; such
+    files are read whole, not split.
     """
-    return (spark.read.format("csv")
-            .option("header", True)
-            .option("inferSchema", infer)
-            .option("sep", sep)
-            .option("encoding", encoding)
-            .load(path))
+    reader = spark.read.format("csv").options(**_STAR_OPTIONS).option("sep", sep).option("encoding", encoding)
+    reader = reader.option("multiLine", multiline)
+    reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
+    return reader.load(path)
+
+
+def encodable(c, encoding: str = DEFAULT_ENCODING):
+    """Whether a text survives ``encoding`` (null does)."""
+    c = F.col(c) if isinstance(c, str) else c
+    if encoding.replace("-", "").lower() in ("utf8", "utf16", "utf32"):
+        return F.lit(True)
+    bound = {"ISO-8859-1": "\\u00FF", "US-ASCII": "\\u007F"}[encoding.upper()]
+    return F.coalesce(~c.rlike(f"[^\\u0000-{bound}]"), F.lit(True))
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = DEFAULT_ENCODING,
                     header: bool = True, mode: str = "overwrite") -> None:
-    """Write header CSV (used to stage text inputs and star exports)."""
-    (df.write.mode(mode).option("header", header).option("sep", sep)
-       .option("encoding", encoding).option("quote", '"').option("escape", '"')
-       .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
-       .csv(path))
+    """Write header CSV (used to stage text inputs and star exports).
+
+    A text that the encoding cannot hold fails the write instead of being
+    changed to question marks; export such tables as UTF-8.
+    """
+    checked = [F.when(encodable(f.name, encoding), F.col(f.name))
+               .otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: {UNENCODABLE} {encoding}: "), F.col(f.name)))).alias(f.name)
+               if f.dataType.typeName() == "string" else F.col(f.name) for f in df.schema.fields]
+    (df.select(checked).write.mode(mode).options(**_STAR_OPTIONS).option("header", header)
+       .option("sep", sep).option("encoding", encoding).csv(path))

@@ -34,6 +34,23 @@ def overwrite_load(df: DataFrame, path: str, partition_by: list[str] | None = No
     w.parquet(path)
 
 
+def replace_partitions(df: DataFrame, path: str, partition_by: list[str], named: list[tuple]) -> None:
+    """Truncate-and-load of exactly the ``named`` partitions (K1).
+
+    Those present in ``df`` are overwritten; those named but absent from it
+    are removed afterwards, so a reload that yields no rows leaves no old
+    ones.  Others stay as they are.  ``df`` is read twice: persist it.
+    """
+    spark = df.sparkSession
+    overwrite_load(df, path, partition_by)
+    present = {tuple(map(str, r)) for r in df.select(*partition_by).distinct().collect()}  # one row a partition
+    for values in named:
+        if tuple(map(str, values)) not in present:
+            part = "/".join(f"{c}={v}" for c, v in zip(partition_by, values))
+            folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{part}")
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def append_load(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     """Append load (K2): yearly runs accumulate into one table (UNION ALL)."""
     w = df.write.mode("append")

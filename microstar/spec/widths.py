@@ -19,6 +19,12 @@ RAW_WIDTH_EXCEPTIONS = {
     2019: {"IN_SEM_RECURSO": 101},
 }
 CLEANED_WIDENED = {"TPO_ENS_ESC_ENS_MED": 2, "FL_SIT_FUN_ESC": 2}
+# Municipality names are narrower in the CLEANED tables of three editions.
+CLEANED_EXCEPTIONS = {
+    2015: {"NOM_MUN_RSD": 100, "NOM_MUN_ESC": 100, "NOM_MUN_NSC": 100, "NOM_MUN_PRV": 100},
+    2016: {"NOM_MUN_RSD": 100, "NOM_MUN_ESC": 100, "NOM_MUN_NSC": 100, "NOM_MUN_PRV": 100},
+    2017: {"NOM_MUN_RSD": 100, "NOM_MUN_ESC": 100, "NOM_MUN_NSC": 100, "NOM_MUN_PRV": 100},
+}
 
 
 def raw_width(year: int, name: str) -> int:
@@ -34,4 +40,4 @@ def cleaned_widths(year: int) -> dict[str, int]:
     out = {}
     for src, dst in rename_list(year):
         out[dst] = CLEANED_WIDENED.get(dst, raw_width(year, src.removesuffix("_ORG")))
-    return out
+    return out | CLEANED_EXCEPTIONS.get(year, {})

@@ -26,17 +26,18 @@ from microstar.spec.layouts import LAYOUTS, SEPARATOR
 
 def read_raw_stream(spark: SparkSession, raw_dir: str, year: int,
                     encoding: str = DEFAULT_ENCODING, max_files: int | None = None) -> DataFrame:
-    """New raw files as a stream, bound by position, plus the overflow
-    sentinel column that ``exam.check_raw`` turns into a reject."""
+    """New raw files as a stream, bound by position, plus the sentinel
+    column of malformed lines that ``exam.check_raw`` turns into a reject."""
     cols = LAYOUTS[year] + [exam.OVERFLOW]
     reader = (spark.readStream.schema(string_schema(cols))
               .option("header", True).option("enforceSchema", True).option("sep", SEPARATOR[year])
               .option("quote", '"').option("escape", '"').option("encoding", encoding)
-              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True))
+              .option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True)
+              .option("columnNameOfCorruptRecord", exam.OVERFLOW).option("columnPruning", False))
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     raw = reader.csv(raw_dir)
-    return raw.select([clean_cell(F.col(c)).alias(c) for c in cols])
+    return raw.select([clean_cell(F.col(c)).alias(c) for c in LAYOUTS[year]] + [F.col(exam.OVERFLOW)])
 
 
 def write_cleaned_batch(batch: DataFrame, batch_id: int, year: int, out_path: str, rejects_path: str,
