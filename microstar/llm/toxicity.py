@@ -78,8 +78,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     """(doc_id, text, toxic) of labelled rows that are not held out; one label per id (the largest)."""
     marked = (labels.select(F.col("doc_id"), F.col("toxic")).where("doc_id IS NOT NULL AND toxic IN (0, 1)")
               .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic")))
+    # labels grow with the documents, so they are never broadcast, however few they are today
     return (docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-            .where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(marked, "doc_id"))
+            .where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).join(marked.hint("merge"), "doc_id"))
 
 
 def bucket_counts(rows: DataFrame, settings: Settings) -> DataFrame:
