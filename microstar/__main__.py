@@ -8,8 +8,9 @@
 ``load`` writes raw/, cleaned/ (one folder per edition) and curated/
 (star tables partitioned by ANO_ENEM, plus rejects).  ``analyse`` reads the
 tab-separated star export (cadastral, ensino, presenca, local, socio,
-municipio, nota sub-folders), fits and evaluates the grade model and writes
-the evaluation tables, the hit rates and the model terms as Parquet.
+municipio, nota sub-folders), profiles the joined table, fits and evaluates
+the grade model and writes the profile, the evaluation tables and the model
+terms as Parquet; the hit rates are printed.
 """
 
 from __future__ import annotations
@@ -59,7 +60,11 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     from microstar.plans import analysis as A
     tables = A.read_star(spark, args.star)
-    ev = A.fit_and_evaluate(spark, A.join_star(tables))
+    joined = A.join_star(tables)
+    for part, frame in A.profile(joined).items():
+        if frame is not None:
+            frame.write.mode("overwrite").parquet(f"{args.report}/profile/{part}")
+    ev = A.fit_and_evaluate(spark, joined)
     ev.holdout.write.mode("overwrite").parquet(f"{args.report}/holdout")
     ev.scored.write.mode("overwrite").parquet(f"{args.report}/scored")
     ev.model.to_frame(spark).write.mode("overwrite").parquet(f"{args.report}/model")

@@ -14,10 +14,12 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from microstar.functions import comma_decimal, evaluation_columns
+from microstar.functions.evaluation import hit_rate
 from microstar.operators.join import bounded_broadcast, star_join
 from microstar.operators.ml import LinearModel, fit_linear_svr, hash_split, score_linear
 from microstar.operators.profile import profile_corr, profile_histograms, profile_summary, profile_topk
 from microstar.operators.project import drop_columns, null_to_empty
+from microstar.session import scratch_path
 from microstar.sources.delimited import read_star_csv, write_delimited
 
 # Fixed values of the analysis.
@@ -48,11 +50,13 @@ def export_star_csv(tables: dict[str, DataFrame], out_dir: str) -> dict[str, str
     return paths
 
 
-def read_star_exports(spark: SparkSession, paths: dict[str, str]) -> dict[str, DataFrame]:
-    """Read the exported star with inferred types (S6), then: drop ten
+def read_star_exports(spark: SparkSession, paths: dict[str, str],
+                      schemas: dict[str, str] | None = None) -> dict[str, DataFrame]:
+    """Read the exported star (S6), with the given ``schemas`` or inferred
+    types (one more pass over the text, so give them at scale), then: drop ten
     cadastral columns (P8), null -> '' on the school detail (P7), parse the
     comma-decimal grades rounded to 2 (X15)."""
-    t = {k: read_star_csv(spark, p) for k, p in paths.items()}
+    t = {k: read_star_csv(spark, p, schema=(schemas or {}).get(k)) for k, p in paths.items()}
     t["cadastral"] = drop_columns(t["cadastral"], CADASTRAL_DROPPED)
     t["ensino"] = null_to_empty(t["ensino"].withColumn("TPO_ESC_ENS_MED_DET",
                                                        F.col("TPO_ESC_ENS_MED_DET").cast("string")),
@@ -139,9 +143,13 @@ def fit_and_evaluate(spark: SparkSession, joined: DataFrame, last_train_year: in
     scored edition (M3, M4), evaluate both (M5)."""
     year = F.col("ANO_ENEM").cast("int")
     cols = ["NUM_INS"] + FEATURES + [LABEL]
+    # the star join runs once: fit, both scorings and both hit rates read its written, pruned result
+    path = scratch_path(spark, "joined-star")
+    joined.select(year.alias("ANO_ENEM"), *cols).write.parquet(path)
+    joined, year = spark.read.parquet(path), F.col("ANO_ENEM")
     train_full = hash_split(joined.where(year <= last_train_year).select(*cols), ["NUM_INS"])
     model = fit_linear_svr(train_full.where(F.col("split") == "train"), FEATURES, LABEL)
     holdout = evaluate(score_linear(train_full.where(F.col("split") == "test"), model))
     scored = evaluate(score_linear(joined.where(year == scored_year).select(*cols), model))
-    return Evaluation(model, holdout, hit_rate_sql(spark, holdout, "df_resultado_spark"),
-                      scored, hit_rate_sql(spark, scored, "df_resultado_2019"))
+    rate = lambda frame: frame.agg(hit_rate("Percentual_da_Diferenca").alias("percentual_acerto"))
+    return Evaluation(model, holdout, rate(holdout), scored, rate(scored))

@@ -933,19 +933,6 @@ _EXAM_STANDIN_SQL = """
   FROM orders"""
 
 
-_STAGED: dict[tuple, str] = {}
-
-
-def _exam_raw_standin(spark, sf) -> str:
-    """Write a 2019-layout raw file (';', header, quoted) from orders, once
-    per session and table folder (the staged file is an input, like an
-    edition's file already on storage)."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in _STAGED:
-        _STAGED[key] = _write_exam_raw_standin(spark, sf)
-    return _STAGED[key]
-
-
 def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | None = None, **override) -> str:
     """Stage one edition's raw file (its layout and separator) from orders;
     ``override`` gives other cells for named raw columns."""
@@ -995,6 +982,7 @@ def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | Non
         "CO_MUNICIPIO_ESC": s("1400000 + o_custkey % 300"),
         "IN_AMPLIADA_18": F.when(F.expr("o_orderkey % 11 = 0"), "1").otherwise("0"),
         "IN_LEDOR": F.when(F.expr("o_custkey % 17 = 0"), "1").otherwise("0"),
+        "CO_MUNICIPIO_PROVA": s("1400000 + o_custkey % 200"),
     }
     cells.update(override)
     raw = o.select(*[cells.get(c, F.lit("-")).alias(c) for c in LAYOUTS[year]])
@@ -1003,11 +991,14 @@ def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | Non
     return path
 
 
-def _exam_star(spark, sf, table: str):
+def _exam_star(spark, sf, table: str, year: int = 2019):
+    """A star table from a staged raw file: checked lines -> cleaned -> curated -> typed."""
+    from microstar.operators.quality import split_rejects
     from microstar.plans import exam
-    path = _exam_raw_standin(spark, sf)
-    cleaned = exam.clean(exam.read_raw(spark, path, 2019), 2019)
-    return exam.build_star(exam.curate({2019: cleaned}, state="RR", tables=[table]), tables=[table])[table]
+    path = _write_exam_raw_standin(spark, sf, year)
+    good, _ = split_rejects(exam.check_raw(exam.read_raw(spark, path, year), year))
+    cleaned = exam.clean(good, year)
+    return exam.build_star(exam.curate({year: cleaned}, state="RR", tables=[table]), tables=[table])[table]
 
 
 _EXAM_ROUTED = """

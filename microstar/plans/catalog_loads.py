@@ -146,3 +146,22 @@ def q_dictionary_filter(spark, sf):
                        F.col("o_orderpriority").alias("CAMPO")))
     kept = filter_members(listing, tables=("ASIA", "EUROPE"), years=(1996, 1998), fields=("2", "4"))
     return kept.groupBy("TABELA", "ANO", "CAMPO").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+# --------------------------------------------------------------------------
+# One star table from all five editions' layouts
+# --------------------------------------------------------------------------
+
+@register("exam_place_flow", """
+SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS NUM_INS, CAST(2015 + o_orderkey % 5 AS VARCHAR) AS ANO_ENEM,
+       CAST(1400000 + o_custkey % 200 AS VARCHAR) AS COD_MUN_PRV
+FROM orders WHERE o_orderpriority <> '5-LOW'
+""")
+def q_exam_place_flow(spark, sf):
+    """Raw text of the editions 2015 to 2019, each in its own layout ->
+    checked -> cleaned -> curated -> DIM_LOCAL_PROVA, loaded and read back."""
+    o = T(spark, sf, "orders")
+    out = scratch_path(spark, "load-place")
+    paths = {y: _write_exam_raw_standin(spark, sf, y, o.where(F.col("o_orderkey") % 5 == y - 2015)) for y in exam.YEARS}
+    exam.load_editions(spark, paths, out, tables=[PLACE])
+    return _place(spark, out)
