@@ -74,18 +74,19 @@ def check_unique(df: DataFrame, keys: list[str]) -> DataFrame:
 def reject_duplicates(checked: DataFrame, keys: list[str]) -> DataFrame:
     """Enforce a primary key on checked rows (K5).
 
-    Of the good rows that share a key the one with the smallest values,
-    column by column, stays; the others get the reason ``<key>: duplicate
-    key``.  Of fully equal rows one stays.  The smallest row of a key is
-    found by a partial aggregate and only keys that repeat are joined back,
-    so a key that holds a third of the rows is never gathered in one task.
+    Of the good rows that share a key the one whose values have the smallest
+    64-bit hash stays (the same one in every run); the others get the reason
+    ``<key>: duplicate key``.  Of fully equal rows one stays.  It is found by
+    a partial aggregate over keys and hashes, and only keys that repeat are
+    joined back, so a key that holds a third of the rows is never gathered
+    in one task.
     """
     label = f"{', '.join(keys)}: duplicate key"
     good = F.col(REJECT_COL).isNull()
     rows = checked.withColumn("_row", F.monotonically_increasing_id())
     values = [c for c in checked.columns if c != REJECT_COL]
-    first = (rows.where(good).groupBy(*keys)
-             .agg(F.count(F.lit(1)).alias("_n"), F.min(F.struct(*values, "_row")).alias("_first"))
+    first = (rows.where(good).select(*keys, F.struct(F.xxhash64(*values), "_row").alias("_place")).groupBy(*keys)
+             .agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
              .where("_n > 1").select(*keys, F.col("_first._row").alias("_keep")))
     marked = rows.join(first, keys, "left")
     late = good & F.col("_keep").isNotNull() & (F.col("_row") != F.col("_keep"))
