@@ -93,7 +93,7 @@ def bucket_counts(rows: DataFrame, settings: Settings) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, n_buckets + 1), dtype=np.int64)
         for whole in batches:
-            for batch in common.slices(whole, "text", 4 << 20):
+            for batch in common.slices(whole, "text", 1 << 20):
                 toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
                 text, bucket = grams(common.texts(batch.column(0)), settings)
                 counts += np.bincount(toxic[text] * (n_buckets + 1) + bucket,
@@ -147,7 +147,7 @@ def _sample(rows: DataFrame, settings: Settings, wanted: np.ndarray) -> tuple[np
     """Chosen buckets of at most ``sample_rows`` training rows, picked by a hash of the id."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, "text", 4 << 20):
+            for batch in common.slices(whole, "text", 1 << 20):
                 text, bucket = grams(common.texts(batch.column(1)), settings, wanted)
                 ends = np.searchsorted(text, np.arange(batch.num_rows + 1))
                 lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(bucket, pa.int32()))
@@ -220,7 +220,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in common.slices(whole, "text", 4 << 20):
+            for batch in common.slices(whole, "text", 1 << 20):
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array(score_texts(common.texts(batch.column(1)), model))], ["doc_id", "score"])
 
@@ -240,7 +240,7 @@ def keep_clean(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         for t in column:
             part.append(t or "")
             held += len(part[-1])
-            if held > 4 << 20:
+            if held > 1 << 20:
                 out.append(score_texts(part, model))
                 part, held = [], 0
         return pd.Series(np.concatenate([*out, score_texts(part, model)]) if part or out else [], dtype="float64")
