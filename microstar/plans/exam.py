@@ -265,10 +265,10 @@ def load_star(star: dict[str, DataFrame], out_dir: str, years=None) -> dict[str,
                 stray = F.col(REJECT_COL).isNull() & ~F.col("ANO_ENEM").isin([str(y) for y in years])
                 checked = checked.withColumn(REJECT_COL, F.when(stray, F.lit("ANO_ENEM: not a loaded edition"))
                                              .otherwise(F.col(REJECT_COL)))
-            if name != "DIM_RSP_PRV":
-                checked = reject_duplicates(checked, ["NUM_INS"])
             checked = checked.persist(StorageLevel.DISK_ONLY)
             kept.append(checked)
+            if name != "DIM_RSP_PRV":  # on the kept rows: the plan below is not planned again with the join
+                checked = reject_duplicates(checked, ["NUM_INS"])
             good, bad = split_rejects(checked)
             paths[name] = f"{out_dir}/{name}"
             replace_partitions(good, paths[name], ["ANO_ENEM"], [(y,) for y in years or ()])
