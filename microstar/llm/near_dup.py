@@ -61,6 +61,17 @@ class Likeness:
         """Retained values, of ``k``, that two sets as alike as asked share at least."""
         return max(1, math.ceil(self.least * k - self.deviations * math.sqrt(k * self.least * (1 - self.least))))
 
+    def shared_by(self, n: int) -> int:
+        """Retained values that a set of ``n``, all of them listed, shares with one as alike as asked at least.
+
+        A larger partner may not fit its sketch; at worst all that it drops
+        are shared values.
+        """
+        whole, largest = -(-n * self.percent // 100), n * 100 // self.percent
+        cut = [-(-(n + m) * self.percent // (100 + self.percent)) - (m - self.listed)
+               for m in range(self.listed + 1, largest + 1)]
+        return min(whole, max(min(cut), self.shared(self.listed))) if cut else whole
+
 
 def shingle_sets(texts: pa.Array, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, ascending, and the bounds of each text's part.
@@ -213,8 +224,8 @@ def links(docs: DataFrame, classes: DataFrame, like: Likeness) -> DataFrame:
     spark = docs.sparkSession
     size = F.size("sketch")
     rows = classes.select("node", "n", size.alias("size"), F.explode("sketch").alias("value"))
-    need = F.when(F.col("n") > F.col("size"), F.lit(like.shared(like.listed))).otherwise(
-        F.ceil(F.col("size") * like.percent / F.lit(100)))
+    by_size = F.array(*[F.lit(like.shared_by(n)) for n in range(1, like.listed + 1)])
+    need = F.when(F.col("n") > F.col("size"), F.lit(like.shared(like.listed))).otherwise(F.element_at(by_size, F.col("size")))
     listed = written(_rarest(_counted(rows), F.col("size"), F.col("size") - need + 1).drop("rare"), "lists")
     many = listed.groupBy("value").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     nodes = listed.join(many, "value").select("node").distinct()

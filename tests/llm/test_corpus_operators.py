@@ -194,6 +194,20 @@ def test_near_duplicates_equal_brute_force(spark, short_list):
     assert got == brute_components(rows)
 
 
+@pytest.mark.parametrize("percent", [85, 80])
+def test_near_duplicates_of_sets_around_the_sketch_size(spark, percent):
+    rows = []
+    for n in (62, 63, 64):  # a text that fits its sketch, and the same text with words appended that does not
+        for m in range(n + 9, n * 100 // percent + 1):
+            for copy in range(4):
+                words = [f"{n}x{m}x{copy}x{k}" for k in range(m + 4)]
+                rows += [(len(rows), " ".join(words[:n + 4])), (len(rows) + 1, " ".join(words))]
+    got = by_id(near_dup.near_duplicates(docs(spark, rows), like=near_dup.Likeness(percent=percent)),
+                "n_shingles", "component_id", "kept")
+    assert got == brute_components(rows, percent=percent)
+    assert sum(kept for _, _, kept in got.values()) == len(rows) / 2
+
+
 def test_near_duplicates_edges(spark):
     got = near_dup.near_duplicates(docs(spark, EDGES)).collect()
     assert len(got) == len(EDGES)
