@@ -127,9 +127,6 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, cover: Cover) -> DataF
         for whole in batches:
             for batch in common.slices(whole, "text", SLICE_BYTES):
                 ids = batch.column(0).to_numpy(zero_copy_only=False)
-                order = np.argsort(ids, kind="stable")  # so that the first of equals is the earliest
-                batch = batch.take(pa.array(order))
-                ids = ids[order]
                 found = hashing.words(batch.column(1))
                 lists = batch.column(2)
                 owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False))
@@ -144,12 +141,18 @@ def repeated_windows(docs: DataFrame, anchors: DataFrame, cover: Cover) -> DataF
                 starts = np.flatnonzero(np.cumsum(wanted)[:-1] > 0)
                 text = np.searchsorted(found.bounds, starts, side="right") - 1
                 h1, h2 = _fingerprints(found.hashes, starts, cover)
+                owners, at = ids[text], starts - found.bounds[:-1][text]
+                # repeated rows have their windows at one (document, start): one of them speaks for all
+                once = _first_of_equal(h1, h2, owners, at)
+                h1, h2, owners, at = h1[once], h2[once], owners[once], at[once]
+                order = np.lexsort((at, owners))  # so that the first of equals is the earliest
+                h1, h2, owners, at = h1[order], h2[order], owners[order], at[order]
                 first = _first_of_equal(h1, h2)
                 # a known repeat meets nothing but others of its document
-                h1 = np.where(first, h1, hashing.mix(ids[text].astype(np.int64).view(np.uint64)))
-                start2 = (starts - found.bounds[:-1][text]) * 2 + ~first
+                h1 = np.where(first, h1, hashing.mix(owners.astype(np.int64).view(np.uint64)))
+                start2 = at * 2 + ~first
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(h1.view(np.int64)), pa.array(ids[text]),
+                    [pa.array(h1.view(np.int64)), pa.array(owners),
                      pa.array(((h2 << _U(32)) | start2.astype(np.uint64)).view(np.int64))], ["h1", "doc_id", "packed"])
 
     around = docs.join(anchors, "doc_id").select("doc_id", "text", "places").mapInArrow(

@@ -148,6 +148,20 @@ def test_dedup_edges(spark):
     assert substrings.dedup(empty(docs(spark, rows))).count() == 0
 
 
+def test_dedup_repeated_rows_in_one_slice(spark):
+    text = " ".join(f"v{i}" for i in range(40))
+    shifted = "a b c " + text  # another text under the same id, whose equal windows start later
+    for first, second in ((text, shifted), (shifted, text)):
+        rows = [(30, text), (30, text), (31, text), (31, text), (40, "d " + first), (40, second + " e")]
+        got = Counter((r.doc_id, r.kept) for r in substrings.dedup(docs(spark, rows).coalesce(1), with_text=True).collect())
+        assert got == Counter({(30, text): 2, (31, ""): 2, (40, "d" if first == text else "d a b c"): 1,
+                               (40, "e" if second == text else "a b c e"): 1})
+    rows = [(50, shifted), (50, text), (50, text)]  # of different texts with one id the earlier start stays
+    for order in (rows, rows[::-1]):
+        got = Counter(r.kept for r in substrings.dedup(docs(spark, order).coalesce(1), with_text=True).collect())
+        assert got == Counter({text: 2, "a b c": 1})
+
+
 # ---- near duplicates ----
 
 def brute_components(rows, percent=85, words=5):
