@@ -14,7 +14,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -39,7 +39,7 @@ KINDS = ("assign", "access", "hex", "identifier", "secret", "endpoint")
 IDENTIFIER = re.compile(
     r"""\b(?:access_?key(?:_?id)?|client_?id|key_?id|account(?:_?id)?|user(?:_?name)?|login)["']?\x20*[:=]\x20*["']?([A-Za-z0-9@._+-]{3,})""",
     re.IGNORECASE | re.ASCII)
-SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,128}={0,2}(?![A-Za-z0-9+/_=-])")
+SECRET = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_=-])")
 ENDPOINT = re.compile(
     r"""\b(?:[a-z][a-z0-9+.-]{1,15}://[^\s"'<>]{4,}|(?:endpoint|host(?:name)?|server|bucket)["']?\x20*[:=]\x20*["']?[A-Za-z0-9.:/_-]{4,})""",
     re.IGNORECASE | re.ASCII)
@@ -91,20 +91,15 @@ class _Near:
 
     def __init__(self, spans: list[tuple[int, int]], blocks: list[int], reach: int):
         self.spans, self.blocks, self.reach = sorted(spans), blocks, reach
-        self.starts = [s for s, _ in self.spans]
-        self.widest = max((e - s for s, e in self.spans), default=0)
+        self.starts, self.ends = [s for s, _ in self.spans], sorted(e for _, e in self.spans)
 
     def meets(self, start: int, end: int) -> bool:
         k = bisect_left(self.blocks, start + 1)
         low = max(self.blocks[k - 1], start - self.reach)
         high = min(self.blocks[k] if k < len(self.blocks) else end + self.reach, end + self.reach)
-        for i in range(bisect_left(self.starts, low - self.widest), len(self.starts)):
-            s, e = self.spans[i]
-            if s >= high:
-                return False
-            if e > low and (e <= start or s >= end):
-                return True
-        return False
+        after, before = bisect_left(self.starts, end), bisect_right(self.ends, low)
+        return (after < len(self.starts) and self.starts[after] < high
+                or before < len(self.ends) and self.ends[before] <= start)
 
 
 def find_secrets(text: str, scope: Scope = Scope()) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:

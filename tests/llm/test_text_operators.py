@@ -126,6 +126,32 @@ def test_weak_parts_are_reported_only_together():
     assert weak not in masked and masked.count("<SECRET>") == 3
 
 
+def test_long_runs_are_weak_secrets(spark):
+    draw = random.Random(12)
+    for length in (20, 128, 129, 200, 5000):
+        token = "aB3" + "".join(draw.choice("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/") for _ in range(length - 3))
+        text = f"user = deploy\nat https://db.example.org/x\n{token}==\n"
+        spans = secrets.find_secrets(text)[1]
+        assert [k for _, _, k in spans] == ["identifier", "endpoint", "secret"], length
+        assert spans[2][1] - spans[2][0] == length + 2
+        row = secrets.scan(docs(spark, [(1, text)])).first()
+        assert row.n_linked == 3 and token not in secrets.mask(docs(spark, [(1, text)])).first().text
+
+
+def test_parts_meet_as_in_the_plain_definition():
+    draw = random.Random(13)
+    for _ in range(2000):
+        spans = [(s, s + draw.randint(1, 9)) for s in (draw.randint(0, 60) for _ in range(draw.randint(0, 5)))]
+        blocks = [0, *sorted(draw.sample(range(1, 70), draw.randint(0, 3)))]
+        start = draw.randint(0, 60)
+        end, reach = start + draw.randint(1, 9), draw.randint(0, 15)
+        begin = max(b for b in blocks if b <= start)
+        after = min((b for b in blocks if b > start), default=1000)
+        low, high = max(begin, start - reach), min(after, end + reach)
+        want = any(s < high and e > low and (e <= start or s >= end) for s, e in spans)
+        assert secrets._Near(spans, blocks, reach).meets(start, end) == want
+
+
 def test_scan_rows_and_mask(spark):
     rows = [*EDGES, (20, "token = abcdefgh1 " + "f" * 40)]
     got = secrets.scan(docs(spark, rows)).collect()
