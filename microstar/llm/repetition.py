@@ -77,40 +77,67 @@ def common_prefixes(order: np.ndarray, levels: list[np.ndarray]) -> np.ndarray:
     return lcp
 
 
-def maximal_repeats(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
-    """Maximal repeated substrings of ``least`` words or more: (length, places).
+def maximal_intervals(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, int, int]]:
+    """Maximal repeated substrings of ``least`` words or more: (length, first rank, end rank), inner before outer.
 
     Walks the intervals of ``lcp`` with a stack.  A repeat is maximal when
     its occurrences neither all extend to the right (an interval's own
     length) nor all follow the same word (checked here).
     """
-    found: list[tuple[int, list[int]]] = []
+    found: list[tuple[int, int, int]] = []
     stack: list[tuple[int, int]] = []  # (length, first rank)
+    before = np.where(order > 0, ids[order - 1], -1)
+    changes = np.concatenate(([0], np.cumsum(np.diff(before) != 0))).tolist()
 
     def close(length: int, low: int, high: int) -> None:
-        places = order[low:high]
-        before = np.where(places > 0, ids[places - 1], -1)
-        if len(places) > 1 and ((before != before[0]).any() or (places == 0).any()):
-            found.append((length, sorted(places.tolist())))
+        if changes[high - 1] != changes[low]:
+            found.append((length, low, high))
 
     hot = np.flatnonzero(lcp >= least)
     last = -2
-    for r in hot.tolist():
+    for r, here in zip(hot.tolist(), lcp[hot].tolist()):
         if r != last + 1:
             while stack:
                 close(*stack.pop(), last + 1)
         start = r - 1
-        while stack and stack[-1][0] > lcp[r]:
+        while stack and stack[-1][0] > here:
             length, start = stack.pop()
             close(length, start, r)
-        if not stack or stack[-1][0] < lcp[r]:
-            stack.append((int(lcp[r]), start))
+        if not stack or stack[-1][0] < here:
+            stack.append((here, start))
         last = r
     while stack:
         close(*stack.pop(), last + 1)
     return found
 
 
+def maximal_repeats(ids: np.ndarray, order: np.ndarray, lcp: np.ndarray, least: int) -> list[tuple[int, list[int]]]:
+    """Maximal repeated substrings of ``least`` words or more: (length, places)."""
+    return [(length, sorted(order[low:high].tolist())) for length, low, high in maximal_intervals(ids, order, lcp, least)]
+
+
+def longest_spans(order: np.ndarray, intervals: list[tuple[int, int, int]]) -> np.ndarray:
+    """Words of the longest maximal repeat that starts at each place (0: none).
+
+    Intervals lie inside each other or apart, so each adds what it is longer
+    than the one around it to its ranks: linear, however deep they lie.
+    """
+    grows = np.zeros(len(order) + 1, dtype=np.int64)
+    if intervals:
+        length, low, high = np.array(intervals, dtype=np.int64).T
+        around = np.zeros(len(intervals), dtype=np.int64)
+        outer: list[int] = []  # intervals with none around them so far
+        for k, (size, start, _) in enumerate(intervals):
+            while outer and intervals[outer[-1]][1] >= start:
+                around[outer.pop()] = size
+            outer.append(k)
+        np.add.at(grows, low, length - around)
+        np.add.at(grows, high, around - length)
+    at = np.empty(len(order), dtype=np.int64)
+    at[order] = np.cumsum(grows)[:-1]
+    return at
+
+
 def covered(lengths: np.ndarray, least: int) -> int:
     """Words under the union of the spans ``[i, i + lengths[i])`` of ``least`` words or more."""
     at = np.flatnonzero(lengths >= least)
@@ -124,9 +151,8 @@ def covered(lengths: np.ndarray, least: int) -> int:
 def repetition(words: list[str], rules: Rules) -> tuple[int, int, int]:
     """Words in repeated windows, words under maximal repeats, longest repeat.
 
-    The longest repeat that starts at a word is the larger of the two LCP
-    entries beside its suffix; the union of these spans is the union of all
-    occurrences of the maximal repeats, without listing every occurrence.
+    The union of the longest maximal repeats that start at each word is the
+    union of all their occurrences, without listing every occurrence.
     """
     n = len(words)
     if n < 2:
@@ -137,11 +163,10 @@ def repetition(words: list[str], rules: Rules) -> tuple[int, int, int]:
         return 0, 0, 0
     order, levels = suffix_array(ids)
     lcp = common_prefixes(order, levels)
-    longest = int(lcp.max())
-    if longest < min(rules.window, rules.min_repeat):
+    longest, least = int(lcp.max()), min(rules.window, rules.min_repeat)
+    if longest < least:
         return 0, 0, longest
-    at = np.empty(n, dtype=np.int64)
-    at[order] = np.maximum(lcp, np.append(lcp[1:], 0))
+    at = longest_spans(order, maximal_intervals(ids, order, lcp, least))
     return covered(at, rules.window), covered(at, rules.min_repeat), longest
 
 

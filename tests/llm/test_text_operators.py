@@ -206,6 +206,23 @@ def test_maximal_repeats_are_the_union_of_covered_words():
         assert len(under) == brute_covered(words, 3)
 
 
+def test_covered_spans_are_taken_from_the_intervals(monkeypatch):
+    draw = random.Random(10)
+    for _ in range(200):
+        words = [draw.choice("abc") for _ in range(draw.randint(2, 60))]
+        ids = np.array([ord(w) - 97 for w in words])
+        order, levels = repetition.suffix_array(ids)
+        lcp = repetition.common_prefixes(order, levels)
+        want = np.zeros(len(words), dtype=np.int64)
+        for length, places in repetition.maximal_repeats(ids, order, lcp, 2):
+            want[places] = np.maximum(want[places], length)
+        assert (repetition.longest_spans(order, repetition.maximal_intervals(ids, order, lcp, 2)) == want).all()
+    same = ["x"] * 30_000
+    assert repetition.repetition(same, repetition.Rules()) == (30_000, 30_000, 29_999)
+    monkeypatch.setattr(repetition, "maximal_intervals", lambda *_: [])
+    assert repetition.repetition(same, repetition.Rules()) == (0, 0, 29_999)
+
+
 def test_quality_rows(spark):
     line = "this very line comes back again and again here\n"
     rows = [*EDGES, (20, line * 12), (21, " ".join(f"u{i}" for i in range(50)) + "\n# $\n\n \n"), (22, "a\na\n \n \n")]
