@@ -3,9 +3,10 @@
 A text's features are the character n-grams that occur in it (lower case,
 hashed to a fixed number of buckets, presence only).  Spark counts, over all
 training rows, in how many texts of either class each bucket occurs; the log
-ratio of the two smoothed frequencies scales the feature.  Buckets whose
-classes differ significantly and clearly enter a logistic regression, fitted on a
-sample of training rows whose size is a parameter.  Scoring is one pass.
+ratio of the two smoothed frequencies scales the feature.  The buckets that
+tell the classes apart best, a fixed number of them however many rows are
+labelled, enter a logistic regression, fitted on a sample of training rows
+whose size is a parameter.  Scoring is one pass.
 """
 
 from __future__ import annotations
@@ -29,8 +30,7 @@ class Settings:
     sizes: tuple[int, ...] = (4, 5)   # characters of an n-gram
     bits: int = 18                    # 2**bits buckets
     smoothing: float = 1.0
-    least_chi2: float = 30.0          # of a bucket that enters the regression
-    least_ratio: float = 2.0          # and its log-count ratio, either way
+    features: int = 1024              # buckets that enter the regression: those with the largest chi-squared
     sample_rows: int = 10_000         # training rows the regression is fitted on, at most
     penalty: float = 1.0              # of squared weights (on scaled features)
     rounds: int = 300
@@ -122,7 +122,9 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     totals, seen = counts[:, -1], counts[:, :-1]
     a = settings.smoothing
     ratio = np.log((seen[1] + a) / (totals[1] + 2 * a)) - np.log((seen[0] + a) / (totals[0] + 2 * a))
-    chosen = np.flatnonzero((_chi2(seen, totals) >= settings.least_chi2) & (np.abs(ratio) >= settings.least_ratio))
+    chi2 = _chi2(seen, totals)
+    best = np.argsort(-chi2, kind="stable")[:settings.features]  # of equal ones the smaller buckets
+    chosen = np.sort(best[chi2[best] > 0])
     wanted = np.zeros(1 << settings.bits, dtype=bool)
     wanted[chosen] = True
     texts, buckets, toxic = _sample(rows, settings, wanted)

@@ -311,3 +311,13 @@ def test_pipeline_stages(spark):
     assert set(ids(frames["mix"][1])) <= set(ids(frames["mix"][0]))
     encoded = frames["encode"][1]
     assert encoded.count() == frames["mix"][1].count() and encoded.where("NOT library_agrees").count() == 0
+
+
+def test_pipeline_drops_toxic_documents_of_a_small_table(spark):
+    import corpus_pipeline
+    from microstar.llm.common import table
+    before = table(spark, SF_SMALL, "documents")
+    toxic = {r.doc_id for r in table(spark, SF_SMALL, "labels").where("toxic = 1").collect()}
+    toxic &= {r.doc_id for r in before.select("doc_id").collect()}
+    left = {r.doc_id for r in corpus_pipeline.drop_toxic(spark, before, SF_SMALL).select("doc_id").collect()}
+    assert toxic and not toxic & left and len(left) >= 0.7 * before.count()

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from microstar.llm import hashing, pieces, repetition, secrets, token_files, toxicity
-from microstar.llm.common import tokenizer
+from microstar.llm.common import table, tokenizer
+from tests.conftest import SF_ORACLE, SF_SMALL
 from tests.llm.helpers import EDGES, LONG, WORD, by_id, docs, empty
 
 MODEL = tokenizer("piece_bpe_32k.model")
@@ -82,6 +83,18 @@ def test_toxicity_learns_held_out_rows_and_takes_edges(spark):
     assert kept == {i for i, t in labels if not t} | {1000, 1001, 1002, 1003}
 
 
+@pytest.mark.parametrize("sf_dir, trained, unseen", [(SF_SMALL, 1.0, 1.0), (SF_ORACLE, 0.9, 0.6)])
+def test_toxicity_learns_from_few_labelled_rows(spark, sf_dir, trained, unseen):
+    given, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.train(given, labels)
+    assert 0 < np.count_nonzero(model.weights) <= model.settings.features
+    rows = toxicity.score(given, model).join(labels, "doc_id").where("toxic IS NOT NULL").collect()
+    for held, least in ((False, trained), (True, unseen)):
+        toxic = [r.predicted for r in rows if r.held_out == held and r.toxic == 1]
+        clean = [r.predicted for r in rows if r.held_out == held and r.toxic == 0]
+        assert toxic and sum(toxic) >= least * len(toxic) and sum(clean) <= 0.02 * len(clean)
+
+
 def test_toxicity_without_labels_or_rows(spark):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     model = toxicity.train(docs(spark, EDGES), none)
