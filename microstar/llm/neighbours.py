@@ -5,7 +5,9 @@ into blocks a few times over; the best partners inside a block start each
 node's list of ``degree`` neighbours.  Then, round by round, Spark joins
 every node's neighbours (both directions) with their vectors, and each such
 neighbourhood proposes its members to each other: neighbours of neighbours
-become neighbours when they are nearer than what a list holds.
+become neighbours when they are nearer than what a list holds.  Members that
+have met there in an earlier round are not compared again.  Rounds go on
+until hardly any list entry changes.
 
 Searching: a query keeps a beam of the nearest nodes seen.  Each hop sends
 it to the neighbourhoods of its nearest nodes not yet visited, until all of
@@ -37,8 +39,8 @@ class Graph:
     degree: int = 32      # neighbours in a node's list
     block: int = 1000     # nodes of a starting block, about
     deals: int = 4        # times the nodes are dealt into blocks
-    rounds: int = 2       # of NN-descent
-    proposals: int = 8    # partners a neighbourhood proposes to each member
+    rounds: int = 30      # of NN-descent, at most
+    settled: float = 0.01 # share of list entries that change in the last round
     beam: int = 192       # nodes a query keeps
     visits: int = 48      # neighbourhoods a query visits in one hop
     hops: int = 16        # at most
@@ -47,7 +49,8 @@ class Graph:
 
 
 _VECTOR = "node long, code binary, scale float"
-_LIST = "node long, ids array<long>, scores array<float>"
+_LIST = "node long, ids array<long>, scores array<float>, fresh array<boolean>"
+PROPOSED = 1 << 20  # proposals that a task holds before it merges them, about
 
 
 def valid_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -150,22 +153,23 @@ def _flat(table: pa.Table, owner: int, lists: list[int]) -> tuple[np.ndarray, li
     return own, [columns[i].flatten().to_numpy(zero_copy_only=False) for i in lists]
 
 
-def _list_batch(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> pa.RecordBatch:
+def _list_batch(owner: np.ndarray, ids: np.ndarray, scores: np.ndarray, fresh: np.ndarray) -> pa.RecordBatch:
     keys, starts = np.unique(owner, return_index=True)
     ends = pa.array(np.append(starts, len(owner)), pa.int32())
     return pa.RecordBatch.from_arrays(
         [pa.array(keys), pa.ListArray.from_arrays(ends, pa.array(ids)),
-         pa.ListArray.from_arrays(ends, pa.array(scores.astype(np.float32)))], ["node", "ids", "scores"])
+         pa.ListArray.from_arrays(ends, pa.array(scores.astype(np.float32))),
+         pa.ListArray.from_arrays(ends, pa.array(fresh))], ["node", "ids", "scores", "fresh"])
 
 
 def merged(lists: DataFrame, keep: int) -> DataFrame:
-    """One list for each node: the best ``keep`` of all its lists."""
+    """One list for each node: the best ``keep`` of all its lists; fresh are entries that are so in all of them."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
-            owner, (ids, scores) = _flat(table, 0, [1, 2])
-            owner, ids, scores, _ = _best(owner, ids, scores, keep)
+            owner, (ids, scores, fresh) = _flat(table, 0, [1, 2, 3])
+            owner, ids, scores, (known,) = _best(owner, ids, scores, keep, ~fresh.astype(bool))
             if len(owner):
-                yield _list_batch(owner, ids, scores)
+                yield _list_batch(owner, ids, scores, ~known)
 
     return _by_key(lists, "node", run, _LIST)
 
@@ -210,8 +214,9 @@ def starting_lists(vectors: DataFrame, count: int, graph: Graph, seed: int = 5)
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * k)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(nodes), pa.ListArray.from_arrays(offsets, pa.array(nodes[best].ravel())),
-                     pa.ListArray.from_arrays(offsets, pa.array(lists.ravel().astype(np.float32)))],
-                    ["node", "ids", "scores"])
+                     pa.ListArray.from_arrays(offsets, pa.array(lists.ravel().astype(np.float32))),
+                     pa.ListArray.from_arrays(offsets, pa.array(np.ones(lists.size, dtype=bool)))],
+                    ["node", "ids", "scores", "fresh"])
 
     dealt = vectors.mapInArrow(deal, f"block long, {_VECTOR}")
     sizes = dealt.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(2 * graph.block)).alias("parts"))
@@ -227,53 +232,60 @@ def neighbourhoods(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFr
     Of the nodes that list a node, the ``degree`` nearest count, so a node
     that very many list has no larger neighbourhood than others.
     """
-    edges = lists.select("node", F.explode(F.arrays_zip("ids", "scores")).alias("e")).select(
-        "node", F.col("e.ids").alias("other"), F.col("e.scores").alias("score"))
+    edges = lists.select("node", F.explode(F.arrays_zip("ids", "scores", "fresh")).alias("e")).select(
+        "node", F.col("e.ids").alias("other"), F.col("e.scores").alias("score"), F.col("e.fresh").alias("fresh"))
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "other"))
-    back = (edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "score")
+    back = (edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "score", "fresh")
             .withColumn("rank", rank).where(F.col("rank") <= graph.degree).drop("rank"))
     worst = lists.select(F.col("node").alias("other"), F.when(
         F.size("scores") >= graph.degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
     own = vectors.withColumnRenamed("node", "other").join(worst, "other")
-    both = edges.union(back).select("node", "other").distinct()
+    both = edges.union(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
     return (both.join(own, "other").groupBy("node")
-            .agg(F.collect_list(F.struct(F.col("other").alias("id"), "code", "scale", "worst")).alias("members")))
+            .agg(F.collect_list(F.struct(F.col("other").alias("id"), "code", "scale", "worst", "fresh")).alias("members")))
 
 
-def _members(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bounds, ids, codes, scales, worst) of a batch of neighbourhoods."""
+def _members(column: pa.ListArray) -> tuple[np.ndarray, ...]:
+    """(bounds, ids, codes, scales, worst, fresh) of a batch of neighbourhoods."""
     bounds = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
     values = column.flatten()
     return (bounds, values.field(0).to_numpy(zero_copy_only=False), _codes(values.field(1)),
-            values.field(2).to_numpy(zero_copy_only=False), values.field(3).to_numpy(zero_copy_only=False))
+            *(values.field(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
 
 
 def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
     """Lists after one round: every neighbourhood proposes its members to each other."""
+    def proposed(found: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        owner, other, value = (np.concatenate(x) for x in zip(*found))
+        owner, other, value, _ = _best(owner, other, value, graph.degree)
+        if len(owner):
+            yield _list_batch(owner, other, value, np.ones(len(owner), dtype=bool))
+
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, held = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bounds, ids, codes, scales, worst = _members(batch.column(1))
-            found = []
+            bounds, ids, codes, scales, worst, fresh = _members(batch.column(1))
             for a, b in zip(bounds, bounds[1:]):
-                if b - a < 2:
+                if b - a < 2 or not fresh[a:b].any():
                     continue
                 scores = _products(codes[a:b], scales[a:b])
                 np.fill_diagonal(scores, -np.inf)
-                k = min(graph.proposals, b - a - 1)
-                best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
-                value = np.take_along_axis(scores, best, axis=1)
-                row, column = np.nonzero(value > worst[a:b, None])
-                found.append((ids[a:b][row], ids[a:b][best[row, column]], value[row, column]))
-            if found:
-                owner, other, value = (np.concatenate(x) for x in zip(*found))
-                owner, other, value, _ = _best(owner, other, value, graph.degree)
-                if len(owner):
-                    yield _list_batch(owner, other, value)
+                # members that are both known here met in an earlier round
+                better = (scores > worst[a:b, None]) & (fresh[a:b, None] | fresh[None, a:b])
+                row, column = np.nonzero(better)
+                found.append((ids[a:b][row], ids[a:b][column], scores[row, column]))
+                held += len(row)
+                if held > PROPOSED:
+                    yield from proposed(found)
+                    found, held = [], 0
+        if found:
+            yield from proposed(found)
 
     proposals = neighbourhoods(lists, vectors, graph).mapInArrow(propose, _LIST)
-    return merged(lists.union(proposals), graph.degree)
+    known = lists.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
+    return merged(known.union(proposals), graph.degree)
 
 
 def build(vectors: DataFrame, count: int, graph: Graph = Graph()) -> DataFrame:
@@ -281,6 +293,9 @@ def build(vectors: DataFrame, count: int, graph: Graph = Graph()) -> DataFrame:
     lists = written(starting_lists(vectors, count, graph), "ann-lists")
     for _ in range(graph.rounds):
         lists = written(descended(lists, vectors, graph), "ann-lists")
+        changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("ids"))).first()[0]
+        if not changed or changed < graph.settled:
+            break
     return lists
 
 
@@ -298,7 +313,7 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bounds, ids, codes, scales, _ = _members(batch.column(4))
+            bounds, ids, codes, scales, _, _ = _members(batch.column(4))
             own = _codes(batch.column(1))
             own_scale, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
             out_ids, out_scores, lengths = [], [], []
