@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from microstar.llm import mixing, near_dup, neighbours, pieces, repetition, secrets, substrings, token_files, toxicity, warc
+from microstar.llm import (decontamination, mixing, near_dup, neighbours, pieces, repetition, secrets, spellings, substrings,
+                           token_files, toxicity, vector_codes, warc)
 from microstar.llm.common import table, tokenizer
 
 
@@ -60,6 +61,21 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents under 10-word windows of benchmark items."""
+    return decontamination.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings as 16 codebook indexes each."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with the frequent word one edit away that they vary."""
+    return spellings.variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_neighbours": op2_neighbours,
@@ -71,9 +87,14 @@ QUERIES = {
     "op8_secret_scan": op8_secret_scan,
     "op9_repetition": op9_repetition,
     "op10_near_dup": op10_near_dup,
+    "op11_decontaminate": op11_decontaminate,
+    "op12_vector_codes": op12_vector_codes,
+    "op13_spelling_variants": op13_spelling_variants,
 }
 
 ORACLE = {
     "op5_warc": warc.ORACLE,
     "op7_mixing": mixing.ORACLE,
+    "op11_decontaminate": decontamination.ORACLE,
+    "op12_vector_codes": vector_codes.ORACLE,
 }
