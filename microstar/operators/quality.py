@@ -40,17 +40,32 @@ def enforce_schema(df: DataFrame, spec: list[FieldSpec], checks: list | None = N
     never raises, so one bad row cannot fail a load; rejects are kept, not
     dropped.  ``checks`` are extra (condition, reason) pairs tested before the
     field checks (row-level rules such as a malformed line).
+
+    A row is made and checked once, as one struct that ``inline`` takes apart
+    again: filters on the reason stay above it.  Pushed below, they would
+    repeat every check and every cast, and the optimizer would carry them as
+    constraints through each rename, doubling their number at each.
     """
     conds = list(checks or [])
     cols = []
     for f in spec:
         src = F.col(f.name)
         conds += _checks(src, f)
-        cols.append((src if f.type == "string" else src.try_cast(f.type)).alias(f.name))
-    reason = F.lit(None).cast("string")
-    for cond, text in reversed(conds):
-        reason = F.when(cond, F.lit(text)).otherwise(reason)
-    return df.select(*cols, reason.alias(REJECT_COL))
+        cols.append(src if f.type == "string" else src.try_cast(f.type).alias(f.name))
+    reason = first_reason(conds).alias(REJECT_COL)
+    return df.select(F.inline(F.array(F.struct(*cols, reason))))
+
+
+def first_reason(conds: list[tuple[Column, str]]) -> Column:
+    """The text of the first condition that holds, else null.
+
+    The conditions are one array of places and the first is its minimum, so
+    "no reason" is one predicate and not a conjunct for each check.
+    """
+    if not conds:
+        return F.lit(None).cast("string")
+    places = F.array(*[F.when(cond, F.lit(i)) for i, (cond, _) in enumerate(conds)])
+    return F.get(F.array(*[F.lit(text) for _, text in conds]), F.array_min(places))
 
 
 def split_rejects(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

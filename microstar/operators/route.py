@@ -21,13 +21,26 @@ def filter_ne(df: DataFrame, column: str, value) -> DataFrame:
 class Target:
     """One routing target: an optional predicate and its output columns.
 
-    ``columns`` items are names or (source, target) pairs."""
+    ``columns`` items are names or (source, target) pairs.  ``computed`` says
+    that the predicate reads derived columns (see ``where_computed``)."""
     columns: list
     predicate: Column | None = None
+    computed: bool = False
+
+
+def where_computed(df: DataFrame, predicate: Column) -> DataFrame:
+    """Filter on derived columns, evaluated where it stands.
+
+    The condition becomes a column that ``inline`` makes, which no optimizer
+    rule looks through.  A plain filter would be pushed below the projections
+    that derive its columns: a condition over thirty renamed flags then is
+    carried through each rename in two versions, 2**30 in all.
+    """
+    return df.select("*", F.inline(F.array(F.struct(predicate.alias("_routed"))))).where("_routed").drop("_routed")
 
 
 def project_target(df: DataFrame, t: Target) -> DataFrame:
-    out = df if t.predicate is None else df.where(t.predicate)
+    out = df if t.predicate is None else where_computed(df, t.predicate) if t.computed else df.where(t.predicate)
     cols = []
     for c in t.columns:
         src, dst = (c, c) if isinstance(c, str) else c

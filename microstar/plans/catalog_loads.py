@@ -13,7 +13,7 @@ from microstar.plans.catalog import T, _write_exam_raw_standin, register
 from microstar.plans.dictionary import filter_members
 from microstar.session import scratch_path
 from microstar.sources.delimited import read_delimited, read_star_csv, write_delimited
-from microstar.sources.layers import read_layer
+from microstar.sources.publication import REJECTED
 
 PLACE = "DIM_LOCAL_PROVA"
 
@@ -44,7 +44,7 @@ def q_load_stray_year(spark, sf):
     year = F.when(F.col("o_orderkey") % 7 == 0, "2018").otherwise("2019")
     exam.load_editions(spark, {2018: _write_exam_raw_standin(spark, sf, 2018, even)}, out, tables=[PLACE])
     exam.load_editions(spark, {2019: _write_exam_raw_standin(spark, sf, 2019, odd, NU_ANO=year)}, out, tables=[PLACE])
-    rejected = read_layer(spark, f"{out}/raw_rejects/2019").select(
+    rejected = exam.read_layer_edition(spark, out, "raw", 2019, REJECTED).select(
         F.col("NU_INSCRICAO").alias("NUM_INS"), F.col("NU_ANO").alias("ANO_ENEM"),
         F.concat(F.lit("rejected: "), "_reject_reason").alias("status"))
     return _place(spark, out).select("NUM_INS", "ANO_ENEM", F.lit("loaded").alias("status")).union(rejected)
@@ -98,13 +98,49 @@ def q_pk_load_rejects(spark, sf):
     key = F.lpad(F.expr("CASE WHEN o_orderkey % 3 = 0 THEN 0 ELSE o_orderkey div 2 END").cast("string"), 12, "0")
     out = scratch_path(spark, "load-pk")
     exam.load_editions(spark, {2019: _write_exam_raw_standin(spark, sf, 2019, o, NU_INSCRICAO=key)}, out, tables=[PLACE])
-    rejected = (spark.read.schema("NUM_INS string, _reject_reason string, table_name string, ANO_ENEM string")
-                .parquet(f"{out}/curated/_rejects").where("_reject_reason = 'NUM_INS: duplicate key'")
+    rejected = (exam.read_star_rejects(spark, f"{out}/curated").where("_reject_reason = 'NUM_INS: duplicate key'")
                 .groupBy("NUM_INS").agg(F.count(F.lit(1)).alias("n")))
     return (_place(spark, out).join(rejected, "NUM_INS", "left")
             .select("NUM_INS", F.coalesce("n", F.lit(0)).alias("n_rejected")))
 
 
+@register("load_interrupted", f"""
+SELECT {_KEY} AS NUM_INS, CASE WHEN o_orderkey % 2 = 0 THEN '2018' ELSE '2019' END AS ANO_ENEM
+FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 3 <> 0
+""")
+def q_load_interrupted(spark, sf):
+    """Load editions 2018 and 2019, then a load of other rows that stops when
+    all is written but nothing published: the former editions are read (K1)."""
+    o = T(spark, sf, "orders")
+    out = scratch_path(spark, "load-interrupted")
+    kept = o.where("o_orderkey % 3 <> 0")
+    paths = {2018: _write_exam_raw_standin(spark, sf, 2018, kept.where("o_orderkey % 2 = 0")),
+             2019: _write_exam_raw_standin(spark, sf, 2019, kept.where("o_orderkey % 2 = 1"))}
+    exam.load_editions(spark, paths, out, tables=[PLACE])
+    exam.stage_editions(spark, {2019: _write_exam_raw_standin(spark, sf, 2019, o.where("o_orderkey % 3 = 0"))}, out, tables=[PLACE])
+    return _place(spark, out).select("NUM_INS", "ANO_ENEM")
+
+
+@register("pk_across_loads", f"""
+SELECT {_KEY} AS NUM_INS, CASE WHEN o_orderkey % 2 = 0 THEN '2018' ELSE '2019' END AS ANO_ENEM, 'loaded' AS status
+FROM orders WHERE o_orderpriority <> '5-LOW'
+UNION ALL
+SELECT {_KEY}, '2019', 'rejected: NUM_INS: duplicate key of another edition' FROM orders
+WHERE o_orderpriority <> '5-LOW' AND o_orderkey % 2 = 0 AND o_orderkey % 5 < 2
+""")
+def q_pk_across_loads(spark, sf):
+    """Load edition 2018, then an edition 2019 that holds some of its keys
+    again: the stored rows stay, the late ones are rejects (K5)."""
+    o = T(spark, sf, "orders")
+    out = scratch_path(spark, "load-across")
+    exam.load_editions(spark, {2018: _write_exam_raw_standin(spark, sf, 2018, o.where("o_orderkey % 2 = 0"))}, out, tables=[PLACE])
+    again = o.where("o_orderkey % 2 = 1 OR o_orderkey % 5 < 2")
+    exam.load_editions(spark, {2019: _write_exam_raw_standin(spark, sf, 2019, again)}, out, tables=[PLACE])
+    rejected = exam.read_star_rejects(spark, f"{out}/curated").select(
+        "NUM_INS", "ANO_ENEM", F.concat(F.lit("rejected: "), "_reject_reason").alias("status"))
+    return _place(spark, out).select("NUM_INS", "ANO_ENEM", F.lit("loaded").alias("status")).union(rejected)
+
+
 # --------------------------------------------------------------------------
 # Star CSV round trip
 # --------------------------------------------------------------------------

@@ -16,20 +16,22 @@ standardised code.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import lru_cache, reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from microstar.functions import (any_flag, any_flag_int, attendance_code, attendance_label,
                                  day_attendance, label, recode_map, row_mean, strip_accents, yes_no)
 from microstar.functions.labels import NO, YES
 from microstar.operators.project import harmonise, null_defaults, select_rename
-from microstar.operators.quality import FieldSpec, REJECT_COL, enforce_schema, reject_duplicates, split_rejects, surrogate_key
+from microstar.operators.keys import buckets_for, key_filter, maybe_in, stored_keys
+from microstar.operators.quality import FieldSpec, REJECT_COL, check_unique, enforce_schema, reject_duplicates, surrogate_key
 from microstar.operators.reshape import unpivot_groups
-from microstar.operators.route import Target, filter_eq, route
+from microstar.operators.route import Target, filter_eq, route, where_computed
+from microstar.session import checkpoint_root
 from microstar.sources.delimited import DEFAULT_ENCODING, read_delimited
-from microstar.sources.layers import overwrite_load, replace_partitions
+from microstar.sources.publication import GOOD, REJECTED, Publication, Staged
 from microstar.spec import labels as L
 from microstar.spec import star as S
 from microstar.spec.layouts import ACCENT_FOLDED, LAYOUTS, NULL_DEFAULTS, SEPARATOR
@@ -205,7 +207,9 @@ def _predicate(rule) -> Column | None:
 
 
 def star_targets() -> dict[str, Target]:
-    return {name: Target(cols, _predicate(S.ROUTES[name])) for name, cols in S.STAR_COLUMNS.items()}
+    derived = set(_derivations(2019, False))
+    return {name: Target(cols, _predicate(rule := S.ROUTES[name]), computed=bool(rule) and rule[0] in derived)
+            for name, cols in S.STAR_COLUMNS.items()}
 
 
 def _spec_for(columns: list[str]) -> list[FieldSpec]:
@@ -234,7 +238,7 @@ def build_star(base: DataFrame, answers_key: bool = True,
     star = route(base, {k: v for k, v in star_targets().items() if k in wanted})
     if "DIM_RSP_PRV" not in wanted:
         return {name: typed(df) for name, df in star.items()}
-    answers = unpivot_groups(base.where(_predicate(S.ROUTES["DIM_RSP_PRV"])), ["NUM_INS", "ANO_ENEM"],
+    answers = unpivot_groups(where_computed(base, _predicate(S.ROUTES["DIM_RSP_PRV"])), ["NUM_INS", "ANO_ENEM"],
                              S.ANSWER_GROUPS, "AREA_CCN_ITEM", ["RSP_INS", "COD_PRV"], not_null="RSP_INS")
     if answers_key:
         answers = surrogate_key(answers, ["ANO_ENEM", "NUM_INS", "AREA_CCN_ITEM"], name="DIM_RSP_PRV_PK",
@@ -246,80 +250,119 @@ def build_star(base: DataFrame, answers_key: bool = True,
 
 
 def load_star(star: dict[str, DataFrame], out_dir: str, years=None) -> dict[str, str]:
-    """Write good rows per table, partitioned by ANO_ENEM, and all rejects to
-    ``_rejects`` (by table and edition).
+    """Load star tables and publish them together (K1); returns each table's new folder.
 
     The primary key NUM_INS of every dimension and of the fact is enforced
-    (``reject_duplicates``).  With ``years`` exactly those editions of the
-    given tables are replaced, also by nothing, and rows of other editions
-    are rejected; without, the editions present in the rows.  Each checked
-    table is kept while its good rows and its rejects are written, so its
-    input is read once.  The list of loaded tables and editions is written
-    to ``_loads`` last: without its entry a load is not complete.
+    within the load and against the editions that stay (K5).  With ``years``
+    exactly those editions of the given tables are replaced, also by nothing,
+    and rows of other editions are rejected; without, the editions present in
+    the rows.  Each table is written once, good and rejected rows apart, and
+    written again only if keys repeat; until all are written, readers see the
+    former editions.
     """
-    paths: dict[str, str] = {}
-    rejects, kept = [], []
-    try:
-        for name, checked in star.items():
-            if years is not None:
-                stray = F.col(REJECT_COL).isNull() & ~F.col("ANO_ENEM").isin([str(y) for y in years])
-                checked = checked.withColumn(REJECT_COL, F.when(stray, F.lit("ANO_ENEM: not a loaded edition"))
-                                             .otherwise(F.col(REJECT_COL)))
-            checked = checked.persist(StorageLevel.DISK_ONLY)
-            kept.append(checked)
-            if name != "DIM_RSP_PRV":  # on the kept rows: the plan below is not planned again with the join
-                checked = reject_duplicates(checked, ["NUM_INS"])
-            good, bad = split_rejects(checked)
-            paths[name] = f"{out_dir}/{name}"
-            replace_partitions(good, paths[name], ["ANO_ENEM"], [(y,) for y in years or ()])
-            rejects.append(bad.select(F.lit(name).alias("table_name"), F.col("NUM_INS"),
-                                      F.col("ANO_ENEM"), F.col(REJECT_COL)))
-        paths["_rejects"] = f"{out_dir}/_rejects"
-        replace_partitions(reduce(lambda a, b: a.unionByName(b), rejects), paths["_rejects"],
-                           ["table_name", "ANO_ENEM"], [(n, y) for n in star for y in years or ()])
-    finally:
-        for frame in kept:
-            frame.unpersist()
-    if years is not None:
-        spark = next(iter(star.values())).sparkSession
-        loaded = [(name, str(y)) for name in star for y in years]
-        (spark.createDataFrame(loaded, "table_name string, ANO_ENEM string")
-         .withColumn("loaded_at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{out_dir}/_loads"))
-    return paths
-
-
-def read_star_table(spark: SparkSession, curated_dir: str, name: str) -> DataFrame:
-    """A loaded star table with its declared types (ANO_ENEM a string, not
-    what a folder name looks like); empty if no edition has rows."""
-    columns = S.ANSWER_COLUMNS + ["ANO_ENEM"] if name == "DIM_RSP_PRV" else [
-        c if isinstance(c, str) else c[1] for c in S.STAR_COLUMNS[name]]
-    schema = ", ".join(f"`{f.name}` {f.type}" for f in _spec_for(list(dict.fromkeys(columns))))
-    return spark.read.schema(schema).parquet(f"{curated_dir}/{name}")
-
-
-def next_answer_key(spark: SparkSession, answers_path: str, years) -> int:
+    return stage_star(star, out_dir, years).publish()
+
+
+def stage_star(star: dict[str, DataFrame], out_dir: str, years=None) -> StagedStar:
+    """The first half of ``load_star``: everything is written, nothing counts yet."""
+    spark = next(iter(star.values())).sparkSession
+    pub = Publication(spark, out_dir)
+    loads = []
+    for name, checked in star.items():
+        if years is not None:
+            stray = F.col(REJECT_COL).isNull() & ~F.col("ANO_ENEM").isin([str(y) for y in years])
+            checked = checked.withColumn(REJECT_COL, F.when(stray, F.lit("ANO_ENEM: not a loaded edition"))
+                                         .otherwise(F.col(REJECT_COL)))
+        staged = pub.stage(checked, name, "ANO_ENEM")
+        editions = [str(y) for y in years] if years is not None else sorted(
+            r[0] for r in pub.rows(staged).select("ANO_ENEM").distinct().collect())  # one row an edition
+        if name != "DIM_RSP_PRV":
+            staged = enforce_key(pub, staged, ["NUM_INS"], editions)
+        loads.append((staged, editions))
+    return StagedStar(pub, loads)
+
+
+@dataclass(frozen=True)
+class StagedStar:
+    """Written star tables that do not count until ``publish``."""
+    publication: Publication
+    loads: list
+
+    def publish(self) -> dict[str, str]:
+        self.publication.publish(self.loads)
+        return {staged.table: staged.folder for staged, _ in self.loads}
+
+
+def enforce_key(pub: Publication, staged: Staged, keys: list[str], editions) -> Staged:
+    """A staged load whose good rows have keys that neither repeat nor are stored in other editions.
+
+    Only key columns are read: repeats by a grouped count, stored keys by the
+    key filters of the other loads and a look at the few hits.  Without any
+    the load stays as it is; else it is written again with the late rows
+    rejected.  The filter of its own keys is written beside it.
+    """
+    good = pub.rows(staged).select(*keys)
+    others = [(s, of) for s, of in ((s, [e for e in of if e not in set(map(str, editions))]) for s, of in pub.loads(staged.table)) if of]
+    known = None
+    for other, of in others:
+        held = pub.spark.read.parquet(f"{other.folder}/_keys")
+        hits = maybe_in(good, keys, held, held.agg(F.max("buckets")).first()[0])
+        found = stored_keys(hits, keys, pub.rows(other, editions=of))
+        known = found if known is None else known.union(found)
+    if known is not None:
+        checkpoint_root(pub.spark)
+        known = known.distinct().checkpoint()
+    stored = known is not None and known.limit(1).count() > 0
+    if stored or check_unique(good, keys).limit(1).count():
+        rows = pub.rows(staged).withColumn(REJECT_COL, F.lit(None).cast("string")).unionByName(pub.rows(staged, REJECTED))
+        if stored:
+            late = rows.join(known.withColumn("_stored", F.lit(True)), keys, "left")
+            reason = F.when(F.col(REJECT_COL).isNull() & F.col("_stored"), F.lit(f"{', '.join(keys)}: duplicate key of another edition"))
+            rows = late.select(*[c for c in rows.columns if c != REJECT_COL], F.coalesce(reason, F.col(REJECT_COL)).alias(REJECT_COL))
+        staged = pub.stage(reject_duplicates(rows, keys), staged.table, staged.edition_column)
+        good = pub.rows(staged).select(*keys)
+    buckets = buckets_for(good.count())
+    key_filter(good, keys, buckets).withColumn("buckets", F.lit(buckets)).write.parquet(f"{staged.folder}/_keys")
+    return staged
+
+
+def read_star_table(spark: SparkSession, curated_dir: str, name: str, editions=None) -> DataFrame:
+    """The published rows of a star table, with its declared types."""
+    return Publication(spark, curated_dir).read(name, editions)
+
+
+def read_star_rejects(spark: SparkSession, curated_dir: str, editions=None) -> DataFrame:
+    """Rejected rows of all published star loads: ``table_name, NUM_INS, ANO_ENEM, _reject_reason``."""
+    pub = Publication(spark, curated_dir)
+    parts = [pub.read(name, editions, REJECTED).select(F.lit(name).alias("table_name"), "NUM_INS", "ANO_ENEM", REJECT_COL)
+             for name in sorted(pub.state()[1])]
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def read_layer_edition(spark: SparkSession, out_dir: str, layer: str, year: int, status: str = GOOD) -> DataFrame:
+    """The published rows of one edition of the RAW or CLEANED layer (``layer``: raw or cleaned), or its rejects."""
+    return Publication(spark, f"{out_dir}/{layer}").read(str(year), status=status)
+
+
+def next_answer_key(spark: SparkSession, curated_dir: str, years) -> int:
     """First identity value for reloading ``years``: one past the largest key
-    kept in the other editions of an existing answers table (1 if there is
-    no table yet).  Like an IDENTITY column, keys stay unique across partial
-    reloads.  Any failure but a missing folder stops the load."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(answers_path)
-    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
-        return 1
-    existing = spark.read.schema("DIM_RSP_PRV_PK bigint, ANO_ENEM string").parquet(answers_path)
-    kept = existing.where(~F.col("ANO_ENEM").isin([str(y) for y in years]))
-    top = kept.agg(F.max("DIM_RSP_PRV_PK")).first()[0]
+    kept in the other editions of the published answers (1 if there are
+    none).  Like an IDENTITY column, keys stay unique across partial reloads."""
+    pub = Publication(spark, curated_dir)
+    kept = [e for e in pub.editions("DIM_RSP_PRV") if e not in {str(y) for y in years}]
+    top = pub.read("DIM_RSP_PRV", kept).agg(F.max("DIM_RSP_PRV_PK")).first()[0] if kept else None
     return 1 if top is None else int(top) + 1
 
 
-def _load_checked(checked: DataFrame, path: str, rejects_path: str) -> None:
-    """Write good and rejected rows; the input is read and checked once."""
-    checked = checked.persist(StorageLevel.DISK_ONLY)
-    try:
-        good, bad = split_rejects(checked)
-        overwrite_load(good, path)
-        overwrite_load(bad, rejects_path)
-    finally:
-        checked.unpersist()
+def _load_layer(spark: SparkSession, checked: DataFrame, layer_dir: str, year: int) -> DataFrame:
+    """Write and publish one edition of a layer; its good rows as read back.
+
+    Every edition is a table of its own: its columns are its layout's.
+    """
+    pub = Publication(spark, layer_dir)
+    staged = pub.stage(checked, str(year))
+    pub.publish([(staged, ["all"])])
+    return pub.rows(staged)
 
 
 def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
@@ -328,20 +371,25 @@ def load_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
     """Text files per year -> RAW, CLEANED (parquet, by year) -> CURATED star.
 
     Each layer load is typed against its table definition: malformed lines,
-    rows of another edition and rows with a value wider than the column go to
-    ``<layer>_rejects/<year>`` with the reason (the reference's database
-    would have failed the whole insert).  Exactly the named editions are
-    replaced, also when they come out empty.
-    ``tables`` loads only the named star tables (deriving only what they
-    need); the others keep their current content.
+    rows of another edition and rows with a value wider than the column are
+    kept as rejects with the reason (the reference's database would have
+    failed the whole insert).  Each layer is written once and published when
+    it is whole; the star tables are published together.  Exactly the named
+    editions are replaced, also when they come out empty.  ``tables`` loads
+    only the named star tables (deriving only what they need); the others
+    keep their current content.
     """
-    raw_dir, clean_dir = f"{out_dir}/raw", f"{out_dir}/cleaned"
+    return stage_editions(spark, raw_paths, out_dir, state, fixes, tables).publish()
+
+
+def stage_editions(spark: SparkSession, raw_paths: dict[int, str], out_dir: str,
+                   state: str | None = DEFAULT_STATE, fixes: bool = False, tables: list[str] | None = None) -> StagedStar:
+    """``load_editions`` up to the point where the new star would count."""
+    cleaned = {}
     for year, path in sorted(raw_paths.items()):
-        _load_checked(check_raw(read_raw(spark, path, year), year), f"{raw_dir}/{year}",
-                      f"{out_dir}/raw_rejects/{year}")
-        cleaned = clean(spark.read.parquet(f"{raw_dir}/{year}"), year, fixes)
-        _load_checked(check_cleaned(cleaned, year), f"{clean_dir}/{year}", f"{out_dir}/cleaned_rejects/{year}")
-    cleaned = {y: spark.read.parquet(f"{clean_dir}/{y}") for y in raw_paths}
-    start = next_answer_key(spark, f"{out_dir}/curated/DIM_RSP_PRV", raw_paths)
+        raw = _load_layer(spark, check_raw(read_raw(spark, path, year), year), f"{out_dir}/raw", year)
+        cleaned[year] = _load_layer(spark, check_cleaned(clean(raw, year, fixes), year), f"{out_dir}/cleaned", year)
+    curated_dir = f"{out_dir}/curated"
+    start = 1 if tables and "DIM_RSP_PRV" not in tables else next_answer_key(spark, curated_dir, raw_paths)
     base = curate(cleaned, state, fixes, tables=tables)
-    return load_star(build_star(base, key_start=start, tables=tables), f"{out_dir}/curated", years=sorted(raw_paths))
+    return stage_star(build_star(base, key_start=start, tables=tables), curated_dir, years=sorted(raw_paths))

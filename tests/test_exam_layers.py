@@ -139,7 +139,7 @@ def test_load_star_partitioned_and_idempotent(spark, star, tmp_path):
     out = str(tmp_path / "curated")
     exam.load_star(star["tables"], out)
     exam.load_star(star["tables"], out)                                 # rerun: no duplicates
-    cad = spark.read.parquet(f"{out}/DIM_CADASTRAL")
+    cad = exam.read_star_table(spark, out, "DIM_CADASTRAL")
     assert cad.count() == len(star["good"]["DIM_CADASTRAL"])
     assert cad.where(F.col("ANO_ENEM") == 2016).count() == 1
 
@@ -152,34 +152,34 @@ def test_load_editions_writes_all_layers_idempotently(spark, tmp_path):
              2015: X.write_raw(str(d), 2015, X.rows_year(2015))}
     out = str(tmp_path / "layers")
     exam.load_editions(spark, paths, out)
-    assert spark.read.parquet(f"{out}/raw/2019").count() == 5
-    rej = spark.read.parquet(f"{out}/raw_rejects/2019").collect()
+    assert exam.read_layer_edition(spark, out, "raw", 2019).count() == 5
+    rej = exam.read_layer_edition(spark, out, "raw", 2019, "rejected").collect()
     assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in rej] == [("1900000000099", "NU_INSCRICAO: longer than 12")]
-    assert spark.read.parquet(f"{out}/cleaned_rejects/2019").count() == 0
-    assert len(spark.read.parquet(f"{out}/cleaned/2015").columns) == 166
-    cad = spark.read.parquet(f"{out}/curated/DIM_CADASTRAL")
+    assert exam.read_layer_edition(spark, out, "cleaned", 2019, "rejected").count() == 0
+    assert len(exam.read_layer_edition(spark, out, "cleaned", 2015).columns) == 166
+    cad = exam.read_star_table(spark, f"{out}/curated", "DIM_CADASTRAL")
     assert sorted(r["NUM_INS"] for r in cad.collect()) == ["150000000001", "190000000001", "190000000002",
                                                              "190000000003"]
-    assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
-    ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
+    assert exam.read_star_rejects(spark, f"{out}/curated").count() == 1
+    ans = exam.read_star_table(spark, f"{out}/curated", "DIM_RSP_PRV")
     assert ans.count() == 4 + 3 + 4 + 4                                   # 001, 003, 004, 2015 row
     assert sorted(r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()) == list(range(1, 16))
     keys_2015 = sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect())
-    cad_before = sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect())
+    cad_before = sorted(tuple(r) for r in exam.read_star_table(spark, f"{out}/curated", "DIM_CADASTRAL").collect())
     # reload 2019 alone (a rerun): nothing is duplicated, 2015 keeps its keys,
     # 2019 continues after the largest kept key
     exam.load_editions(spark, {2019: paths[2019]}, out)
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect()) == cad_before
-    assert spark.read.parquet(f"{out}/raw/2019").count() == 5
-    ans = spark.read.parquet(f"{out}/curated/DIM_RSP_PRV")
+    assert sorted(tuple(r) for r in exam.read_star_table(spark, f"{out}/curated", "DIM_CADASTRAL").collect()) == cad_before
+    assert exam.read_layer_edition(spark, out, "raw", 2019).count() == 5
+    ans = exam.read_star_table(spark, f"{out}/curated", "DIM_RSP_PRV")
     keys = [r[0] for r in ans.select("DIM_RSP_PRV_PK").collect()]
     assert len(keys) == len(set(keys)) == 15
     assert sorted(r[0] for r in ans.where("ANO_ENEM = 2015").select("DIM_RSP_PRV_PK").collect()) == keys_2015
     assert min(r[0] for r in ans.where("ANO_ENEM = 2019").select("DIM_RSP_PRV_PK").collect()) == max(keys_2015) + 1
     # load one table of one edition: the other tables and their rejects are untouched
     exam.load_editions(spark, {2019: paths[2019]}, out, tables=["FAT_NOTA"])
-    assert spark.read.parquet(f"{out}/curated/_rejects").count() == 1
-    assert sorted(tuple(r) for r in spark.read.parquet(f"{out}/curated/DIM_CADASTRAL").collect()) == cad_before
+    assert exam.read_star_rejects(spark, f"{out}/curated").count() == 1
+    assert sorted(tuple(r) for r in exam.read_star_table(spark, f"{out}/curated", "DIM_CADASTRAL").collect()) == cad_before
 
 
 def test_layer_widths():
