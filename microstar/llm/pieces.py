@@ -5,11 +5,12 @@ place; the best pair merges, its new neighbours join the agenda, and pairs
 whose symbols have changed are passed over.  What no merge can make becomes
 bytes.  Decoding puts pieces and bytes back together.
 
-A text is cut before each run of spaces and around line feeds where no piece
-of the vocabulary holds such a pair of characters inside, as then no merge
-reaches across; the vocabulary decides, so a cut never changes a result.
-Ids of short stretches are kept in a table of bounded size per task.  Every
-Arrow batch is checked against the sentencepiece library.
+A text is cut before each run of spaces, around line feeds and where marks
+follow something else, as far as no piece of the vocabulary holds such a pair
+of characters inside, as then no merge reaches across; the vocabulary decides,
+so a cut never changes a result.  Ids of short stretches are kept in a table
+of bounded size per task.  Every Arrow batch is checked against the
+sentencepiece library, text by text.
 """
 
 from __future__ import annotations
@@ -56,15 +57,12 @@ class MergeVocabulary:
         self.surface = {i: p.replace(SPACE, " ") if plain[i] else "" for i, p in enumerate(pieces)}
         self.surface[self.unknown] = f" {chr(0x2047)} "  # what the library shows for an unknown piece
         self.decimal = list(map(str, range(size)))
-        self.value = {i: b for b, i in self.bytes.items()}
-        if any(pair[1] == " " and pair[0] != " " for pair in beside):
-            self.cut = re.compile(r"[\s\S]+")  # some piece goes on into a space: no cheap cut
-        elif any("\n" in pair for pair in beside):
-            self.cut = re.compile("(?: *[^ ]+| +)")
-        else:
-            self.cut = re.compile("\n| *[^ \n]+| +")
-        self.known: dict[str, tuple[tuple[int, ...], str, str]] = {}
-        self.before: dict[str, tuple[tuple[int, ...], str, str]] = {}  # what was known when the table was last full
+        self.byte_ids = set(self.bytes.values())
+        # an ASCII byte stands for itself whatever is beside it; others have to be put together
+        self.surface |= {i: chr(b) for b, i in self.bytes.items() if b < 0x80}
+        self.value = {i: b for b, i in self.bytes.items() if b >= 0x80}
+        self.cut = _cut(beside)
+        self.known = _Known(self)
 
     def normalized(self, text: str) -> str:
         """What is encoded: one space in front, space marks as spaces (nothing for the empty text)."""
@@ -92,12 +90,12 @@ class MergeVocabulary:
             if best == _NEVER:
                 break
             i = agenda.index(best)  # the leftmost of equals
-            symbols[i:i + 2] = [symbols[i] + symbols[i + 1]]
-            del agenda[i]
+            symbols[i] = merged = symbols[i] + symbols[i + 1]
+            del symbols[i + 1], agenda[i]
             if i:
-                agenda[i - 1] = get(symbols[i - 1] + symbols[i], _NEVER)
+                agenda[i - 1] = get(symbols[i - 1] + merged, _NEVER)
             if i < len(agenda):
-                agenda[i] = get(symbols[i] + symbols[i + 1], _NEVER)
+                agenda[i] = get(merged + symbols[i + 1], _NEVER)
         return symbols
 
     def _merge_long(self, stretch: str) -> list[str]:
@@ -125,30 +123,9 @@ class MergeVocabulary:
                     heapq.heappush(agenda, (-scores[piece], a, b, piece))
         return [s for s in symbols if s is not None]
 
-    def _stretch(self, stretch: str) -> tuple[tuple[int, ...], str, str]:
-        found = self.before.get(stretch)
-        if found is None:
-            ids = self.merge(stretch)
-            shown = self.joined(ids)
-            found = tuple(ids), ",".join([self.decimal[i] for i in ids]), stretch if shown == stretch else shown
-        if len(stretch) <= self.REMEMBER_CHARS:
-            if len(self.known) >= self.REMEMBER:
-                self.before = dict(self.known)
-                self.known.clear()
-            self.known[stretch] = found
-        return found
-
-    def stretches(self, text: str) -> list[tuple[tuple[int, ...], str, str]]:
-        """For each stretch of a raw text: its ids, these in decimal joined by commas, what they decode to.
-
-        A stretch holds whole characters, so its bytes decode by themselves.
-        """
-        known, make = self.known, self._stretch
-        return [known.get(s) or make(s) for s in self.cut.findall(self.normalized(text))]
-
     def encode(self, text: str) -> list[int]:
         """Ids of a raw text, without begin or end ids."""
-        return [i for ids, _, _ in self.stretches(text) for i in ids]
+        return list(chain.from_iterable(map(self.known.__getitem__, self.cut.findall(self.normalized(text)))))
 
     def joined(self, ids: Iterable[int]) -> str:
         """Pieces and bytes of ids in order, space marks as spaces, the first one kept.
@@ -177,7 +154,7 @@ class MergeVocabulary:
     def drops_space(self, ids: Iterable[int]) -> bool:
         """Whether decoding drops the first character: the first piece that shows begins with a space mark."""
         for i in ids:
-            if i in self.value:
+            if i in self.byte_ids:
                 return False
             if self.surface[i]:
                 return self.surface[i][0] == " " and i != self.unknown
@@ -188,6 +165,43 @@ class MergeVocabulary:
         return self.joined(ids)[1 if self.drops_space(ids) else 0:]
 
 
+class _Known(dict):
+    """Ids of stretches; short ones are remembered, twice ``REMEMBER`` at most, the older half until the newer is full."""
+
+    def __init__(self, vocabulary: MergeVocabulary):
+        super().__init__()
+        self.own = vocabulary
+        self.before: dict[str, tuple[int, ...]] = {}
+
+    def __missing__(self, stretch: str) -> tuple[int, ...]:
+        found = self.before.get(stretch)
+        if found is None:
+            found = tuple(self.own.merge(stretch))
+        if len(stretch) <= self.own.REMEMBER_CHARS:
+            if len(self) >= self.own.REMEMBER:
+                self.before = dict(self)
+                self.clear()
+            self[stretch] = found
+        return found
+
+
+def _cut(beside: set[str]) -> re.Pattern:
+    """Pattern of the stretches into which a text may be cut; ``beside`` are all pairs of characters inside pieces.
+
+    A mark is a character of the pieces that is no letter, digit or space and
+    that stands in no piece after anything but a space or another mark.
+    """
+    if any(pair[1] == " " and pair[0] != " " for pair in beside):
+        return re.compile(r"[\s\S]+")  # some piece goes on into a space: no cheap cut
+    marks = {c for pair in beside for c in pair if not (c.isalpha() or c.isdecimal() or c in " \n")}
+    while wrong := {b for a, b in beside if b in marks and a != " " and a not in marks}:
+        marks -= wrong
+    line, m = "" if any("\n" in pair for pair in beside) else "\n", re.escape("".join(sorted(marks)))
+    plain = f"[^ {line}{m}]"
+    first = f" *[{m}]+{plain}*|" if marks else ""
+    return re.compile(f"{'\n|' if line else ''}{first} *{plain}+| +")
+
+
 def _utf8(run: bytes) -> str:
     out, at = [], 0
     while at < len(run):
@@ -248,15 +262,16 @@ def encode_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
             gc.enable()
 
     def encoded(own: MergeVocabulary, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        decimal = own.decimal
         for whole in batches:
             for batch in common.slices(whole, "text", 4 << 20):
                 rows = []
-                for text in common.texts(batch.column(1)):
-                    tokens, decimal, shown = zip(*own.stretches(text)) if text else ((), (), ())
-                    ids = list(chain.from_iterable(tokens))
-                    decoded = "".join(shown)[1 if own.drops_space(ids) else 0:]
-                    agrees = own.library.encode(text) == ids and own.library.decode(ids) == decoded
-                    row = (len(ids), _digest(",".join(decimal)), _digest(decoded), agrees)
+                held = common.texts(batch.column(1))
+                reference = own.library.encode(held, num_threads=1)
+                for text, theirs, shown in zip(held, reference, own.library.decode(reference, num_threads=1)):
+                    ids = own.encode(text)
+                    decoded = own.decode(ids)
+                    row = (len(ids), _digest(",".join([decimal[i] for i in ids])), _digest(decoded), theirs == ids and shown == decoded)
                     rows.append((*row, ids, decoded) if with_ids else row)
                 columns = list(zip(*rows))
                 yield pa.RecordBatch.from_arrays(
