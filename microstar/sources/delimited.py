@@ -11,6 +11,8 @@ from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from microstar.sources.quoted import read_quoted
+
 DEFAULT_ENCODING = "ISO-8859-1"
 NULL_TOKEN = "-"
 
@@ -77,22 +79,29 @@ def read_star_csv(spark: SparkSession, path, sep: str = "\t", encoding: str = DE
 
     With ``schema`` the types are given and the text is read once; without
     it, types are inferred at the cost of one extra pass over the input, so
-    pass one at scale.  ``multiline`` reads values with line breaks; such
-    files are read whole, not split.
+    pass one at scale.  ``multiline`` reads values with line breaks; with a
+    ``schema`` such files are split, too (``sources.quoted``), without one
+    each is read whole by one task.
     """
+    if multiline and schema is not None:
+        schema = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+        return read_quoted(spark, path, schema, sep, encoding, _STAR_OPTIONS)
     reader = spark.read.format("csv").options(**_STAR_OPTIONS).option("sep", sep).option("encoding", encoding)
     reader = reader.option("multiLine", multiline)
     reader = reader.schema(schema) if schema is not None else reader.option("inferSchema", infer)
     return reader.load(path)
 
 
-def encodable(c, encoding: str = DEFAULT_ENCODING):
-    """Whether a text survives ``encoding`` (null does)."""
-    c = F.col(c) if isinstance(c, str) else c
+def unencodable_pattern(encoding: str = DEFAULT_ENCODING) -> str | None:
+    """Pattern (as SQL text) of a character outside ``encoding``; None if it holds every character."""
     if encoding.replace("-", "").lower() in ("utf8", "utf16", "utf32"):
-        return F.lit(True)
-    bound = {"ISO-8859-1": "\\u00FF", "US-ASCII": "\\u007F"}[encoding.upper()]
-    return F.coalesce(~c.rlike(f"[^\\u0000-{bound}]"), F.lit(True))
+        return None
+    bound = {"ISO-8859-1": "FF", "US-ASCII": "7F"}[encoding.upper()]
+    return f"[^\\\\x00-\\\\x{bound}]"
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = DEFAULT_ENCODING,
@@ -102,8 +111,9 @@ def write_delimited(df: DataFrame, path: str, sep: str = ";", encoding: str = DE
     A text that the encoding cannot hold fails the write instead of being
     changed to question marks; export such tables as UTF-8.
     """
-    checked = [F.when(encodable(f.name, encoding), F.col(f.name))
-               .otherwise(F.raise_error(F.concat(F.lit(f"{f.name}: {UNENCODABLE} {encoding}: "), F.col(f.name)))).alias(f.name)
-               if f.dataType.typeName() == "string" else F.col(f.name) for f in df.schema.fields]
-    (df.select(checked).write.mode(mode).options(**_STAR_OPTIONS).option("header", header)
+    bad = unencodable_pattern(encoding)
+    checked = [f"IF(coalesce(rlike(`{f.name}`, '{bad}'), false), "
+               f"CAST(raise_error(concat({_quoted(f'{f.name}: {UNENCODABLE} {encoding}: ')}, `{f.name}`)) AS STRING), `{f.name}`) AS `{f.name}`"
+               if bad and f.dataType.typeName() == "string" else f"`{f.name}`" for f in df.schema.fields]
+    (df.selectExpr(*checked).write.mode(mode).options(**_STAR_OPTIONS).option("header", header)
        .option("sep", sep).option("encoding", encoding).csv(path))
