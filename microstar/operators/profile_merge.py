@@ -125,8 +125,8 @@ def heavy_values(df: DataFrame, columns: list[str], k: int = 5, candidates: int
         top = first[f"t{i}"] or []
         own = sorted(((r["n_rows"], r["item"]) for r in counted if r["column_index"] == i),
                      key=lambda x: (-x[0], x[1] == "null", x[1]))[:k]
-        all_seen = len(top) < k2  # fewer values than were asked for: none is missing
-        missed = 0 if all_seen else top[-1]["count"] + SKETCH_ERROR * first["n"]
+        all_seen = sum(r["count"] for r in top) == first["n"]  # nothing was purged: the counts are whole
+        missed = (top[-1]["count"] if len(top) == k2 else 0) + SKETCH_ERROR * first["n"]
         if all_seen or (len(own) == k and own[-1][0] > missed):
             rows += [(c, None if item == "null" else item[1:], n, rank + 1) for rank, (n, item) in enumerate(own)]
         else:
