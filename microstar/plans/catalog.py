@@ -992,11 +992,11 @@ def _write_exam_raw_standin(spark, sf, year: int = 2019, orders: DataFrame | Non
     return path
 
 
-def _exam_star(spark, sf, table: str, year: int = 2019):
+def _exam_star(spark, sf, table: str, year: int = 2019, orders: DataFrame | None = None, **override):
     """A star table from a staged raw file: checked lines -> cleaned -> curated -> typed."""
     from microstar.operators.quality import split_rejects
     from microstar.plans import exam
-    path = _write_exam_raw_standin(spark, sf, year)
+    path = _write_exam_raw_standin(spark, sf, year, orders, **override)
     good, _ = split_rejects(exam.check_raw(exam.read_raw(spark, path, year), year))
     cleaned = exam.clean(good, year)
     return exam.build_star(exam.curate({year: cleaned}, state="RR", tables=[table]), tables=[table])[table]

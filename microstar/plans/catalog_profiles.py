@@ -105,3 +105,146 @@ def q_star_join_bucketed(spark, sf):
         (b, F.col("a.o_custkey") == F.col("b.c_custkey"), "inner"),
         (n, F.col("b.c_nationkey") == F.col("n.n_nationkey"), "left"),
     ], select=["a.*", "c.l_linenumber", "c.l_quantity", "n.n_name"])
+
+
+# --------------------------------------------------------------------------
+# M5: the notebook flow, from exported text to the evaluated edition
+# --------------------------------------------------------------------------
+
+_GRADES_SQL = """
+SELECT *, h + n + l + m0 + (h + n + l + m0 + 1) % 2 AS total FROM (
+  SELECT o_orderkey, o_custkey, o_orderstatus, 400 + o_custkey % 300 AS h, 350 + (o_orderkey * 7) % 400 AS n,
+         380 + (o_custkey * 3) % 320 AS l, 300 + (o_orderkey * 13) % 500 AS m0 FROM orders)"""
+
+
+@register("notebook_flow", f"""
+WITH g AS ({_GRADES_SQL}),
+s AS (SELECT CAST(200 + 2 * ((o_custkey * 11) % 400) AS DOUBLE) AS real, CAST(trunc(total / 4.0) AS INTEGER) AS pred
+      FROM g WHERE o_orderkey % 5 = 4 AND o_orderstatus <> 'P' AND o_orderkey % 17 <> 0),
+d AS (SELECT *, real - pred AS diff, pred / real * 100 AS ratio FROM s),
+p AS (SELECT *, CAST(trunc(CASE WHEN diff < 0 THEN ratio - 100 WHEN diff > 0 THEN 100 - ratio ELSE 0.0 END) AS INTEGER) AS pct FROM d)
+SELECT real AS Nota_Real, pred AS Nota_Prevista, CAST(trunc(abs(diff)) AS INTEGER) AS Diferenca,
+       CASE WHEN diff < 0 THEN 'Atribuiu Nota Maior' WHEN diff > 0 THEN 'Atribuiu Nota Menor' ELSE 'Atribuiu Nota Exata' END AS Tipo_da_Diferenca,
+       pct AS Percentual_da_Diferenca,
+       CASE WHEN pct BETWEEN 0 AND 10 THEN '0, 10' WHEN pct BETWEEN 11 AND 20 THEN '11, 20' WHEN pct BETWEEN 21 AND 30 THEN '21, 30'
+            WHEN pct BETWEEN 31 AND 40 THEN '31, 40' WHEN pct BETWEEN 41 AND 50 THEN '41, 50' WHEN pct BETWEEN 51 AND 60 THEN '51, 60'
+            WHEN pct BETWEEN 61 AND 70 THEN '61, 70' WHEN pct BETWEEN 71 AND 80 THEN '71, 80' WHEN pct BETWEEN 81 AND 90 THEN '81, 90'
+            WHEN pct BETWEEN 91 AND 100 THEN '91, 100' WHEN pct > 100 THEN '> 100' ELSE NULL END AS Faixa_da_Diferenca,
+       round(100.0 * count(*) FILTER (WHERE pct <= 30) OVER () / count(*) OVER (), 6) AS percentual_acerto
+FROM p
+""")
+def q_notebook_flow(spark, sf):
+    """The analysis from end to end (M5): star tables exported as text with
+    decimal commas, read back, joined, the model fitted on the editions up to
+    2018 and the 2019 edition scored and evaluated.  The grades of the earlier
+    editions follow a planted rule (a quarter of the sum of the four), so what
+    the fitted model must predict for 2019 is known."""
+    from microstar.plans import analysis as A
+    o = T(spark, sf, "orders")
+    key = F.lpad(F.col("o_orderkey").cast("string"), 12, "0").alias("NUM_INS")
+    year = (F.lit(2015) + F.col("o_orderkey") % 5).cast("string").alias("ANO_ENEM")
+    g = o.selectExpr("*", "400 + o_custkey % 300 AS h", "350 + (o_orderkey * 7) % 400 AS n", "380 + (o_custkey * 3) % 320 AS l",
+                     "300 + (o_orderkey * 13) % 500 AS m0").selectExpr("*", "m0 + (h + n + l + m0 + 1) % 2 AS m")
+    essay = F.expr("IF(o_orderkey % 5 = 4, CAST(200 + 2 * ((o_custkey * 11) % 400) AS DOUBLE), (h + n + l + m) / 4.0D)")
+    tables = {
+        "cadastral": o.select(key, year, F.lit(20).alias("IDD_INS"), F.lit(1).alias("COD_SEX"), *[F.lit("x").alias(c) for c in A.CADASTRAL_DROPPED]),
+        "presenca": o.select(key, F.when(F.col("o_orderstatus") == "P", "Parcial").otherwise(A.PRESENT).alias("DSC_TPO_PSC")),
+        "nota": g.where("o_orderkey % 17 <> 0").select(
+            key, F.col("h").cast("double").alias("NOT_CIE_HUM"), F.col("n").cast("double").alias("NOT_CIE_NAT"),
+            F.col("l").cast("double").alias("NOT_LNG_COD"), F.col("m").cast("double").alias("NOT_MAT"), essay.alias("NOT_RDC"), essay.alias("NOT_MED")),
+        "ensino": o.where("o_orderkey % 3 = 0").select(key, F.lit(None).cast("string").alias("TPO_ESC_ENS_MED_DET")),
+        "local": o.select(key, F.lpad((F.col("o_custkey") % 50).cast("string"), 7, "0").alias("COD_MUN_PRV")),
+        "municipio": T(spark, sf, "customer").where("c_custkey < 50").select(
+            F.lpad(F.col("c_custkey").cast("string"), 7, "0").alias("COD_MUN_IBGE"), F.col("c_name").alias("NOM_MUN"), F.lit("RR").alias("UF"), F.lit("N").alias("REG_UF")),
+        "socio": o.select(key, *[F.lit(1).alias(q) for q in ("Q001", "Q002", "Q003", "Q004", "Q006", "Q014")]),
+    }
+    back = A.read_star_exports(spark, A.export_star_csv(tables, scratch_path(spark, "notebook-star")))
+    found = A.fit_and_evaluate(spark, A.join_star(back))
+    rate = found.scored_hit_rate.first()[0]  # one number
+    return found.scored.withColumn("percentual_acerto", F.round(F.lit(rate).cast("double"), 6))
+
+
+# --------------------------------------------------------------------------
+# The two star tables that the other flows do not reach
+# --------------------------------------------------------------------------
+
+_CONDITIONS = """FL_AUT FL_BXA_VIS FL_CEG FL_DEF_AUD FL_DEF_FIS FL_DEF_MTL FL_DFC_ATC FL_DIS FL_DLX FL_GST FL_LAC FL_MDC FL_MDD_GLC
+FL_MRC_PSS FL_MSA_CAD_RDA FL_OUT_DEF FL_PTT_AUR FL_SBT FL_SDZ FL_SDZ_CEG FL_SND FL_VIS_MON""".split()
+
+
+def _condition_sql(year: int, rows: str, own: dict[str, str]) -> str:
+    return (f"SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS NUM_INS, '{year}' AS ANO_ENEM, "
+            + ", ".join(f"CAST({own.get(c, 'NULL')} AS INTEGER) AS {c}" for c in _CONDITIONS)
+            + f" FROM orders WHERE o_orderpriority <> '5-LOW' AND {rows}")
+
+
+@register("exam_condition_flow",
+          _condition_sql(2016, "o_orderkey % 2 = 0 AND (o_orderkey % 11 = 0 OR o_custkey % 13 = 0 OR o_custkey % 7 = 1)", {
+              "FL_AUT": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END", "FL_SBT": "CASE WHEN o_custkey % 13 = 0 THEN 1 ELSE 0 END",
+              "FL_GST": "CASE WHEN o_custkey % 7 = 1 THEN 1 WHEN o_custkey % 7 = 2 THEN NULL ELSE 0 END"})
+          + "\nUNION ALL " + _condition_sql(2018, "o_orderkey % 2 = 1 AND (o_orderkey % 11 = 0 OR o_custkey % 7 = 1)", {
+              "FL_AUT": "CASE WHEN o_orderkey % 11 = 0 THEN 1 ELSE 0 END", "FL_SBT": "0",
+              "FL_GST": "CASE WHEN o_custkey % 7 = 1 THEN 1 WHEN o_custkey % 7 = 2 THEN NULL ELSE 0 END"}))
+def q_exam_condition_flow(spark, sf):
+    """Raw text -> ... -> DIM_CONDICAO_ESPECIAL of the editions 2016 (its own
+    sabbath flag) and 2018 (the flag is the constant 0): routed when any of the
+    22 special conditions is set; a null flag is not set."""
+    from microstar.operators.quality import split_rejects
+    from microstar.plans.catalog import _exam_star
+    o = T(spark, sf, "orders")
+    flag = lambda cond: F.when(F.expr(cond), "1").otherwise("0")
+    cells = {"IN_AUTISMO": flag("o_orderkey % 11 = 0"), "IN_SABATISTA": flag("o_custkey % 13 = 0"),
+             "IN_GESTANTE": F.expr("CASE o_custkey % 7 WHEN 1 THEN '1' WHEN 2 THEN '-' ELSE '0' END")}
+    parts = [split_rejects(_exam_star(spark, sf, "DIM_CONDICAO_ESPECIAL", year, o.where(F.col("o_orderkey") % 2 == year // 2 % 2), **cells))[0]
+             for year in (2016, 2018)]
+    return parts[0].unionByName(parts[1])
+
+
+_STUDY = ("CASE {q} WHEN 0 THEN 'Não sei' WHEN 1 THEN 'Não estudou' WHEN 2 THEN 'Da 1ª à 4ª série do Ensino Fundamental (antigo primário)' "
+          "WHEN 3 THEN 'Não completou a 4ª série/5º ano do Ensino Fundamental.' WHEN 5 THEN 'Ensino Médio Incompleto' "
+          "WHEN 6 THEN 'Ensino Médio Completo' WHEN 7 THEN 'Ensino Superior Incompleto' WHEN 8 THEN 'Ensino Superior' "
+          "WHEN 9 THEN 'Pós-graduação' ELSE '' END")
+_YES_NO_SQL = "CASE {q} WHEN 0 THEN 'Não' WHEN 1 THEN 'Sim' ELSE '' END"
+
+#: Question of the star: its code from the staged letters, and its label.
+_SOCIO_SQL = {
+    1: ("CASE o_custkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 7 WHEN 5 THEN 8 WHEN 6 THEN 9 WHEN 7 THEN 0 END", _STUDY),
+    2: ("CASE o_orderkey % 9 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 2 WHEN 3 THEN 5 WHEN 4 THEN 6 WHEN 5 THEN 7 WHEN 6 THEN 8 WHEN 7 THEN 0 END", _STUDY),
+    13: ("CASE WHEN o_custkey % 20 < 3 THEN 1 WHEN o_custkey % 20 < 7 THEN 2 WHEN o_custkey % 20 < 10 THEN 3 ELSE 4 END",
+         "CASE {q} WHEN 1 THEN 'Uma a três' WHEN 2 THEN 'Quatro a sete' WHEN 3 THEN 'Oito a dez' WHEN 4 THEN 'Mais de dez' ELSE '' END"),
+    14: ("o_orderkey % 2", _YES_NO_SQL),
+    16: ("CASE WHEN o_custkey % 5 = 0 THEN 0 ELSE 1 END", _YES_NO_SQL),
+    33: ("CASE WHEN o_orderkey % 4 = 0 THEN 0 ELSE 1 END", _YES_NO_SQL),
+}
+
+
+def _socio_columns() -> str:
+    out = []
+    for n in range(1, 93):
+        code, label = _SOCIO_SQL.get(n, (None, None))
+        if code:
+            out.append(f"CAST(q{n} AS INTEGER) AS Q{n:03d}, {label.format(q=f'q{n}')} AS DSC_Q{n:03d}")
+        else:
+            kind = "VARCHAR" if n in (27, 35) else "INTEGER"
+            out.append(f"CAST(NULL AS {kind}) AS Q{n:03d}" + ("" if 73 <= n <= 91 else f", '' AS DSC_Q{n:03d}"))
+    return ",\n  ".join(out)
+
+
+@register("exam_socio_flow", f"""
+WITH s AS (SELECT lpad(CAST(o_orderkey AS VARCHAR), 12, '0') AS NUM_INS, {', '.join(f'{c} AS q{n}' for n, (c, _) in _SOCIO_SQL.items())}
+           FROM orders WHERE o_orderpriority <> '5-LOW')
+SELECT NUM_INS, '2019' AS ANO_ENEM,
+  {_socio_columns()}
+FROM s
+""")
+def q_exam_socio_flow(spark, sf):
+    """Raw text -> ... -> DIM_SOCIO_ECONOMICO of 2019 (167 columns): questions
+    renamed and crossed (Q001 and Q002 change places), letters recoded to the
+    standard codes, labels; questions the edition lacks are null, labelled ''."""
+    from microstar.operators.quality import split_rejects
+    from microstar.plans.catalog import _exam_star
+    letter = lambda e: F.expr(f"CASE WHEN {e} = 8 THEN '-' ELSE chr(65 + {e}) END")
+    cells = {"Q002": letter("o_custkey % 9"), "Q001": letter("o_orderkey % 9"), "Q005": F.expr("CAST(1 + o_custkey % 20 AS STRING)"),
+             "Q025": F.expr("chr(65 + o_orderkey % 2)"), "Q008": F.expr("chr(65 + o_custkey % 5)"), "Q007": F.expr("chr(65 + o_orderkey % 4)")}
+    good, _ = split_rejects(_exam_star(spark, sf, "DIM_SOCIO_ECONOMICO", **cells))
+    return good

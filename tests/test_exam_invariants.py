@@ -96,7 +96,7 @@ def test_command_line_load_and_analysis(spark, built, tmp_path):
     mun = curate_municipality(spark.read.parquet(f"{SF}/customer.parquet").select(
         F.lpad(F.col("c_custkey").cast("string"), 7, "1").alias("COD_MUN_IBGE"),
         F.col("c_name").alias("NOM_MUN"), F.col("c_nationkey").cast("string").alias("UF")))
-    tables = {k: (mun if k == "municipio" else spark.read.parquet(f"{cur}/{v}")) for k, v in A.STAR_EXPORTS.items()}
+    tables = {k: (mun if k == "municipio" else exam.read_star_table(spark, cur, v)) for k, v in A.STAR_EXPORTS.items()}
     A.export_star_csv(tables, str(tmp_path / "export"))
     assert main(["analyse", "--star", str(tmp_path / "export"), "--report", str(tmp_path / "report")]) == 0
     assert spark.read.parquet(str(tmp_path / "report" / "model")).count() == len(A.FEATURES) + 1
