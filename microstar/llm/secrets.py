@@ -16,8 +16,9 @@ import math
 import re
 from bisect import bisect_left, bisect_right
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,6 +87,23 @@ def _blocks(text: str) -> list[int]:
     return [0, *(m.end() for m in re.finditer(r"\n[\x20\t\r]*\n", text))]
 
 
+class _Cover:
+    """Intervals asked whether one of them holds or touches another; each question is one search."""
+
+    def __init__(self, spans: Iterable[tuple[int, int]]):
+        ordered = sorted(spans)
+        self.starts = [s for s, _ in ordered]
+        self.reach = list(accumulate((e for _, e in ordered), max))  # the farthest end so far
+
+    def holds(self, start: int, end: int) -> bool:
+        k = bisect_right(self.starts, start)
+        return k > 0 and self.reach[k - 1] >= end
+
+    def touches(self, start: int, end: int) -> bool:
+        k = bisect_left(self.starts, end)
+        return k > 0 and self.reach[k - 1] > start
+
+
 class _Near:
     """Sorted intervals of one part, asked for one within a scope."""
 
@@ -110,17 +128,16 @@ def find_secrets(text: str, scope: Scope = Scope()) -> tuple[list[tuple[int, int
     identifier and a secret.  Weak parts inside a base span are not parts.
     """
     base = base_spans(text)
-    taken = _Near([(s, e) for s, e, _ in base], [0], 0)
-    free = lambda s, e: not any(s < y and x < e for x, y in taken.spans)
-    ids = [m.span() for m in IDENTIFIER.finditer(text) if free(*m.span())] if "=" in text or ":" in text else []
+    taken = _Cover((s, e) for s, e, _ in base)
+    ids = [m.span() for m in IDENTIFIER.finditer(text) if not taken.touches(*m.span())] if "=" in text or ":" in text else []
     access = [(s, e) for s, e, kind in base if kind == "access"]
     strong = [(s, e) for s, e, kind in base if kind != "access"]
     if not (ids or access):  # without an identifier nothing weak is reported
         return base, sorted(base, key=_order)
-    ends = [m.span() for m in ENDPOINT.finditer(text) if free(*m.span())]
+    ends = [m.span() for m in ENDPOINT.finditer(text) if not taken.touches(*m.span())]
+    parts = _Cover(ends + ids)
     weak = [m.span() for m in SECRET.finditer(text)
-            if free(*m.span()) and _weak_secret(m[0], scope.entropy)
-            and not any(s <= m.start() and m.end() <= e for s, e in ends + ids)]
+            if not taken.touches(*m.span()) and not parts.holds(*m.span()) and _weak_secret(m[0], scope.entropy)]
     blocks = _blocks(text)
     identifiers = _Near(ids + access, blocks, scope.reach)
     secrets = _Near(weak + strong, blocks, scope.reach)
