@@ -282,7 +282,7 @@ def read(spark: SparkSession, folder: str, with_ids: bool = False) -> DataFrame:
                     if rows:
                         yield _batch(rows, names)
 
-    paths = manifest(spark, folder).select("path", "start").repartition(F.col("path"))
+    paths = files.one_a_task(manifest(spark, folder).select("path", "start"))
     return paths.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long"
                             + (", ids array<long>" if with_ids else ""))
 

@@ -254,7 +254,7 @@ def read(spark: SparkSession, folder: str, chunk_bytes: int = CHUNK_BYTES, with_
                 if rows:
                     yield _batch(rows, names, kinds)
 
-    paths = manifest(spark, folder).select("path").repartition(F.col("path"))
+    paths = files.one_a_task(manifest(spark, folder).select("path"))
     return paths.mapInArrow(run, schema)
 
 
