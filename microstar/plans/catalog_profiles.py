@@ -248,3 +248,43 @@ def q_exam_socio_flow(spark, sf):
              "Q025": F.expr("chr(65 + o_orderkey % 2)"), "Q008": F.expr("chr(65 + o_custkey % 5)"), "Q007": F.expr("chr(65 + o_orderkey % 4)")}
     good, _ = split_rejects(_exam_star(spark, sf, "DIM_SOCIO_ECONOMICO", **cells))
     return good
+
+
+# --------------------------------------------------------------------------
+# The stored dictionary
+# --------------------------------------------------------------------------
+
+@register("dictionary_stored", r"""
+WITH f AS (SELECT 'T_' || p_size % 7 AS TABELA, p_partkey AS SEQUENCIA, 'COD_' || p_size || '_X' || p_partkey % 3 AS CAMPO FROM part),
+t AS (SELECT 'T_' || r_regionkey AS TABELA, r_name || chr(10) || '"' || r_regionkey || '"' AS DESCRICAO_TABELA, 'DIM' AS TIPO_TABELA FROM region),
+d AS (SELECT DISTINCT 'COD_' || s_nationkey || '_X1' AS CAMPO, s_nationkey FROM supplier),
+m AS (SELECT 'X' || n_nationkey AS MNEMONICO, n_name AS DESCRICAO FROM nation WHERE n_nationkey < 2)
+SELECT f.TABELA, DESCRICAO_TABELA, TIPO_TABELA, CAST(f.SEQUENCIA AS INTEGER) AS SEQUENCIA, f.CAMPO,
+       CASE WHEN d.CAMPO IS NOT NULL THEN 'campo ' || s_nationkey END AS DESCRICAO_CAMPO_CLEANED,
+       CASE WHEN d.CAMPO IS NOT NULL THEN 'INT' END AS TIPO_DADOS, CAST(s_nationkey + 1 AS INTEGER) AS TAMANHO,
+       'Código ' || split_part(f.CAMPO, '_', 2) || ' ' || coalesce(m.DESCRICAO, split_part(f.CAMPO, '_', 3)) AS NOME_EXTENSO
+FROM f LEFT JOIN t ON f.TABELA = t.TABELA LEFT JOIN d ON f.CAMPO = d.CAMPO LEFT JOIN m ON split_part(f.CAMPO, '_', 3) = m.MNEMONICO
+""")
+def q_dictionary_stored(spark, sf):
+    """Dictionary sheets as delimited text (staged from part, region, supplier
+    and nation), read back with their types; fields with the descriptions of
+    their table and their own, and their names spelled out by mnemonics."""
+    from microstar.plans.dictionary import described_fields, read_dictionary, spelled_names
+    from microstar.sources.delimited import write_delimited
+    folder = scratch_path(spark, "dictionary")
+    sheets = {
+        "CAMPOS_CURATED": T(spark, sf, "part").selectExpr("concat('T_', p_size % 7) AS TABELA", "CAST(p_partkey AS INT) AS SEQUENCIA",
+                                                          "concat('COD_', p_size, '_X', p_partkey % 3) AS CAMPO"),
+        "TABELAS_CURATED": T(spark, sf, "region").selectExpr("concat('T_', r_regionkey) AS TABELA",
+                                                             "concat(r_name, chr(10), '\"', r_regionkey, '\"') AS DESCRICAO_TABELA", "'DIM' AS TIPO_TABELA"),
+        "DESCRICAO_CAMPOS_CURATED": T(spark, sf, "supplier").selectExpr(
+            "concat('COD_', s_nationkey, '_X1') AS NOME_CAMPO_CLEANED", "concat('campo ', s_nationkey) AS DESCRICAO_CAMPO_CLEANED", "'INT' AS TIPO_DADOS",
+            "CAST(s_nationkey + 1 AS INT) AS TAMANHO").distinct(),
+        "MNEMONICOS": T(spark, sf, "nation").where("n_nationkey < 2").selectExpr("concat('X', n_nationkey) AS MNEMONICO", "n_name AS DESCRICAO")
+                       .union(spark.sql("SELECT 'COD', 'Código'")),
+    }
+    for name, frame in sheets.items():
+        write_delimited(frame, f"{folder}/{name}", sep="\t", encoding="UTF-8")
+    stored = read_dictionary(spark, folder)
+    fields = described_fields(stored)
+    return fields.join(spelled_names(fields, stored["MNEMONICOS"]), "CAMPO")

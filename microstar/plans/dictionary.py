@@ -122,3 +122,50 @@ def filter_members(df: DataFrame, tables=None, years: tuple | None = None,
     if fields:
         out = out.where(F.col(field_col).between(fields[0], fields[1]))
     return out
+
+
+# ---- the stored dictionary: one delimited text per sheet ----
+
+#: Sheets of the dictionary workbooks and their columns.
+STORED_TABLES = {
+    "CAMPOS_CURATED": "TABELA string, SEQUENCIA int, CAMPO string",
+    "DESCRICAO_CAMPOS_CURATED": "NOME_CAMPO_CLEANED string, DESCRICAO_CAMPO_CLEANED string, TIPO_DADOS string, TAMANHO int",
+    "TABELAS_CURATED": "TABELA string, DESCRICAO_TABELA string, TIPO_TABELA string",
+    "DICIONARIO_RAW_CLEANED": "ANO string, TIPO_ARQUIVO string, SEQUENCIA int, NOME_CAMPO_RAW string, DESCRICAO_CAMPO_RAW string, "
+                              "NOME_CAMPO_CLEANED string, DESCRICAO_CAMPO_CLEANED string",
+    "DOMINIOS_RAW_CLEANED": "ANO string, NOME_CAMPO_RAW string, CODIGO_DOMINIO_RAW string, DESCRICAO_RAW string, "
+                            "NOME_CAMPO_CLEANED string, CODIGO_DOMINIO_CURATED int, DESCRICAO_CURATED string",
+    "MNEMONICOS": "MNEMONICO string, DESCRICAO string",
+}
+
+
+def read_dictionary(spark, folder: str, sep: str = "\t", encoding: str = "UTF-8") -> dict[str, DataFrame]:
+    """The stored dictionary tables under ``folder``, one delimited text (file or
+    folder) a sheet, with their declared types (S8).  Descriptions may hold
+    line breaks.  A sheet that is not there is left out."""
+    from microstar.sources.delimited import read_star_csv
+    found = {}
+    for name, schema in STORED_TABLES.items():
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{name}")
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            found[name] = read_star_csv(spark, f"{folder}/{name}", sep=sep, encoding=encoding, schema=schema, multiline=True)
+    return found
+
+
+def described_fields(tables: dict[str, DataFrame]) -> DataFrame:
+    """Fields of the star with their table's and their own description, type and size.
+
+    Fields without a description and tables without one stay, with nulls.
+    """
+    t = bounded_broadcast(tables["TABELAS_CURATED"])
+    d = tables["DESCRICAO_CAMPOS_CURATED"].withColumnRenamed("NOME_CAMPO_CLEANED", "CAMPO")
+    return (tables["CAMPOS_CURATED"].join(t, "TABELA", "left").join(d, "CAMPO", "left")
+            .select("TABELA", "DESCRICAO_TABELA", "TIPO_TABELA", "SEQUENCIA", "CAMPO", "DESCRICAO_CAMPO_CLEANED", "TIPO_DADOS", "TAMANHO"))
+
+
+def spelled_names(fields: DataFrame, mnemonics: DataFrame, name: str = "CAMPO") -> DataFrame:
+    """(name, NOME_EXTENSO): each part of a field name in words, unknown parts as they are."""
+    parts = fields.select(name).distinct().select(name, F.posexplode(F.split(name, "_")).alias("n", "MNEMONICO"))
+    words = parts.join(bounded_broadcast(mnemonics), "MNEMONICO", "left").select(
+        name, F.struct("n", F.coalesce("DESCRICAO", "MNEMONICO").alias("word")).alias("part"))
+    return words.groupBy(name).agg(F.array_join(F.transform(F.array_sort(F.collect_list("part")), lambda p: p["word"]), " ").alias("NOME_EXTENSO"))
