@@ -424,8 +424,12 @@ def _case_sql(expr: str, mapping: dict, default: str = "''") -> str:
 
 @register("label_codes", f"""
 SELECT l_orderkey, l_linenumber,
-       {_case_sql('l_linenumber', LABELS['DSC_SIT_RDC'])} AS DSC_SIT_RDC,
-       {_case_sql('l_linenumber - 1', LABELS['FL_PSC_TRAT'])} AS DSC_PSC
+       CASE trim(CAST(l_linenumber AS VARCHAR)) WHEN '0' THEN 'Anulada' WHEN '1' THEN 'Em branco' WHEN '3' THEN 'Presente'
+        WHEN '4' THEN 'Cópia de texto motivador' WHEN '5' THEN 'Não atendimento ao tipo textual'
+        WHEN '6' THEN 'Texto insuficiente' WHEN '7' THEN 'Fuga ao tema'
+        WHEN '8' THEN 'Parte do texto desconectada com o tema proposto' ELSE '' END AS DSC_SIT_RDC,
+       CASE trim(CAST(l_linenumber - 1 AS VARCHAR)) WHEN '0' THEN 'Faltou à prova' WHEN '1' THEN 'Presente na prova'
+        WHEN '2' THEN 'Eliminado na prova' ELSE '' END AS DSC_PSC
 FROM lineitem
 """)
 def q_label_codes(spark, sf):
@@ -1127,33 +1131,35 @@ def q_hit_rate(spark, sf):
     return _evaluation(spark, sf).agg(hit_rate("Percentual_da_Diferenca").alias("percentual_acerto"))
 
 
-def _recode_sql(expr: str, mapping: dict) -> str:
-    whens = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in mapping.items())
-    return f"CASE upper(trim({expr})) {whens} ELSE {expr} END"
-
-
-def _exam_2019_recodes():
-    from microstar.spec.recodes import recodes_for
-    return recodes_for(2019)
-
-
-_R19 = _exam_2019_recodes()
-
-
 @register("exam_schooling_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL}),
 c AS (SELECT NUM_INS,
-        {_recode_sql('ANO_CONCL', _R19['ANO_CCL_ENS_MED'])} AS ANO,
-        {_recode_sql('ST_CONCL', _R19['SIT_CCL_ENS_MED'])} AS SIT,
-        {_recode_sql('ESCOLA', _R19['TPO_ESC_ENS_MED'])} AS ESC,
-        {_recode_sql("coalesce(ENSINO, '-1')", _R19['TPO_ENS_ESC_ENS_MED'])} AS ENS
+        CASE upper(trim(ANO_CONCL)) WHEN '0' THEN '0' WHEN '13' THEN '1' WHEN '12' THEN '2' WHEN '11' THEN '3'
+        WHEN '10' THEN '4' WHEN '9' THEN '5' WHEN '8' THEN '6' WHEN '7' THEN '7' WHEN '6' THEN '8' WHEN '5' THEN '9'
+        WHEN '4' THEN '10' WHEN '3' THEN '11' WHEN '2' THEN '12' WHEN '1' THEN '13' WHEN 'A' THEN '1'
+        WHEN 'B' THEN '2' WHEN 'C' THEN '3' WHEN 'D' THEN '4' WHEN 'E' THEN '5' WHEN 'F' THEN '6' WHEN 'G' THEN '7'
+        WHEN 'H' THEN '8' WHEN 'I' THEN '9' WHEN 'J' THEN '10' WHEN 'K' THEN '11' WHEN 'L' THEN '12'
+        WHEN 'M' THEN '13' ELSE ANO_CONCL END AS ANO,
+        CASE upper(trim(ST_CONCL)) WHEN '4' THEN '0' WHEN '1' THEN '1' WHEN '2' THEN '2' WHEN '3' THEN '3' WHEN 'A' THEN '2'
+        WHEN 'B' THEN '3' ELSE ST_CONCL END AS SIT,
+        CASE upper(trim(ESCOLA)) WHEN '1' THEN '0' WHEN '2' THEN '1' WHEN '3' THEN '2' WHEN '4' THEN '3' ELSE ESCOLA END AS ESC,
+        CASE upper(trim(coalesce(ENSINO, '-1'))) WHEN '1' THEN '0' WHEN '3' THEN '2' WHEN '2' THEN '3' WHEN 'A' THEN '2'
+        WHEN 'B' THEN '3' ELSE coalesce(ENSINO, '-1') END AS ENS
       FROM s WHERE UF = 'RR')
 SELECT NUM_INS, '2019' AS ANO_ENEM, '' AS TPO_ESC_ENS_FDM_DET, '' AS TPO_ENS_ESC_ENS_FDM_DET, '' AS TRN_ENS_FDM,
-  {_case_sql('ANO', LABELS['ANO_CCL_ENS_MED_TRAT'])} AS ANO_CCL_ENS_MED,
-  {_case_sql('SIT', LABELS['SIT_CCL_ENS_MED_TRAT'])} AS SIT_CCL_ENS_MED,
-  {_case_sql('ESC', LABELS['TPO_ESC_ENS_MED_TRAT'])} AS TPO_ESC_ENS_MED,
+  CASE trim(CAST(ANO AS VARCHAR)) WHEN '0' THEN 'Não informado' WHEN '1' THEN 'Antes de 2007' WHEN '2' THEN '2007'
+        WHEN '3' THEN '2008' WHEN '4' THEN '2009' WHEN '5' THEN '2010' WHEN '6' THEN '2011' WHEN '7' THEN '2012'
+        WHEN '8' THEN '2013' WHEN '9' THEN '2014' WHEN '10' THEN '2015' WHEN '11' THEN '2016' WHEN '12' THEN '2017'
+        WHEN '13' THEN '2018' ELSE '' END AS ANO_CCL_ENS_MED,
+  CASE trim(CAST(SIT AS VARCHAR)) WHEN '0' THEN 'Não conclui e não estou cursando o Ensino Médio'
+        WHEN '1' THEN 'Já concluí'
+        WHEN '2' THEN 'Estou cursando e concluirei o Ensino Médio após o ano de aplicação da prova do ENEM'
+        WHEN '3' THEN 'Estou cursando e concluirei o Ensino Médio no ano de aplicação da prova do ENEM' ELSE '' END AS SIT_CCL_ENS_MED,
+  CASE trim(CAST(ESC AS VARCHAR)) WHEN '0' THEN 'Não Respondeu' WHEN '1' THEN 'Pública' WHEN '2' THEN 'Privada'
+        WHEN '3' THEN 'Exterior' ELSE '' END AS TPO_ESC_ENS_MED,
   '' AS TPO_ESC_ENS_MED_DET,
-  {_case_sql('ENS', LABELS['TPO_ENS_ESC_ENS_MED_TRAT'])} AS TPO_ENS_ESC_ENS_MED,
+  CASE trim(CAST(ENS AS VARCHAR)) WHEN '0' THEN 'Ensino Regular' WHEN '2' THEN 'Educação de Jovens e Adultos'
+        WHEN '3' THEN 'Ensino Especial' ELSE '' END AS TPO_ENS_ESC_ENS_MED,
   '' AS TPO_ENS_ESC_ENS_MED_DET, '' AS TRN_ENS_MED, '' AS FL_SOL_CTF_ENS_MED, CAST(NULL AS VARCHAR) AS NOM_ENT_CTF
 FROM c
 """)
@@ -1169,10 +1175,12 @@ def q_exam_schooling_flow(spark, sf):
 @register("exam_school_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL})
 SELECT NUM_INS, '2019' AS ANO_ENEM, COD_ESC, CAST(LOCAL_ESC AS INTEGER) AS COD_TPO_LCL_ESC,
-  {_case_sql('LOCAL_ESC', LABELS['DSC_TPO_LCL_ESC'])} AS DSC_TPO_LCL_ESC,
+  CASE trim(CAST(LOCAL_ESC AS VARCHAR)) WHEN '1' THEN 'Urbana' WHEN '2' THEN 'Rural' ELSE '' END AS DSC_TPO_LCL_ESC,
   CAST(coalesce(SIT_FUNC, '-1') AS INTEGER) AS FL_SIT_FUN_ESC,
-  {_case_sql("coalesce(SIT_FUNC, '-1')", LABELS['DSC_SIT_FUN_ESC'])} AS DSC_SIT_FUN_ESC,
-  CAST(DEP_ADM AS INTEGER) AS FL_DPD_ADM_ESC, {_case_sql('DEP_ADM', LABELS['DSC_DPD_ADM_ESC'])} AS DSC_DPD_ADM_ESC,
+  CASE trim(CAST(coalesce(SIT_FUNC, '-1') AS VARCHAR)) WHEN '1' THEN 'Em atividade' WHEN '2' THEN 'Paralisada'
+        WHEN '3' THEN 'Extinta' WHEN '4' THEN 'Escola extinta em anos anteriores' ELSE '' END AS DSC_SIT_FUN_ESC,
+  CAST(DEP_ADM AS INTEGER) AS FL_DPD_ADM_ESC, CASE trim(CAST(DEP_ADM AS VARCHAR)) WHEN '1' THEN 'Federal' WHEN '2' THEN 'Estadual' WHEN '3' THEN 'Municipal'
+        WHEN '4' THEN 'Privada' ELSE '' END AS DSC_DPD_ADM_ESC,
   MUN_ESC AS COD_MUN_ESC
 FROM s WHERE UF = 'RR' AND COD_ESC IS NOT NULL
 """)
@@ -1184,23 +1192,38 @@ def q_exam_school_flow(spark, sf):
     return good
 
 
-def _resources_sql() -> str:
-    from microstar.spec.star import STAR_COLUMNS
-    filled = {"FL_AMP": "CASE WHEN AMP18 <> '0' THEN 1 ELSE 0 END", "FL_LDR": "CAST(LEDOR AS INTEGER)",
-              "FL_PRV_DTD": "0", "FL_UND_PRI": "0"}
-    cols = []
-    for c in STAR_COLUMNS["DIM_RECURSO_DIFERENCIADO"]:
-        name = c if isinstance(c, str) else c[1]
-        if name in ("NUM_INS", "ANO_ENEM"):
-            continue
-        cols.append(f"{filled.get(name, 'CAST(NULL AS INTEGER)')} AS {name}")
-    return ",\n  ".join(cols)
-
-
 @register("exam_resources_flow", f"""
 WITH s AS ({_EXAM_STANDIN_SQL})
 SELECT NUM_INS, '2019' AS ANO_ENEM,
-  {_resources_sql()}
+  CAST(NULL AS INTEGER) AS FL_ACS,
+  CASE WHEN AMP18 <> '0' THEN 1
+        ELSE 0 END AS FL_AMP,
+  CAST(NULL AS INTEGER) AS FL_APO_PRN,
+  CAST(NULL AS INTEGER) AS FL_BRL,
+  CAST(NULL AS INTEGER) AS FL_CAD_ACO,
+  CAST(NULL AS INTEGER) AS FL_CAD_CAN,
+  CAST(NULL AS INTEGER) AS FL_CAD_ESP,
+  CAST(NULL AS INTEGER) AS FL_GUI_INT,
+  CAST(NULL AS INTEGER) AS FL_LAM_OVL,
+  CAST(NULL AS INTEGER) AS FL_LBR,
+  CAST(LEDOR AS INTEGER) AS FL_LDR,
+  CAST(NULL AS INTEGER) AS FL_LTR_LBL,
+  CAST(NULL AS INTEGER) AS FL_MAQ_BRL,
+  CAST(NULL AS INTEGER) AS FL_MOB_EPF,
+  CAST(NULL AS INTEGER) AS FL_MOB_OBS,
+  CAST(NULL AS INTEGER) AS FL_MSA_CAD_SPA,
+  CAST(NULL AS INTEGER) AS FL_MTR_EPF,
+  0 AS FL_PRV_DTD,
+  CAST(NULL AS INTEGER) AS FL_SEM_RCS,
+  CAST(NULL AS INTEGER) AS FL_SLA_ACP,
+  CAST(NULL AS INTEGER) AS FL_SLA_ESP,
+  CAST(NULL AS INTEGER) AS FL_SLA_IND,
+  CAST(NULL AS INTEGER) AS FL_SOL_CMP,
+  CAST(NULL AS INTEGER) AS FL_SRB,
+  CAST(NULL AS INTEGER) AS FL_TMP_ADC,
+  CAST(NULL AS INTEGER) AS FL_TRC,
+  CAST(NULL AS INTEGER) AS FL_UND_HSP,
+  0 AS FL_UND_PRI
 FROM s WHERE UF = 'RR' AND (AMP18 <> '0' OR LEDOR <> '0')
 """)
 def q_exam_resources_flow(spark, sf):
