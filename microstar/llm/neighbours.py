@@ -2,16 +2,19 @@
 
 Building: equal vectors become one node.  Random hyperplanes deal the nodes
 into blocks a few times over; the best partners inside a block start each
-node's list of ``degree`` neighbours.  Then, round by round, Spark joins
-every node's neighbours (both directions) with their vectors, and each such
-neighbourhood proposes its members to each other: neighbours of neighbours
-become neighbours when they are nearer than what a list holds.  Members that
-have met there in an earlier round are not compared again.  Rounds go on
-until hardly any list entry changes.
-
-Searching: a query keeps a beam of the nearest nodes seen.  Each hop sends
-it to the neighbourhoods of its nearest nodes not yet visited, until all of
-the beam is visited.  Distances on the way use vectors rounded to 8 bits;
+node's list of ``degree`` neighbours, and ``links`` of its entries are nodes
+dealt by hash, so that neighbours of neighbours leave the block.  Then, round
+by round, Spark joins the neighbours (both directions) of every node around
+which a list entry is new with their vectors, and each such neighbourhood
+proposes its members to each other: neighbours of neighbours become
+neighbours when they are nearer than what a list holds.  Members that have
+met there in an earlier round are not compared again.  Rounds go on until
+hardly any list entry changes.
+
+Searching: a query keeps a beam of the nearest nodes seen and starts from its
+own node and that node's random links; no node is an entry for all queries.
+Each hop sends it to the neighbourhoods of its nearest nodes not yet visited,
+until all of the beam is visited.  Distances on the way use vectors rounded to 8 bits;
 the scores returned are computed in double precision on the vectors given.
 
 All state is in tables keyed by node or query; nothing is held by one task
@@ -37,6 +40,7 @@ class Graph:
     """Parameters of the graph and its search."""
 
     degree: int = 32      # neighbours in a node's list
+    links: int = 4        # of them at the start: nodes dealt by hash; a query starts from them, too
     block: int = 1000     # nodes of a starting block, about
     deals: int = 4        # times the nodes are dealt into blocks
     rounds: int = 30      # of NN-descent, at most
@@ -44,7 +48,6 @@ class Graph:
     beam: int = 192       # nodes a query keeps
     visits: int = 48      # neighbourhoods a query visits in one hop
     hops: int = 16        # at most
-    pivots: int = 8       # fixed nodes every query starts from, besides its own
     rescored: int = 64    # nodes of the beam that are scored exactly (answers at least)
 
 
@@ -96,8 +99,14 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 def _codes(column: pa.Array) -> np.ndarray:
     """Rows of 8-bit codes as floats; products and sums of them are exact in single precision."""
-    joined = b"".join(column.to_pylist())
-    return np.frombuffer(joined, dtype=np.int8).reshape(len(column), -1).astype(np.float32)
+    return _bytes(column).reshape(len(column), -1).astype(np.float32)
+
+
+def _bytes(column: pa.Array) -> np.ndarray:
+    """All bytes of a binary column without nulls, one value after the other."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, dtype=np.int32)[column.offset:column.offset + len(column) + 1]
+    return np.frombuffer(data, dtype=np.int8)[ends[0]:ends[-1]]
 
 
 def _products(codes: np.ndarray, scales: np.ndarray, own: np.ndarray | None = None,
@@ -179,8 +188,9 @@ def starting_lists(vectors: DataFrame, count: int, graph: Graph, seed: int = 5)
 
     A block that comes out too large (many vectors in one direction) is
     split by a hash of the node, so no task ever holds more than a few
-    thousand vectors.
+    thousand vectors.  The lists leave room for the random links.
     """
+    keep = max(1, graph.degree - graph.links)
     bits = max(0, int(np.ceil(np.log2(max(count, 1) / graph.block))))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,7 +218,7 @@ def starting_lists(vectors: DataFrame, count: int, graph: Graph, seed: int = 5)
                 scores = _products(_codes(part.column("code").combine_chunks()),
                                    part.column("scale").to_numpy())
                 np.fill_diagonal(scores, -np.inf)
-                k = min(graph.degree, len(nodes) - 1)
+                k = min(keep, len(nodes) - 1)
                 best = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                 lists = np.take_along_axis(scores, best, axis=1)
                 offsets = pa.array(np.arange(len(nodes) + 1, dtype=np.int32) * k)
@@ -223,34 +233,90 @@ def starting_lists(vectors: DataFrame, count: int, graph: Graph, seed: int = 5)
     cells = (dealt.join(sizes, "block")
              .withColumn("cell", F.xxhash64("block", F.pmod(F.xxhash64("node", "block"), F.col("parts"))))
              .select("cell", "node", "code", "scale"))
-    return merged(_by_key(cells, "cell", search, _LIST), graph.degree)
+    return merged(_by_key(cells, "cell", search, _LIST), keep)
 
 
-def neighbourhoods(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
-    """(node, members): each node's neighbours in both directions with vector and worst listed score.
+def random_links(vectors: DataFrame, count: int, graph: Graph) -> DataFrame:
+    """Lists of up to ``links`` nodes: in each of as many deals by hash, the node that follows in the cell."""
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            table = table.combine_chunks()
+            cell, nodes, scale = (table.column(name).to_numpy() for name in ("cell", "node", "scale"))
+            begins = np.flatnonzero(np.append(True, np.diff(cell) != 0))
+            follower = np.arange(1, len(cell) + 1)
+            follower[np.append(begins[1:], len(cell)) - 1] = begins
+            code = _codes(table.column("code").combine_chunks())
+            score = np.einsum("ij,ij->i", code, code[follower]) * scale * scale[follower]
+            at = np.flatnonzero(follower != np.arange(len(cell)))
+            at = at[np.argsort(nodes[at], kind="stable")]
+            if len(at):
+                owner, ids, scores, _ = _best(nodes[at], nodes[follower[at]], score[at], graph.links)
+                yield _list_batch(owner, ids, scores, np.ones(len(owner), dtype=bool))
+
+    cells = max(1, -(-count // graph.block))
+    dealt = vectors.withColumn("deal", F.explode(F.sequence(F.lit(1), F.lit(graph.links)))).withColumn(
+        "order", F.xxhash64("node", "deal"))
+    rows = dealt.select((F.pmod("order", F.lit(cells)) * graph.links + F.col("deal")).alias("cell"), "order", "node", "code", "scale")
+    found = rows.repartition(F.col("cell")).sortWithinPartitions("cell", "order").mapInArrow(link, _LIST)
+    return merged(found, graph.links)
+
+
+def neighbourhoods(lists: DataFrame, graph: Graph, fresh_only: bool = False) -> DataFrame:
+    """(node, other, fresh): each node's neighbours in both directions, once each.
 
     Of the nodes that list a node, the ``degree`` nearest count, so a node
-    that very many list has no larger neighbourhood than others.
+    that very many list has no larger neighbourhood than others.  With
+    ``fresh_only`` the neighbourhoods without a fresh entry are left out.
     """
     edges = lists.select("node", F.explode(F.arrays_zip("ids", "scores", "fresh")).alias("e")).select(
         "node", F.col("e.ids").alias("other"), F.col("e.scores").alias("score"), F.col("e.fresh").alias("fresh"))
     rank = F.row_number().over(W.partitionBy("node").orderBy(F.desc("score"), "other"))
     back = (edges.select(F.col("other").alias("node"), F.col("node").alias("other"), "score", "fresh")
-            .withColumn("rank", rank).where(F.col("rank") <= graph.degree).drop("rank"))
-    worst = lists.select(F.col("node").alias("other"), F.when(
-        F.size("scores") >= graph.degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
-    own = vectors.withColumnRenamed("node", "other").join(worst, "other")
-    both = edges.union(back).groupBy("node", "other").agg(F.max("fresh").alias("fresh"))
-    return (both.join(own, "other").groupBy("node")
-            .agg(F.collect_list(F.struct(F.col("other").alias("id"), "code", "scale", "worst", "fresh")).alias("members")))
+            .withColumn("rank", rank).where(F.col("rank") <= graph.degree))
 
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            if not table.num_rows:
+                continue
+            node, other, fresh = (c.to_numpy() for c in table.columns)
+            order = np.lexsort((other, node))
+            node, other, fresh = node[order], other[order], fresh[order].astype(bool)
+            first = np.flatnonzero(np.append(True, (np.diff(node) != 0) | (np.diff(other) != 0)))
+            node, other, fresh = node[first], other[first], np.logical_or.reduceat(fresh, first)
+            if fresh_only:
+                begins = np.flatnonzero(np.append(True, np.diff(node) != 0))
+                some = np.repeat(np.logical_or.reduceat(fresh, begins), np.diff(np.append(begins, len(node))))
+                node, other, fresh = node[some], other[some], fresh[some]
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(other), pa.array(fresh)], ["node", "other", "fresh"])
+
+    columns = ["node", "other", "fresh"]
+    return _by_key(edges.select(columns).union(back.select(columns)), "node", once, "node long, other long, fresh boolean")
 
-def _members(column: pa.ListArray) -> tuple[np.ndarray, ...]:
-    """(bounds, ids, codes, scales, worst, fresh) of a batch of neighbourhoods."""
-    bounds = np.concatenate(([0], np.cumsum(column.value_lengths().to_numpy(zero_copy_only=False))))
-    values = column.flatten()
-    return (bounds, values.field(0).to_numpy(zero_copy_only=False), _codes(values.field(1)),
-            *(values.field(i).to_numpy(zero_copy_only=False) for i in (2, 3, 4)))
+
+def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
+    ends = [*(np.flatnonzero(np.diff(keys)) + 1).tolist(), len(keys)] if len(keys) else []
+    return list(zip([0, *ends], ends))
+
+
+def around(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
+    """(node, ids, codes, scales): each node's neighbourhood, its members' codes one after the other."""
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches):
+            if not table.num_rows:
+                continue
+            table = table.combine_chunks()
+            node, other, scale = (table.column(name).to_numpy() for name in ("node", "other", "scale"))
+            code = _bytes(table.column("code").combine_chunks()).reshape(len(node), -1)
+            groups = _groups(node)
+            ends = pa.array([0, *[b for _, b in groups]], pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(node[[a for a, _ in groups]]), pa.ListArray.from_arrays(ends, pa.array(other)),
+                 pa.array([code[a:b].tobytes() for a, b in groups], pa.binary()),
+                 pa.ListArray.from_arrays(ends, pa.array(scale))], ["node", "ids", "codes", "scales"])
+
+    members = (neighbourhoods(lists, graph).select("node", "other").join(vectors.withColumnRenamed("node", "other"), "other")
+               .select("node", "other", "code", "scale"))
+    return _by_key(members, "node", pack, "node long, ids array<long>, codes binary, scales array<float>")
 
 
 def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
@@ -263,12 +329,15 @@ def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
 
     def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found, held = [], 0
-        for batch in batches:
-            if not batch.num_rows:
+        for table in whole_groups(batches):
+            if not table.num_rows:
                 continue
-            bounds, ids, codes, scales, worst, fresh = _members(batch.column(1))
-            for a, b in zip(bounds, bounds[1:]):
-                if b - a < 2 or not fresh[a:b].any():
+            table = table.combine_chunks()
+            node, ids, scales, worst, fresh = (
+                table.column(name).to_numpy() for name in ("node", "other", "scale", "worst", "fresh"))
+            codes, fresh = _codes(table.column("code").combine_chunks()), fresh.astype(bool)
+            for a, b in _groups(node):
+                if b - a < 2:
                     continue
                 scores = _products(codes[a:b], scales[a:b])
                 np.fill_diagonal(scores, -np.inf)
@@ -283,14 +352,19 @@ def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
         if found:
             yield from proposed(found)
 
-    proposals = neighbourhoods(lists, vectors, graph).mapInArrow(propose, _LIST)
+    worst = lists.select(F.col("node").alias("other"), F.when(
+        F.size("scores") >= graph.degree, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float").alias("worst"))
+    own = vectors.withColumnRenamed("node", "other").join(worst, "other")
+    members = neighbourhoods(lists, graph, fresh_only=True).join(own, "other").select(
+        "node", "other", "code", "scale", "worst", "fresh")
+    proposals = _by_key(members, "node", propose, _LIST)
     known = lists.withColumn("fresh", F.transform("fresh", lambda _: F.lit(False)))
     return merged(known.union(proposals), graph.degree)
 
 
-def build(vectors: DataFrame, count: int, graph: Graph = Graph()) -> DataFrame:
+def build(vectors: DataFrame, links: DataFrame, count: int, graph: Graph = Graph()) -> DataFrame:
     """The neighbour lists (node, ids, scores) of all vectors, as a written table."""
-    lists = written(starting_lists(vectors, count, graph), "ann-lists")
+    lists = written(merged(starting_lists(vectors, count, graph).union(links), graph.degree), "ann-lists")
     for _ in range(graph.rounds):
         lists = written(descended(lists, vectors, graph), "ann-lists")
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("ids"))).first()[0]
@@ -306,19 +380,21 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
     """(query, ids, scores): the beam of every query after greedy search.
 
     ``queries`` has (query, code, scale), ``entries`` (query, node) the nodes
-    to start from, ``around`` the neighbourhoods.
+    to start from, ``around`` the packed neighbourhoods.
     """
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Queries at a neighbourhood: score its members, report those that may enter the beam."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            bounds, ids, codes, scales, _, _ = _members(batch.column(4))
             own = _codes(batch.column(1))
             own_scale, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
+            bounds = np.concatenate(([0], np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))))
+            ids, scales = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 6))
+            codes = _bytes(batch.column(5)).reshape(len(ids), -1)
             out_ids, out_scores, lengths = [], [], []
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                value = (codes[a:b] @ own[i]) * own_scale[i] * scales[a:b]
+                value = (codes[a:b].astype(np.float32) @ own[i]) * own_scale[i] * scales[a:b]
                 good = value > least[i]
                 out_ids.append(ids[a:b][good])
                 out_scores.append(value[good])
@@ -364,7 +440,7 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
             visited = F.transform("ids", lambda x: F.array_contains("next", x))
             last = state.withColumn("next", next_ids).select(
                 "query", "code", "scale", "ids", "scores", F.zip_with("seen", visited, lambda s, n: s | n).alias("seen"))
-        reports = visits.join(around, "node").select("query", "code", "scale", "least", "members").mapInArrow(
+        reports = visits.join(around, "node").select("query", "code", "scale", "least", "ids", "codes", "scales").mapInArrow(
             step, "query long, ids array<long>, scores array<float>")
         reports = reports.select("query", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"),
                                  "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("seen"))
@@ -395,16 +471,16 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     nodes = written(nodes_of(rows), "ann-nodes")
     vectors = written(coded(nodes), "ann-codes")
     count = vectors.count()
-    around = written(neighbourhoods(build(vectors, count, graph), vectors, graph), "ann-around")
+    links = written(random_links(vectors, count, graph), "ann-links")
+    near = written(around(build(vectors, links, count, graph), vectors, graph), "ann-around")
 
     asked = written(rows.where(is_query).select("vec_id", "vector").distinct()
                     .join(nodes, "vector").select("vec_id", "node", "vector"), "ann-queries")
     start = asked.select("node").distinct()  # equal queries search once
-    pivots = [r.node for r in vectors.select("node").orderBy(F.xxhash64("node"), "node").limit(graph.pivots).collect()]
-    first = F.array_distinct(F.array(F.col("node"), *[F.lit(p).cast("long") for p in pivots]))
-    entries = start.select(F.col("node").alias("query"), F.explode(first).alias("node"))
+    entries = start.select(F.col("node").alias("query"), "node").union(
+        links.join(start, "node").select("node", F.explode("ids")))
     beams = search(vectors.withColumnRenamed("node", "query").join(start.withColumnRenamed("node", "query"), "query"),
-                   entries, around, graph)
+                   entries, near, graph)
 
     member = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     members = (rows.select("vec_id", "vector").distinct().withColumn("n", member).where(F.col("n") <= answers + 1)
