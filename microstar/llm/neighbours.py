@@ -28,6 +28,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -299,7 +300,7 @@ def _groups(keys: np.ndarray) -> list[tuple[int, int]]:
 
 
 def around(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
-    """(node, ids, codes, scales): each node's neighbourhood, its members' codes one after the other."""
+    """(node, ids, codes, scales): each node's neighbourhood, its members' values as bytes, one after the other."""
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in whole_groups(batches):
             if not table.num_rows:
@@ -308,15 +309,13 @@ def around(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
             node, other, scale = (table.column(name).to_numpy() for name in ("node", "other", "scale"))
             code = _bytes(table.column("code").combine_chunks()).reshape(len(node), -1)
             groups = _groups(node)
-            ends = pa.array([0, *[b for _, b in groups]], pa.int32())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(node[[a for a, _ in groups]]), pa.ListArray.from_arrays(ends, pa.array(other)),
-                 pa.array([code[a:b].tobytes() for a, b in groups], pa.binary()),
-                 pa.ListArray.from_arrays(ends, pa.array(scale))], ["node", "ids", "codes", "scales"])
+            packed = [pa.array([x[a:b].tobytes() for a, b in groups], pa.binary()) for x in (other, code, scale)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[[a for a, _ in groups]]), *packed],
+                                             ["node", "ids", "codes", "scales"])
 
     members = (neighbourhoods(lists, graph).select("node", "other").join(vectors.withColumnRenamed("node", "other"), "other")
                .select("node", "other", "code", "scale"))
-    return _by_key(members, "node", pack, "node long, ids array<long>, codes binary, scales array<float>")
+    return _by_key(members, "node", pack, "node long, ids binary, codes binary, scales binary")
 
 
 def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
@@ -373,7 +372,7 @@ def build(vectors: DataFrame, links: DataFrame, count: int, graph: Graph = Graph
     return lists
 
 
-_STATE = "query long, code binary, scale float, ids array<long>, scores array<float>, seen array<boolean>"
+_STATE = "query long, code binary, scale float, ids array<long>, scores array<float>, seen array<boolean>, next array<long>"
 
 
 def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Graph) -> DataFrame:
@@ -389,8 +388,9 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
                 continue
             own = _codes(batch.column(1))
             own_scale, least = (batch.column(i).to_numpy(zero_copy_only=False) for i in (2, 3))
-            bounds = np.concatenate(([0], np.cumsum(batch.column(4).value_lengths().to_numpy(zero_copy_only=False))))
-            ids, scales = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (4, 6))
+            sizes = pc.binary_length(batch.column(4)).to_numpy(zero_copy_only=False) // 8
+            bounds = np.concatenate(([0], np.cumsum(sizes)))
+            ids, scales = _bytes(batch.column(4)).view(np.int64), _bytes(batch.column(6)).view(np.float32)
             codes = _bytes(batch.column(5)).reshape(len(ids), -1)
             out_ids, out_scores, lengths = [], [], []
             for i, (a, b) in enumerate(zip(bounds, bounds[1:])):
@@ -406,7 +406,7 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
                 ["query", "ids", "scores"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The beam of each query from its last one and the reports."""
+        """The beam of each query from its last one and the reports, and the nodes it visits next: the best not yet seen."""
         for table in whole_groups(batches):
             table = table.combine_chunks()
             owner, (ids, scores, seen) = _flat(table, 0, [3, 4, 5])
@@ -415,17 +415,20 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
             has = np.asarray(table.column("code").is_valid())
             mine = dict(zip(keys[has].tolist(), np.flatnonzero(has).tolist()))
             found, starts = np.unique(owner, return_index=True)
+            new = np.cumsum(~seen)
+            new -= np.repeat(new[starts] - ~seen[starts], np.diff(np.append(starts, len(owner))))
+            coming = ~seen & (new <= graph.visits)
+            next_ends = pa.array(np.append(0, np.cumsum(coming))[np.append(starts, len(owner))], pa.int32())
             at = pa.array([mine[k] for k in found.tolist()], pa.int64())
             ends = pa.array(np.append(starts, len(owner)), pa.int32())
             take = lambda name: table.column(name).take(at).combine_chunks()
             if len(found):
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(found), take("code"), take("scale"), pa.ListArray.from_arrays(ends, pa.array(ids)),
-                     pa.ListArray.from_arrays(ends, pa.array(scores)), pa.ListArray.from_arrays(ends, pa.array(seen))],
-                    ["query", "code", "scale", "ids", "scores", "seen"])
+                     pa.ListArray.from_arrays(ends, pa.array(scores)), pa.ListArray.from_arrays(ends, pa.array(seen | coming)),
+                     pa.ListArray.from_arrays(next_ends, pa.array(ids[coming]))],
+                    ["query", "code", "scale", "ids", "scores", "seen", "next"])
 
-    unseen = F.filter(F.arrays_zip("ids", "seen"), lambda e: ~e["seen"])
-    next_ids = F.transform(F.slice(unseen, 1, graph.visits), lambda e: e["ids"])  # beams are sorted, best first
     least = F.when(F.size("scores") >= graph.beam, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
     state = queries
     for hop in range(graph.hops):
@@ -436,16 +439,14 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
                                   F.lit(None).cast("array<float>").alias("scores"),
                                   F.lit(None).cast("array<boolean>").alias("seen"))
         else:
-            visits = state.select("query", "code", "scale", least.alias("least"), F.explode(next_ids).alias("node"))
-            visited = F.transform("ids", lambda x: F.array_contains("next", x))
-            last = state.withColumn("next", next_ids).select(
-                "query", "code", "scale", "ids", "scores", F.zip_with("seen", visited, lambda s, n: s | n).alias("seen"))
+            visits = state.select("query", "code", "scale", least.alias("least"), F.explode("next").alias("node"))
+            last = state.drop("next")
         reports = visits.join(around, "node").select("query", "code", "scale", "least", "ids", "codes", "scales").mapInArrow(
             step, "query long, ids array<long>, scores array<float>")
         reports = reports.select("query", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("float").alias("scale"),
                                  "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("seen"))
         state = written(_by_key(last.union(reports), "query", gather, _STATE), "ann-beams")
-        if not state.where(F.exists("seen", lambda s: ~s)).limit(1).count():
+        if not state.where(F.size("next") > 0).limit(1).count():
             break
     return state.select("query", "ids", "scores")
 
@@ -467,7 +468,7 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     share an id count once for each of their vectors.  Other columns are not
     read.  An empty table gives an empty result.
     """
-    rows = valid_vectors(table, id_col, vector_col)
+    rows = written(valid_vectors(table, id_col, vector_col), "ann-rows")
     nodes = written(nodes_of(rows), "ann-nodes")
     vectors = written(coded(nodes), "ann-codes")
     count = vectors.count()
