@@ -44,11 +44,9 @@ class Graph:
     links: int = 4        # of them at the start: nodes dealt by hash; a query starts from them, too
     block: int = 1000     # nodes of a starting block, about
     deals: int = 4        # times the nodes are dealt into blocks
-    rounds: int = 30      # of NN-descent, at most
     settled: float = 0.01 # share of list entries that change in the last round
-    beam: int = 192       # nodes a query keeps
-    visits: int = 48      # neighbourhoods a query visits in one hop
-    hops: int = 16        # at most
+    beam: int = 32        # nodes a query keeps for each doubling of the nodes
+    visits: int = 64      # neighbourhoods a query visits in one hop
     rescored: int = 64    # nodes of the beam that are scored exactly (answers at least)
 
 
@@ -364,19 +362,18 @@ def descended(lists: DataFrame, vectors: DataFrame, graph: Graph) -> DataFrame:
 def build(vectors: DataFrame, links: DataFrame, count: int, graph: Graph = Graph()) -> DataFrame:
     """The neighbour lists (node, ids, scores) of all vectors, as a written table."""
     lists = written(merged(starting_lists(vectors, count, graph).union(links), graph.degree), "ann-lists")
-    for _ in range(graph.rounds):
+    while True:  # lists only ever improve, so this ends
         lists = written(descended(lists, vectors, graph), "ann-lists")
         changed = lists.agg(F.sum(F.size(F.filter("fresh", lambda x: x))) / F.sum(F.size("ids"))).first()[0]
         if not changed or changed < graph.settled:
-            break
-    return lists
+            return lists
 
 
 _STATE = "query long, code binary, scale float, ids array<long>, scores array<float>, seen array<boolean>, next array<long>"
 
 
-def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Graph) -> DataFrame:
-    """(query, ids, scores): the beam of every query after greedy search.
+def search(queries: DataFrame, entries: DataFrame, around: DataFrame, beam: int, visits_a_hop: int) -> DataFrame:
+    """(query, ids, scores): the ``beam`` best nodes of every query after greedy search.
 
     ``queries`` has (query, code, scale), ``entries`` (query, node) the nodes
     to start from, ``around`` the packed neighbourhoods.
@@ -410,14 +407,14 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
         for table in whole_groups(batches):
             table = table.combine_chunks()
             owner, (ids, scores, seen) = _flat(table, 0, [3, 4, 5])
-            owner, ids, scores, (seen,) = _best(owner, ids, scores, graph.beam, seen.astype(bool))
+            owner, ids, scores, (seen,) = _best(owner, ids, scores, beam, seen.astype(bool))
             keys = table.column("query").to_numpy()
             has = np.asarray(table.column("code").is_valid())
             mine = dict(zip(keys[has].tolist(), np.flatnonzero(has).tolist()))
             found, starts = np.unique(owner, return_index=True)
             new = np.cumsum(~seen)
             new -= np.repeat(new[starts] - ~seen[starts], np.diff(np.append(starts, len(owner))))
-            coming = ~seen & (new <= graph.visits)
+            coming = ~seen & (new <= visits_a_hop)
             next_ends = pa.array(np.append(0, np.cumsum(coming))[np.append(starts, len(owner))], pa.int32())
             at = pa.array([mine[k] for k in found.tolist()], pa.int64())
             ends = pa.array(np.append(starts, len(owner)), pa.int32())
@@ -429,10 +426,10 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
                      pa.ListArray.from_arrays(next_ends, pa.array(ids[coming]))],
                     ["query", "code", "scale", "ids", "scores", "seen", "next"])
 
-    least = F.when(F.size("scores") >= graph.beam, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
-    state = queries
-    for hop in range(graph.hops):
-        if hop == 0:  # the entry nodes are visited; no beam yet
+    least = F.when(F.size("scores") >= beam, F.array_min("scores")).otherwise(F.lit(float("-inf"))).cast("float")
+    state = None
+    while True:  # a node that left a beam never returns, so this ends
+        if state is None:  # the entry nodes are visited; no beam yet
             visits = queries.join(entries, "query").select("query", "code", "scale",
                                                             F.lit(float("-inf")).cast("float").alias("least"), "node")
             last = queries.select("query", "code", "scale", F.lit(None).cast("array<long>").alias("ids"),
@@ -447,8 +444,7 @@ def search(queries: DataFrame, entries: DataFrame, around: DataFrame, graph: Gra
                                  "ids", "scores", F.transform("ids", lambda _: F.lit(False)).alias("seen"))
         state = written(_by_key(last.union(reports), "query", gather, _STATE), "ann-beams")
         if not state.where(F.size("next") > 0).limit(1).count():
-            break
-    return state.select("query", "ids", "scores")
+            return state.select("query", "ids", "scores")
 
 
 def inner_product(a: Column, b: Column) -> Column:
@@ -481,7 +477,7 @@ def nearest(table: DataFrame, is_query: Column, id_col: str = "vec_id", vector_c
     entries = start.select(F.col("node").alias("query"), "node").union(
         links.join(start, "node").select("node", F.explode("ids")))
     beams = search(vectors.withColumnRenamed("node", "query").join(start.withColumnRenamed("node", "query"), "query"),
-                   entries, near, graph)
+                   entries, near, graph.beam * max(1, count).bit_length(), graph.visits)
 
     member = F.row_number().over(W.partitionBy("vector").orderBy("vec_id"))
     members = (rows.select("vec_id", "vector").distinct().withColumn("n", member).where(F.col("n") <= answers + 1)

@@ -250,7 +250,7 @@ def test_neighbours_with_copies_and_invalid_vectors(spark):
     bad = [(1000, None), (1020, [0.0] * 16), (1040, [float("nan")] + [1.0] * 15), (1060, [None] + [1.0] * 15),
            (1080, [float("inf")] + [1.0] * 15), (1100, [1.0]), (None, [1.0] * 16)]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows + bad], "vec_id long, embedding array<double>, node long, code int")
-    graph = neighbours.Graph(degree=16, block=100, deals=2, rounds=2, beam=64, visits=16)
+    graph = neighbours.Graph(degree=16, block=100, deals=2, beam=8, visits=16)
     got = defaultdict(dict)
     for r in neighbours.nearest(table, F.col("vec_id") % 20 == 0, answers=10, graph=graph).collect():
         got[r.query_id][r["rank"]] = (r.vec_id, r.score)
@@ -272,6 +272,52 @@ def test_neighbours_with_copies_and_invalid_vectors(spark):
     assert neighbours.nearest(empty(table), F.col("vec_id") == 0, graph=graph).count() == 0
 
 
+def _recall(found, ids, x, answers=20):
+    place = {int(v): i for i, v in enumerate(ids)}
+    hits = total = 0
+    for q, part in found.groupby("query_id"):
+        assert part.sort_values("rank")["rank"].tolist() == list(range(1, answers + 1))
+        scores = x @ x[place[q]]
+        scores[place[q]] = -np.inf
+        least = np.sort(scores)[-answers]
+        hits += (scores[[place[v] for v in part.vec_id]] >= least - 1e-9).sum()
+        total += answers
+    return hits / total
+
+
+def _sphere(spark, n, width):
+    x = np.random.default_rng(8).normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    return x, spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_neighbours_with_default_parameters(spark):
+    x, table = _sphere(spark, 4000, 32)
+    found = neighbours.nearest(table, F.col("vec_id") % 20 == 0).toPandas()
+    assert found.query_id.nunique() == 200 and _recall(found, range(4000), x) >= 0.95
+
+
+def test_random_links_connect_blocks_of_one_deal(spark):
+    x, table = _sphere(spark, 2000, 16)
+    graph = neighbours.Graph(degree=16, block=100, deals=1)
+    vectors = neighbours.coded(neighbours.nodes_of(neighbours.valid_vectors(table, "vec_id", "embedding"))).persist()
+    links = neighbours.random_links(vectors, 2000, graph).persist()
+    assert links.count() == 2000 and links.selectExpr("max(size(ids))").first()[0] <= graph.links
+    scores = x @ x.T
+    np.fill_diagonal(scores, -np.inf)
+    true = np.argsort(-scores, axis=1)[:, :16]
+    lists = {r.node: set(r.ids) for r in neighbours.build(vectors, links, 2000, graph).collect()}
+    assert sum(len(lists[i] & set(t.tolist())) for i, t in enumerate(true)) >= 0.9 * true.size
+
+
+def test_neighbours_ties_at_the_last_rank_and_repeated_rows(spark):
+    # ids 1..30 hold one vector: the 20 smallest of them answer, and a repeated row answers once
+    rows = [(0, [1.0, 0.0])] + [(i, [0.5, 0.5]) for i in range(1, 31)] + [(0, [1.0, 0.0]), (7, [0.5, 0.5])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = neighbours.nearest(table, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [(r["rank"], r.vec_id, r.score) for r in found] == [(i, i, 0.5) for i in range(1, 21)]
+
+
 def test_whole_groups_never_split_a_key():
     import pyarrow as pa
     draw = random.Random(6)
