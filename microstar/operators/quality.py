@@ -41,10 +41,12 @@ def enforce_schema(df: DataFrame, spec: list[FieldSpec], checks: list | None = N
     dropped.  ``checks`` are extra (condition, reason) pairs tested before the
     field checks (row-level rules such as a malformed line).
 
-    A row is made and checked once, as one struct that ``inline`` takes apart
-    again: filters on the reason stay above it.  Pushed below, they would
-    repeat every check and every cast, and the optimizer would carry them as
-    constraints through each rename, doubling their number at each.
+    The reason is made once, in a projection (compiled, unlike what a
+    generator evaluates), and passes through an ``inline`` of its own: filters
+    on it stay above.  Pushed below, they would repeat every check, and the
+    optimizer would carry them as constraints through each rename, doubling
+    their number at each.  The columns go past it, so those that nobody reads
+    are not made.
     """
     conds = list(checks or [])
     cols = []
@@ -52,8 +54,9 @@ def enforce_schema(df: DataFrame, spec: list[FieldSpec], checks: list | None = N
         src = F.col(f.name)
         conds += _checks(src, f)
         cols.append(src if f.type == "string" else src.try_cast(f.type).alias(f.name))
-    reason = first_reason(conds).alias(REJECT_COL)
-    return df.select(F.inline(F.array(F.struct(*cols, reason))))
+    made = df.withColumn("_checked", first_reason(conds))
+    barrier = F.inline(F.array(F.struct(F.col("_checked").alias(REJECT_COL))))
+    return made.select(*[F.col(f.name) for f in spec], barrier).select(*cols, REJECT_COL)
 
 
 def first_reason(conds: list[tuple[Column, str]]) -> Column:

@@ -23,6 +23,8 @@ from pyspark.sql.types import StructType
 from microstar.operators.quality import REJECT_COL
 
 STATUS, GOOD, REJECTED = "_status", "good", "rejected"
+#: Files that a writing task keeps open at once; with more statuses and editions it sorts the rest of its rows.
+OPEN_FILES = 16
 
 
 @dataclass(frozen=True)
@@ -109,8 +111,14 @@ class Publication:
         folder = f"{self.root}/{table}/load-{uuid.uuid4().hex[:16]}"
         status = F.when(F.col(REJECT_COL).isNull(), GOOD).otherwise(REJECTED)
         parts = [STATUS] + ([edition_column] if edition_column else [])
-        # the folder's name shows an edition, and keeps it apart from a null one
-        checked.withColumn(STATUS, status).write.partitionBy(*parts).parquet(folder)
+        # a file open for each status and edition, so that the wide rows need not be sorted by them
+        writers, before = "spark.sql.maxConcurrentOutputFileWriters", self.spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+        self.spark.conf.set(writers, str(OPEN_FILES))
+        try:
+            # the folder's name shows an edition, and keeps it apart from a null one
+            checked.withColumn(STATUS, status).write.partitionBy(*parts).parquet(folder)
+        finally:
+            self.spark.conf.set(writers, before)
         return Staged(table, folder, checked.schema.json(), edition_column)
 
     def rows(self, staged: Staged, status: str = GOOD, editions: Iterable[str] | None = None) -> DataFrame:

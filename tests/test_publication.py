@@ -116,3 +116,28 @@ def test_loads_of_editions_keep_one_row_a_key(spark, tmp_path):
     again = exam.load_editions(spark, {2018: raw[2018]}, out, tables=["DIM_LOCAL_PROVA"])  # a rerun does not meet itself
     rows = exam.read_star_table(spark, f"{out}/curated", "DIM_LOCAL_PROVA").select("NUM_INS", "ANO_ENEM").collect()
     assert sorted(map(tuple, rows))[0] == ("000000000007", "2018") and len(rows) == 3 and "DIM_LOCAL_PROVA" in again
+
+
+def test_checked_columns_nobody_reads_are_not_made(spark):
+    """The reason alone goes through the generator; a column that is only checked is not carried on."""
+    frame = spark.range(20).select(*[F.concat(F.lit(f"{i}-"), F.col("id").cast("string")).alias(f"c{i}") for i in range(5)])
+    good, bad = split_rejects(enforce_schema(frame, [FieldSpec(f"c{i}", "string", 3 if i else 9) for i in range(5)]))
+    plan = good.select("c0")._jdf.queryExecution().optimizedPlan().toString()
+    generate = next(line for line in plan.splitlines() if "Generate" in line)
+    assert "c1#" not in generate and "_checked" in generate
+    assert good.count() == 10 and {r[REJECT_COL] for r in bad.collect()} == {"c1: longer than 3"}
+
+
+def test_staging_sorts_no_rows_by_status(spark, tmp_path):
+    """Rows keep their order within the files of a status; more editions than open files are stored whole."""
+    from microstar.sources import publication as P
+    pub = P.Publication(spark, str(tmp_path))
+    n = 3 * P.OPEN_FILES
+    rows = (spark.range(0, 40 * n, 1, 2).select(F.col("id"), (F.col("id") % n).cast("string").alias("e"),
+                                                F.when(F.col("id") % 7 == 0, "bad").alias(REJECT_COL)))
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    staged = pub.stage(rows, "t", "e")
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    found = sorted([(r["id"], r["e"], None) for r in pub.rows(staged).collect()]
+                   + [(r["id"], r["e"], r[REJECT_COL]) for r in pub.rows(staged, P.REJECTED).collect()])
+    assert found == sorted(tuple(r) for r in rows.collect())

@@ -39,3 +39,12 @@ def test_overflow_sentinel_flags_shifted_lines(spark, tmp_path):
     assert sorted(r["NU_INSCRICAO"] for r in good.collect()) == ["190000000001", "190000000002"]
     assert [(r["NU_INSCRICAO"], r["_reject_reason"]) for r in bad.collect()] == \
         [("190000000077", exam.MALFORMED)]
+
+
+def test_cells_of_a_wide_file_are_cleaned_in_one_projection(spark, tmp_path):
+    """A cell is trimmed and nulled by one expression: no further copy of the wide row."""
+    (tmp_path / "w.csv").write_text("a;b\n1; - \n;\"  \"\n 2 ;x-\n")
+    wide = read_delimited(spark, str(tmp_path / "w.csv"), ["A", "B"])
+    plan = wide._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Project") == 1 and "_common_expr" not in plan
+    assert [tuple(r) for r in wide.collect()] == [("1", None), (None, None), ("2", "x-")]
