@@ -9,8 +9,9 @@ again.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from microstar.operators.profile import _q, profile_topk
 
@@ -55,7 +56,8 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], buck
     interval in equal buckets and takes the bucket that holds its rank, with
     that bucket's own least and largest value, as the next interval.  It ends
     when these are equal.  A pass is one partial aggregate of at most
-    ``buckets`` rows a quantile, and a few passes do for any number of rows.
+    ``buckets`` rows a quantile, read column by column, and a few passes do for
+    any number of rows.
     Nulls, NaN and infinite values do not count; a column without values has null quantiles.
     """
     spark = df.sparkSession
@@ -68,31 +70,49 @@ def exact_quantiles(df: DataFrame, columns: list[str], shares: list[float], buck
             if not n:
                 done.append((c, share, None))
             else:
-                open_.append({"column": c, "share": share, "rank": max(1, math.ceil(share * n)), "lo": lo, "hi": hi, "inside": F.lit(True)})
+                open_.append({"column": c, "share": share, "rank": max(1, math.ceil(share * n)), "lo": lo, "hi": hi})
     while open_:
         done += [(t["column"], t["share"], t["lo"] + 0.0) for t in open_ if t["lo"] == t["hi"]]
         open_ = [t for t in open_ if t["lo"] != t["hi"]]
         if not open_:
             break
+        ranges: dict[str, list] = {}
         for t in open_:
-            width = t["hi"] / buckets - t["lo"] / buckets
-            place = F.floor((values[t["column"]] - F.lit(t["lo"])) / F.lit(width)) if width > 0 else F.when(values[t["column"]] == t["lo"], 0).otherwise(1)
-            t["bucket"] = F.least(place, F.lit(buckets - 1)).cast("int")
-        cells = [F.struct(F.lit(k).alias("target"), F.when(t["inside"], t["bucket"]).alias("bucket"), values[t["column"]].alias("value"))
-                 for k, t in enumerate(open_)]
-        found = (df.select(F.explode(F.array(*cells)).alias("x")).select("x.*").where("bucket IS NOT NULL").groupBy("target", "bucket")
-                 .agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")).collect())
-        for k, t in enumerate(open_):
-            for row in sorted((r for r in found if r["target"] == k), key=lambda r: r["bucket"]):
+            own = ranges.setdefault(t["column"], [])
+            if (t["lo"], t["hi"]) not in own:
+                own.append((t["lo"], t["hi"]))
+        found: dict[tuple, list] = {}
+        for row in reduce(DataFrame.union, [range_counts(df, c, values[c], r, buckets) for c, r in ranges.items()]).collect():
+            found.setdefault((row["column_name"], *ranges[row["column_name"]][row["cell"] // buckets]), []).append(row)
+        for t in open_:
+            for row in sorted(found[t["column"], t["lo"], t["hi"]], key=lambda r: r["cell"]):
                 if t["rank"] <= row["n"]:
                     # the next pass looks at the same values again: those of this bucket
-                    t["inside"] = F.when(t["inside"], t["bucket"] == row["bucket"]).otherwise(F.lit(False))
                     t["lo"], t["hi"] = row["lo"], row["hi"]
                     break
                 t["rank"] -= row["n"]
     return spark.createDataFrame(done, "column_name string, share double, value double")
 
 
+def range_counts(df: DataFrame, name: str, value: Column, ranges: list[tuple[float, float]], buckets: int) -> DataFrame:
+    """``column_name, cell, n, lo, hi``: a column's values in ``buckets`` equal parts of each range, counted.
+
+    Shares that look at the same range share its counts.  Ranges are disjoint
+    (the smallest and largest value of different buckets; a larger value is
+    never in a lower bucket), so a row counts once; ``cell`` is the place of
+    the range times ``buckets`` plus the bucket.  Only this column is read.
+    """
+    inside = [value.between(F.lit(lo), F.lit(hi)) for lo, hi in ranges]
+    cells = []
+    for i, (lo, hi) in enumerate(ranges):
+        width = hi / buckets - lo / buckets
+        place = F.floor((value - F.lit(lo)) / F.lit(width)) if width > 0 else F.when(value == lo, 0).otherwise(1)
+        cells.append(F.when(inside[i], F.least(place, F.lit(buckets - 1)).cast("int") + i * buckets))
+    return (df.where(reduce(Column.__or__, inside)).select(F.coalesce(*cells).alias("cell"), value.alias("value"))
+            .groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi"))
+            .select(F.lit(name).alias("column_name"), "cell", "n", "lo", "hi"))
+
+
 #: Counters of a frequent-item sketch, and the share of all rows by which its counts may be off (3.5 over its counters).
 TRACKED = 8192
 SKETCH_ERROR = 3.5 / TRACKED

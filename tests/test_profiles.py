@@ -1,5 +1,6 @@
 """Stored profiles, exact quantiles, heavy values, bitmaps, bucketed joins and split quoted text."""
 
+import math
 import random
 from collections import Counter
 
@@ -104,3 +105,18 @@ def test_one_quoted_file_is_read_by_many_tasks(spark, tmp_path, encoding):
             spark.conf.set("spark.sql.files.maxPartitionBytes", before)
             spark.conf.unset("spark.sql.files.openCostInBytes")
     assert sum(want.values()) == 3000
+
+
+def test_quantile_passes_share_ranges_and_make_no_row_a_share(spark):
+    """Shares in the same range are counted once; a pass reads rows as they are, without one copy a share."""
+    from microstar.operators.profile_merge import exact_quantiles, range_counts
+    frame = spark.range(10_000).select(F.when(F.col("id") % 97 != 0, (F.col("id") * 7919 % 10_000) / 8).alias("x"))
+    counts = range_counts(frame, "x", F.col("x"), [(0.0, 100.0), (1000.0, 1100.0)], 16)
+    assert "Generate" not in counts._jdf.queryExecution().executedPlan().toString()
+    values = sorted(r[0] for r in frame.where("x IS NOT NULL").collect())
+    rows = counts.collect()
+    assert sum(r["n"] for r in rows) == sum(v <= 100 or 1000 <= v <= 1100 for v in values)
+    assert {r["cell"] // 16 for r in rows} == {0, 1} and len(rows) <= 32
+    shares = [0.0, 0.001, 0.25, 0.2501, 0.5, 0.5, 0.99, 1.0]
+    found = sorted((r["share"], r["value"]) for r in exact_quantiles(frame, ["x"], shares, buckets=8).collect())
+    assert found == [(p, values[max(1, math.ceil(p * len(values))) - 1]) for p in shares]
