@@ -15,6 +15,7 @@ place in the whole.
 
 from __future__ import annotations
 
+import os
 import re
 import struct
 import zlib
@@ -22,6 +23,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -34,28 +36,34 @@ SEEK_MAGIC, SKIP_SEEK, SKIP_DIRECTORY = 0x8F92EAB1, 0x184D2A5E, 0x184D2A50
 HAS_CHECKSUMS = 0x80
 FRAME_BYTES = 1 << 20
 
-_PRE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff\xdf]+|[0-9]|[^\sa-z\xe0-\xf6\xf8-\xff\xdf0-9]+")
-_SIMPLE = re.compile(r"[!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]+")
+# Text that is encoded at a time: words that come again in it are encoded once.
+SLICE_BYTES = 8 << 20
+
+_PRE = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-z\xe0-\xf6\xf8-\xff\xdf]+|[0-9]|"
+                  r"[^\sa-z\xe0-\xf6\xf8-\xff\xdf0-9]+")
+_ODD = "[^!-~\xc0-\xd6\xd8-\xf6\xf8-\xff]"
 
 
 class WordEncoder:
-    """Encodes texts with a tokenizers file, remembering what it has seen.
+    """Encodes texts with a tokenizers file, each distinct word of some texts once.
 
     Words between ASCII white space are independent for tokenizers that drop
-    white space before merging; each distinct word is encoded once and kept
-    in a table of bounded size.  Words of ASCII and Latin-1 letters, digits
-    and marks share the library's merges of their parts (after lower-casing
-    and splitting as the tokenizer does); any other word goes through the
-    library whole.  A tokenizer of another build encodes whole texts.
+    white space before merging; the distinct ones of the texts at hand are
+    encoded together, in Arrow columns.  Words of ASCII and Latin-1 letters,
+    digits and marks share the library's merges of their parts (after
+    lower-casing and splitting as the tokenizer does): the distinct parts go
+    to the library as one text, and the suffix of a part's last token shows
+    where it ends.  Any other word goes through the library whole.  A
+    tokenizer of another build encodes whole texts.
     """
 
-    REMEMBER_CHARS, REMEMBER = 48, 500_000
-
     def __init__(self, path: str):
         import json
 
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         with open(path, encoding="utf-8") as f:
             made = json.load(f)
         self.library = Tokenizer.from_file(path)
@@ -64,40 +72,65 @@ class WordEncoder:
         pattern = splits[0].get("pattern", {}).get("Regex", "")
         # Fixed value: the split of this family of tokenizers, the one the shortcut is right for.
         known = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-        self.by_word = steps == ["NFC", "Replace", "Lowercase"] and pattern == known
-        self.specials = [t["content"] for t in made.get("added_tokens", [])]
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        shown = part if part.isascii() else self.library.pre_tokenizer.pre_tokenize_str(part)[0][0]
-        ids = struct.pack(f"<{len(t)}I", *t) if (t := [x.id for x in self.library.model.tokenize(shown)]) else b""
-        if len(self.parts) >= self.REMEMBER:
-            self.parts.clear()
-        self.parts[part] = ids
-        return ids
-
-    def _whole(self, text: str) -> bytes:
-        return np.asarray(self.library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def _word(self, word: str) -> bytes:
-        if _SIMPLE.fullmatch(word) and not any(s in word for s in self.specials):
-            parts, make = self.parts, self._part
-            ids = b"".join([parts.get(p) or make(p) for p in _PRE.findall(word.lower())])
-        else:
-            ids = self._whole(word)
-        if len(word) <= self.REMEMBER_CHARS:
-            if len(self.words) >= self.REMEMBER:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
+        vocabulary, suffix = made["model"]["vocab"], made["model"].get("end_of_word_suffix")
+        self.by_word = (steps == ["NFC", "Replace", "Lowercase"] and pattern == known and bool(suffix)
+                        and all(letter + suffix in vocabulary for letter in ByteLevel.alphabet()))
+        if self.by_word:
+            self.closing = np.zeros(self.library.get_vocab_size(), dtype=bool)
+            self.closing[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+            self.merges = Tokenizer(self.library.model)
+            self.merges.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.odd = "|".join([_ODD, *(re.escape(t["content"]) for t in made.get("added_tokens", []))])
+
+    def _parts(self, parts: pa.Array) -> pa.Array:
+        """Ids of lower-cased parts, merged by the library."""
+        ids = _ids(self.merges, [_joined(parts, [0, len(parts)], " ")[0].as_py()])[0]
+        ends = 4 * (np.flatnonzero(self.closing[np.frombuffer(ids, "<u4")]) + 1)
+        if len(ends) != len(parts):  # a suffix that is text
+            return pa.array(_ids(self.merges, parts.to_pylist()), pa.large_binary())
+        places = np.append(0, ends).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(parts), [None, pa.py_buffer(places), pa.py_buffer(ids)])
+
+    def _words(self, words: pa.Array) -> pa.Array:
+        """Ids of words without ASCII white space."""
+        odd = pc.match_substring_regex(words, self.odd)
+        plain = words.filter(pc.invert(odd))
+        lines = _joined(plain, [0, len(plain)], "\n")[0].as_py() + "\n" * (len(plain) > 0)
+        found = pa.array(_PRE.findall(lines.lower()), pa.large_string())
+        last = pc.equal(found, "\n")
+        ends = np.flatnonzero(last.to_numpy(zero_copy_only=False))
+        parts = found.filter(pc.invert(last)).dictionary_encode()
+        made = _joined(self._parts(parts.dictionary).take(parts.indices), np.append(0, ends - np.arange(len(ends))), b"")
+        if len(plain) == len(words):
+            return made
+        place = np.argsort(np.argsort(odd.to_numpy(zero_copy_only=False), kind="stable"))
+        whole = pa.array(_ids(self.library, words.filter(odd).to_pylist()), pa.large_binary())
+        return pa.concat_arrays([made, whole]).take(pa.array(place))
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """Ids of each text (null: empty) as little-endian unsigned 32-bit integers."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not self.by_word:
+            return _ids(self.library, texts.to_pylist())
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        return _joined(self._words(words.dictionary).take(words.indices), split.offsets, b"").to_pylist()
 
     def encode(self, text: str) -> bytes:
         """Ids of a text as little-endian unsigned 32-bit integers."""
-        if not self.by_word:
-            return self._whole(text)
-        words, make = self.words, self._word
-        return b"".join([words.get(w) or make(w) for w in common.WORD.findall(text)])
+        return self.encode_all(pa.array([text], pa.string()))[0]
+
+
+def _ids(library, texts: list[str]) -> list[bytes]:
+    """Ids of each text by the tokenizers library."""
+    made = library.encode_batch_fast(texts, add_special_tokens=False)
+    return [np.asarray(m.ids, dtype="<u4").tobytes() for m in made]
+
+
+def _joined(values: pa.Array, bounds, between: str | bytes) -> pa.Array:
+    """The values between each two ``bounds`` joined."""
+    lists = pa.LargeListArray.from_arrays(pa.array(np.asarray(bounds), pa.int64()), values)
+    return pc.binary_join(lists, pa.scalar(between, values.type))
 
 
 _LOADED: dict[str, WordEncoder] = {}
@@ -236,9 +269,10 @@ def write(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 1, id
                 system, place = files.shared(path)
                 system.create_dir(place.rsplit("/", 1)[0])
                 stream = system.open_output_stream(place, compression=None)
-                writer, encode = FrameWriter(stream), encoder(tokenizer_path).encode
-            for doc_id, text in zip(batch.column(0).to_pylist(), common.texts(batch.column(1))):
-                writer.add(doc_id, encode(text) + end)
+                writer, encode = FrameWriter(stream), encoder(tokenizer_path).encode_all
+            for some in common.slices(batch, "text", SLICE_BYTES):
+                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1))):
+                    writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             stream.close()

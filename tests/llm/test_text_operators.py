@@ -309,6 +309,48 @@ def test_word_encoder_equals_the_library():
         assert np.frombuffer(own.encode(text), "<u4").tolist() == want, text
 
 
+def test_texts_encoded_together_equal_the_library():
+    own = token_files.encoder(WORDS)
+    draw = random.Random(12)
+    letters = list("abcXYZ 019'stre.,!-_</w>\n\t\v\f\r") + ["É", "ß", "İ", "中", "\x1c", "\x85", "\xa0", "×", "A\u030a",
+                                                       "<|startoftext|>", "|", "\x00", "\U0001F600"]
+    texts = ["".join(draw.choice(letters) for _ in range(draw.randint(0, 60))) for _ in range(800)]
+    texts = [None, "", "  ", "\n", "x" * 300, "don't </w>a</w> " * 40, "é中 " * 50, *texts, *texts[:50], "Ünd " + LONG]
+    want = [np.array(own.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    column = pa.array(texts, pa.string())
+    assert own.encode_all(column) == want
+    assert own.encode_all(column.slice(5, 90)) == want[5:95]
+    assert own.encode_all(column.slice(0, 4)) == want[:4]  # no word at all
+    assert own.encode_all(pa.array(["中", "İ é中"], pa.string())) == [own.encode("中"), own.encode("İ é中")]
+    assert own.encode_all(pa.array([], pa.string())) == []
+
+
+def test_new_words_go_to_the_library_together(monkeypatch):
+    own, calls, inner = token_files.WordEncoder(WORDS), [], token_files._ids
+    monkeypatch.setattr(token_files, "_ids", lambda library, texts: calls.append(len(texts)) or inner(library, texts))
+    draw = random.Random(13)
+    words = ["".join(draw.choices("abcdeé", k=9)) for _ in range(5000)]
+    column = pa.array([" ".join(words[i:i + 50]) for i in range(0, 5000, 50)] * 3, pa.string())
+    got = own.encode_all(column)
+    assert sum(calls) <= 2  # not one call a word or part
+    assert got[:100] == got[100:200] == got[200:]
+    assert got[7] == np.array(own.library.encode(column[7].as_py(), add_special_tokens=False).ids, "<u4").tobytes()
+    own.closing[:] = True  # parts whose ends do not show are encoded one by one
+    assert own.encode_all(column) == got
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    import json
+    with open(WORDS, encoding="utf-8") as f:
+        made = json.load(f)
+    made["normalizer"] = None
+    (tmp_path / "other.json").write_text(json.dumps(made), encoding="utf-8")
+    own = token_files.WordEncoder(str(tmp_path / "other.json"))
+    texts = ["Some Text, é", None, "", "don't"]
+    want = [np.array(own.library.encode(t or "", add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert not own.by_word and own.encode_all(pa.array(texts, pa.string())) == want
+
+
 def test_frames_read_only_what_is_asked():
     import zstandard
     out = io.BytesIO()
